@@ -22,7 +22,7 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)",
     "local": r"(?<![\p{L}\p{N}+])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)",
-    "card": r"(?<![\p{L}\p{N}.+-])[2-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{3,4}(?![\p{L}\p{N}])",
+    "card": r"(?<![\p{L}\p{N}.+-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{3,4}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d\d-\d{4}(?![\p{L}\p{N}-])",
     "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.\d)",
     "name": rf"(?<!\p{{L}}){_TITLE} {_NAME}(?: {_NAME}){{0,2}}",
