@@ -16,8 +16,10 @@ from .textkit import pieces, prefix_sums, shingles, span_hashes
 PASSAGE, STRIDE, UNIT = 48, 16, 32
 #: Share of a unit's own BM25 score that a passage must reach; share of the item's word 5-grams the document must hold.
 THRESHOLD, OVERLAP, NGRAM, ANSWER_WORDS = 0.5, 0.8, 5, 5
+#: Share of the threshold that the commonest terms may score together.
+COMMON = 0.9
 #: Units in a block with its own maxima; bytes of items in one index (larger sets go through in blocks).
-BLOCK, INDEX_BYTES = 64, 8 << 20
+BLOCK, INDEX_BYTES = 8, 8 << 20
 K1, B = 1.2, 0.75
 
 _LETTER = np.zeros(256, bool)
@@ -47,8 +49,8 @@ class Index:
     impacts: np.ndarray
     most: np.ndarray  # by term
     block_most: list[dict[int, float]]  # by term: block -> largest impact
-    common: np.ndarray  # whether a term is in so many units that together these are bounded by `common_most`
-    common_most: float
+    common: np.ndarray  # the terms of most units; in no unit do they score COMMON of the threshold together
+    common_score: np.ndarray  # what they score together, by unit
     unit_item: np.ndarray
     item_ids: list
     question: list[np.ndarray]
@@ -77,8 +79,14 @@ def build_index(items: list[tuple[int, str | None]]) -> Index | None:
     impact = weight / np.bincount(u, weight, n)[u]
     most = np.zeros(len(terms))
     np.maximum.at(most, t, impact)
-    common = df > max(2, 0.05 * n)
-    sums = np.bincount(u, impact * common[t], n)
+    common, common_score = np.zeros(len(terms), bool), np.zeros(n)
+    first = np.searchsorted(t, np.arange(len(terms) + 1))
+    for k in np.argsort(-df, kind="stable").tolist():
+        postings = slice(first[k], first[k + 1])
+        if df[k] < 2 or (common_score[u[postings]] + impact[postings]).max() > COMMON * THRESHOLD:
+            break
+        common_score[u[postings]] += impact[postings]
+        common[k] = True
     blocks: list[dict[int, float]] = [{} for _ in terms]
     for term_, unit, x in zip(t.tolist(), u.tolist(), impact.tolist(), strict=True):
         blocks[term_][unit // BLOCK] = max(x, blocks[term_].get(unit // BLOCK, 0.0))
@@ -89,7 +97,7 @@ def build_index(items: list[tuple[int, str | None]]) -> Index | None:
         tail = min(len(s), ANSWER_WORDS)
         question.append(s[: len(s) - tail] if len(s) > tail else s)
         answer.append(s[len(s) - tail :])
-    return Index(terms, np.searchsorted(t, np.arange(len(terms) + 1)), u, impact, most, blocks, common, float(sums.max()), np.repeat(np.arange(len(ids)), parts), ids, question, answer)
+    return Index(terms, first, u, impact, most, blocks, common, common_score, np.repeat(np.arange(len(ids)), parts), ids, question, answer)
 
 
 def wand(index: Index, query: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -145,20 +153,43 @@ def _matches(index: Index, texts: list[str], threshold: float, overlap: float) -
     at = np.minimum(np.searchsorted(index.terms, words), len(index.terms) - 1)
     term = np.where(index.terms[at] == words, at, -1)
     known = term >= 0
-    rare = np.where(known & ~index.common[term], index.most[term], 0.0)
-    usual = np.where(known & index.common[term], index.most[term], 0.0)
     count = np.bincount(own, minlength=len(texts))
     first = np.cumsum(count) - count
     n_passages = np.maximum(1, -(-(count - PASSAGE) // STRIDE) + 1) * (count > 0)
+    before = np.cumsum(n_passages) - n_passages
     doc = np.repeat(np.arange(len(texts)), n_passages)
-    start = first[doc] + STRIDE * (np.arange(len(doc)) - np.repeat(np.cumsum(n_passages) - n_passages, n_passages))
+    start = first[doc] + STRIDE * (np.arange(len(doc)) - before[doc])
     end = np.minimum(start + PASSAGE, (first + count)[doc])
-    rare, usual = (np.concatenate([[0.0], np.cumsum(x)]) for x in (rare, usual))
-    bound = rare[end] - rare[start] + np.minimum(usual[end] - usual[start], index.common_most)
+    # a unit is in reach if a passage's rarer terms and all common ones score the threshold in it
+    rare = np.flatnonzero(known & ~index.common[term])
+    place = rare - first[own[rare]]
+    met = []
+    for back in range(PASSAGE // STRIDE):
+        number = place // STRIDE - back
+        good = (number >= 0) & (number < n_passages[own[rare]])
+        met.append((before[own[rare]] + number)[good] * len(index.terms) + term[rare][good])
+    pair = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+    passage, t = pair // len(index.terms), pair % len(index.terms)
+    many = index.first[t + 1] - index.first[t]
+    ends = np.cumsum(many)
+    posting = np.repeat(index.first[t] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)
+    unit = index.units[posting]
+    cell, at = np.unique(np.repeat(passage, many) * len(index.common_score) + unit, return_inverse=True)
+    reach = np.bincount(at, index.impacts[posting], len(cell)) + index.common_score[cell % len(index.common_score)] >= threshold - 1e-6
     hits: dict[tuple[int, int], float] = {}
-    for p in np.flatnonzero(bound >= threshold - 1e-6).tolist():
-        query = np.unique(term[start[p] : end[p]])
-        for unit, score in wand(index, query[query >= 0].tolist(), threshold):
+    near = np.unique(cell[reach] // len(index.common_score) * (1 << 32) + cell[reach] % len(index.common_score) // BLOCK)
+    query, asked = [], -1
+    done = False
+    for p, block in zip((near >> 32).tolist(), (near & 0xFFFFFFFF).tolist(), strict=True):
+        if p != asked:
+            asked, done = p, False
+            query = np.unique(term[start[p] : end[p]])
+            query = query[query >= 0].tolist()
+        # the block's own maxima must reach the threshold too before any posting is read
+        if done or sum([index.block_most[t].get(block, 0.0) for t in query]) < threshold - 1e-6:
+            continue
+        done = True
+        for unit, score in wand(index, query, threshold):
             pair = int(doc[p]), int(index.unit_item[unit])
             hits[pair] = max(score, hits.get(pair, 0.0))
     seen: dict[int, np.ndarray] = {}
