@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the pre-split of byte-level BPE files whose pre_tokenizer is ByteLevel with use_regex.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker keeps with their ids; the cache starts anew when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 
 def byte_of_char() -> dict[str, int]:
@@ -204,8 +204,14 @@ class Codec:
         return b"".join([label[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
 
+#: One codec for each vocabulary and worker process: later tasks of the process find their words known.
+_CODECS: dict[str, Codec] = {}
+
+
 def _codec(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    codec = Codec(path)
+    if path not in _CODECS:
+        _CODECS[path] = Codec(path)
+    codec = _CODECS[path]
     for batch in batches:
         for first in range(0, len(batch), 256):
             part = batch.slice(first, 256)
