@@ -17,7 +17,7 @@ from .textkit import pieces
 from .workspace import new_path, partitions, staged
 
 #: Words that a worker keeps with their ids; the cache starts anew when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 #: Bytes of text for each range of ids, and so for each file.
 FILE_TEXT_BYTES = 24 << 20
 #: Sequences in one record batch.
@@ -42,17 +42,27 @@ class WordCache:
         self.ids = np.zeros(0, np.uint32)
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _look_up(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words, and how many each has. All go to the library in one text, a line each; where a token begins tells whose it is."""
+        lines = [w.decode("utf-8") for w in new]
+        got = self.library.encode("\n".join(lines), add_special_tokens=False)
+        ids = np.array(got.ids, np.uint32)
+        begins = np.fromiter((a for a, _ in got.offsets), np.int64, len(ids))
+        lengths = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
+        owner = np.searchsorted(np.cumsum(lengths), begins, "right")
+        return ids, np.bincount(owner, minlength=len(new))
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
+        # the normalizer lowers all letters, so A-Z may be lowered before words are looked up, unless a special token's string is met
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self._clear()
         new = list({w for words in split for w in words if w not in self.known})
         if new:
-            found = [e.ids for e in self.library.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False)]
-            counts = np.fromiter(map(len, found), np.int64, len(found))
+            found, counts = self._look_up(new)
             self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(counts) - counts])
             self.count = np.concatenate([self.count, counts])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum()))])
+            self.ids = np.concatenate([self.ids, found])
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         out, get = [], self.known.__getitem__
         for words in split:
@@ -64,9 +74,15 @@ class WordCache:
         return out
 
 
+#: One cache for each vocabulary and worker process: later tasks of the process find their words known.
+_CACHES: dict[str, WordCache] = {}
+
+
 def _encoder(path: str, end_id: int, bounds: list[int], dtype: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, edges = WordCache(path), np.array(bounds, np.int64)
+        if path not in _CACHES:
+            _CACHES[path] = WordCache(path)
+        cache, edges = _CACHES[path], np.array(bounds, np.int64)
         for batch in batches:
             for first, last, buffer, starts in pieces(batch.column(1)):
                 ends = np.append(starts[1:] - 1, len(buffer))
@@ -80,17 +96,17 @@ def _encoder(path: str, end_id: int, bounds: list[int], dtype: str) -> Callable[
 
 
 class SequenceWriter:
-    """One Arrow stream file: record batches of (tokens: fixed-size list of uint32, mask: fixed-size list of bool).
+    """One Arrow stream file: record batches of (tokens: fixed-size list of unsigned integers, mask: fixed-size list of bool).
 
     Ids run on from one sequence into the next; only the last sequence is filled up, with masked zeros. An index file
     beside it has (doc_id, start, n_tokens) of each document.
     """
 
-    def __init__(self, folder: str, name: str, length: int):
+    def __init__(self, folder: str, name: str, length: int, dtype: str = "<u4"):
         self.fs, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
         self.fs.create_dir(root, recursive=True)
-        self.path, self.length = f"{root}/{name}.arrows", length
-        self.schema = pa.schema([("tokens", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))], {"sequence_length": str(length)})
+        self.path, self.length, self.dtype = f"{root}/{name}.arrows", length, np.dtype(dtype)
+        self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(self.dtype), length)), ("mask", pa.list_(pa.bool_(), length))], {"sequence_length": str(length)})
         self.out = self.fs.open_output_stream(self.path)
         self.writer = pa.ipc.new_stream(self.out, self.schema)
         self.held, self.held_n, self.total = [], 0, 0
@@ -105,14 +121,14 @@ class SequenceWriter:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        flat = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
+        flat = np.concatenate(self.held) if self.held else np.zeros(0, self.dtype)
         block = self.length * BATCH_SEQUENCES
         cut = len(flat) if last else len(flat) // block * block
         for a in range(0, cut, block):
-            part = flat[a : min(a + block, cut)].astype(np.uint32)
+            part = flat[a : min(a + block, cut)].astype(self.dtype)
             real = len(part)
             rows = -(-real // self.length)
-            part = np.concatenate([part, np.zeros(rows * self.length - real, np.uint32)])
+            part = np.concatenate([part, np.zeros(rows * self.length - real, self.dtype)])
             mask = np.arange(len(part)) < real
             self.writer.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(part), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=self.schema))
         self.held, self.held_n = ([flat[cut:]], len(flat) - cut) if cut < len(flat) else ([], 0)
@@ -193,7 +209,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
                 if s != shard:
                     if writer:
                         yield done()
-                    writer, shard = SequenceWriter(folder, f"part-{s:06d}-{uuid.uuid4().hex[:8]}", length), s
+                    writer, shard = SequenceWriter(folder, f"part-{s:06d}-{uuid.uuid4().hex[:8]}", length, dtype), s
                 writer.add(doc_id, np.frombuffer(ids.as_buffer(), dtype))
         if writer:
             yield done()
@@ -211,7 +227,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 file = SequenceFile(row["path"], row["folder"])
                 starts, counts = (file.index.column(c).to_numpy() for c in ("start", "n_tokens"))
-                crc = [zlib.crc32(np.ascontiguousarray(file.ids(a, c), "<u4")) for a, c in zip(starts.tolist(), counts.tolist(), strict=True)]
+                crc = [zlib.crc32(file.ids(a, c).astype("<u4")) for a, c in zip(starts.tolist(), counts.tolist(), strict=True)]
                 table = pa.table({"doc_id": file.index.column("doc_id"), "start": pa.array(starts + row["start"]), "n_tokens": pa.array(counts), "ids_crc32": pa.array(crc, pa.int64())})
                 yield from table.combine_chunks().to_batches(max_chunksize=50_000)
 
