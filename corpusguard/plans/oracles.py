@@ -279,7 +279,7 @@ ORACLES: dict[str, str] = {
         r AS (SELECT *, row_number() OVER o AS k, lead(c) OVER o AS nx FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY c DESC, code)),
         s AS (SELECT n.doc_id, code, coalesce(c, 0)::DOUBLE / n AS share, coalesce(nx, 0)::DOUBLE / n AS second FROM n LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (doc_id))
         SELECT doc_id, CASE WHEN share >= 0.02 AND share >= 1.6::DOUBLE * second THEN code END AS code, round(share, 9) AS share FROM s""",
-    "layer_judge": f"""WITH {LAYOUT}, p AS (SELECT doc_id, page, count(*) * 9 AS c, CASE WHEN doc_id % 3 = 0 THEN count(*) WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END AS l FROM layout GROUP BY ALL),
+    "layer_judge": f"""WITH {LAYOUT}, p AS (SELECT doc_id, page, n * 9 AS c, CASE WHEN doc_id % 3 = 0 THEN n WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END AS l FROM (SELECT doc_id, page, count(*) AS n FROM layout GROUP BY ALL)),
         u AS (SELECT doc_id, page, sum(c) OVER (o ROWS UNBOUNDED PRECEDING) AS c, sum(l) OVER (o ROWS UNBOUNDED PRECEDING) AS l, row_number() OVER o AS n, lead(page) OVER o IS NULL AS last FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY page)),
         e AS (SELECT *, l::DOUBLE / c AS share, c >= 150 OR n >= 3 AS enough FROM u),
         v AS (SELECT doc_id, page, CASE WHEN enough AND share >= 0.04 THEN 'poor' WHEN enough AND (share < 0.02 OR n >= 6) THEN 'sound' WHEN last AND (enough OR c >= 30) AND share >= 0.04 THEN 'poor' WHEN last AND (enough OR c >= 30) THEN 'sound' END AS vd FROM e)
