@@ -8,15 +8,14 @@ from corpusguard.llm.bpe import encode_decode
 from corpusguard.llm.decontaminate import drop_leaks
 from corpusguard.llm.exact_dedup import drop_copies
 from corpusguard.llm.near_dedup import drop_near_copies
-from corpusguard.llm.quality import score_quality
+from corpusguard.llm.quality import accepted
 from corpusguard.llm.queries import table, vocabulary
 from corpusguard.llm.workspace import new_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from all labelled rows outside the held-out fold."""
-    scored = score_quality(docs, table(spark, sf_dir, "labels"), training=table(spark, sf_dir, "documents"), keep_columns=True)
-    return scored.filter("predicted = 1").select(*docs.columns)
+    return accepted(docs, table(spark, sf_dir, "labels"), training=table(spark, sf_dir, "documents"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

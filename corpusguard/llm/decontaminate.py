@@ -249,7 +249,7 @@ def batch_type(kind: str) -> pa.DataType:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs that hold no test item, all columns."""
+    """The rows of docs that hold no test item, all columns. All rows of a key go if one holds an item; those with a null key count as one key's."""
     key = options.get("key", "doc_id")
     gone = find_leaks(docs, items, **options).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")

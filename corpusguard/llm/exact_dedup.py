@@ -207,7 +207,6 @@ def verify_bytes(rows: DataFrame, copies: DataFrame) -> None:
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, all columns; see group_copies()."""
-    groups = group_copies(docs, None, key, text)
-    gone = groups.filter("not kept").select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    """The rows of docs that stay, all columns; see group_copies(). A key goes if none of its rows stays; rows with a null key count as one key's."""
+    gone = group_copies(docs, None, key, text).groupBy(F.col(key).alias("_gone")).agg(F.max("kept").alias("_kept")).filter("not _kept")
+    return docs.join(gone.select("_gone"), F.col(key).eqNullSafe(F.col("_gone")), "left_anti")

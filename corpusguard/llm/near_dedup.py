@@ -186,6 +186,7 @@ def _placed(members: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay (one document of each component), all columns."""
-    gone = near_copies(docs, shingle, threshold, key, text).filter("not kept").select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    """The rows of docs that stay (one document of each component), all columns. A key goes if none of its rows stays; rows with a null key stay."""
+    found = near_copies(docs, shingle, threshold, key, text)
+    gone = found.groupBy(F.col(key).alias("_gone")).agg(F.max("kept").alias("_kept")).filter("not _kept")
+    return docs.join(gone.select("_gone"), F.col(key) == F.col("_gone"), "left_anti")

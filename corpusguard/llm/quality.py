@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textkit import SPACE, hashed_words, mix, pieces
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
 
     The bound makes what is collected (2 * sample rows of FEATURES floats) and broadcast the same for any corpus.
     """
-    usable = labels.select(F.col(key), F.col(label).cast("int").alias("label")).filter(f"label in (0, 1) and {key} is not null").filter(fold(key, held_out[0]) != held_out[1])
+    usable = labels.select(F.col(key).alias(key), F.col(label).cast("int").alias("label")).filter(f"label in (0, 1) and {key} is not null").filter(fold(key, held_out[0]) != held_out[1])
     shares = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     n = sum(shares.values())
     prior = shares.get(1, 0) / n if n else 0.5
@@ -131,28 +131,42 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     for value in (0, 1):
         part = usable.filter(F.col("label") == value).orderBy(F.xxhash64(key), key).limit(sample)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(picked), key).select("label", "text").mapInArrow(_features, "label int, row binary").collect()
+    rows = docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(picked), key).select("label", "_text").mapInArrow(_features, "label int, row binary").collect()
     got = np.frombuffer(b"".join(bytes(r["row"]) for r in rows), np.float32).reshape(-1, FEATURES)
     return fit(got, np.array([r["label"] for r in rows], np.float32), prior)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None, keep_columns: bool = False, key: str = "doc_id", text: str = "text", held_out: tuple[int, int] = (5, 0)) -> DataFrame:
-    """key, held_out, score and predicted of each row of docs; with keep_columns its own columns and score and predicted.
-
-    score: from 0 to 1, higher where label 1 is likelier; predicted: 1 from ACCEPT on. The whole text is the only input.
-    A null or empty text scores the share of label 1 among the labels learned from (0.5 without any). Equal texts score
-    alike; null and repeated keys get a row each. `training`: the texts that the labels are of (default: docs).
-    """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(training if training is not None else docs, labels, key=key, text=text, held_out=held_out))
+def scorer(spark: SparkSession, model: Model):
+    """The score of a text column."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def scores(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            parts = [score(model.value, features(buffer, starts)) for _, _, buffer, starts in pieces(column)]
+            parts = [score(shared.value, features(buffer, starts)) for _, _, buffer, starts in pieces(column)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
-    out = docs.withColumn("score", scores(F.col(text))).withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
-    if keep_columns:
-        return out
-    return out.select(key, (fold(key, held_out[0]) == held_out[1]).alias("held_out"), "score", "predicted")
+    return scores
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None, key: str = "doc_id", text: str = "text", held_out: tuple[int, int] = (5, 0)) -> DataFrame:
+    """key, held_out, score and predicted of each row of docs.
+
+    score: from 0 to 1, higher where label 1 is likelier; predicted: 1 from ACCEPT on. The whole text is the only input.
+    A null or empty text scores the share of label 1 among the labels learned from (0.5 without any). Equal texts score
+    alike; null and repeated keys get a row each; other columns don't matter; no rows give no rows. `training`: the
+    texts that the labels are of (default: docs); the labels of a null key, or neither 0 nor 1, are not used.
+    """
+    rows = docs.select(F.col(key), F.col(text).alias("_text"))
+    scores = scorer(docs.sparkSession, train(training if training is not None else docs, labels, key=key, text=text, held_out=held_out))
+    out = rows.select(key, (fold(key, held_out[0]) == held_out[1]).alias("held_out"), scores(F.col("_text")).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None, key: str = "doc_id", text: str = "text", held_out: tuple[int, int] = (5, 0)) -> DataFrame:
+    """The rows of docs that score_quality() predicts 1 for, all columns."""
+    scores = scorer(docs.sparkSession, train(training if training is not None else docs, labels, key=key, text=text, held_out=held_out))
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, scores(F.col(text))).filter(F.col(name) >= ACCEPT).drop(name)
