@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,46 +24,61 @@ def folded_cells(docs: DataFrame, text: str, key: str = "doc_id") -> DataFrame:
     return rows.withColumn("letters", T.fold(F.col("chunk")))
 
 
-def shingle_hits(docs: DataFrame, text: str, source: str, size: int = SHINGLE, key: str = "doc_id") -> DataFrame:
-    """key, cell, n_letters, at: the shingles of the text's cells that the source has. Both sides meet by (key, hash): a semi-join."""
-    cell_rows = folded_cells(docs, text, key)
-    mine = cell_rows.select(key, "cell", F.length("letters").alias("n_letters"), F.posexplode(T.shingles(F.col("letters"), size)).alias("at", "shingle")).withColumn("h", F.xxhash64("shingle"))
-    known = folded_cells(docs, source, key).select(key, F.explode(T.shingles(F.col("letters"), size)).alias("shingle")).select(key, F.xxhash64("shingle").alias("h")).distinct()
-    return mine.join(known, [key, "h"], "left_semi").select(key, "cell", "n_letters", "at")
+def uncovered(size: int):
+    """Of a text's cells and its source's cells (folded): the runs of letters in no shingle that the source has, as (cell, start, n).
 
+    Text and source stand in one row, and the test needs a set of the source's shingles, which built-in functions don't
+    have: exploding both sides would shuffle ten bytes for each letter. So the rows go to Python in Arrow batches, and
+    nothing is shuffled.
+    """
+    kind = pa.list_(pa.struct([("cell", pa.int32()), ("start", pa.int32()), ("n", pa.int32())]))
+
+    @F.arrow_udf("array<struct<cell:int,start:int,n:int>>")
+    def gaps(cells_: pa.Array, source: pa.Array) -> pa.Array:
+        out = []
+        for mine, theirs in zip(cells_.to_pylist(), source.to_pylist(), strict=True):
+            known = {x[k : k + size] for x in theirs for k in range(len(x) - size + 1)}
+            row = []
+            for cell, x in enumerate(mine):
+                upto = 0
+                for k in range(len(x) - size + 1):
+                    if x[k : k + size] in known:
+                        if k > upto:
+                            row.append({"cell": cell, "start": upto, "n": k - upto})
+                        upto = k + size
+                if upto < len(x):
+                    row.append({"cell": cell, "start": upto, "n": len(x) - upto})
+            out.append(row)
+        return pa.array(out, kind)
+
+    return gaps
+
+
+def gap_rows(docs: DataFrame, text: str, source: str, size: int = SHINGLE, key: str = "doc_id") -> DataFrame:
+    """key, letters (the text's folded cells), gaps (their uncovered runs)."""
+    folded = lambda c: F.transform(cells(F.coalesce(F.col(c), F.lit(""))), T.fold)
+    rows = docs.select(key, folded(text).alias("letters"), folded(source).alias("_source"))
+    return rows.select(key, "letters", uncovered(size)(F.col("letters"), F.col("_source")).alias("gaps"))
 
-def coverage(docs: DataFrame, text: str, source: str, size: int = SHINGLE, key: str = "doc_id") -> DataFrame:
-    """key, n_letters, n_covered over all cells: letters under at least one known shingle.
 
-    Of the hits of a cell in order, each covers the letters from its start, or from the end of the hit before.
-    """
-    w = Window.partitionBy(key, "cell").orderBy("at")
-    hits = shingle_hits(docs, text, source, size, key).withColumn("fresh", F.least(F.lit(size), F.coalesce(F.col("at") - F.lag("at").over(w), F.lit(size))))
-    got = hits.groupBy(key).agg(F.sum("fresh").alias("n_covered"))
-    total = folded_cells(docs, text, key).groupBy(key).agg(F.sum(F.length("letters")).alias("n_letters"))
-    return total.join(got, key, "left").select(key, "n_letters", F.coalesce("n_covered", F.lit(0)).alias("n_covered"))
+def coverage(docs: DataFrame, text: str, source: str, size: int = SHINGLE, key: str = "doc_id") -> DataFrame:
+    """key, n_letters, n_covered over all cells: letters under at least one known shingle."""
+    rows = gap_rows(docs, text, source, size, key)
+    total = F.aggregate("letters", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    return rows.select(key, total.alias("n_letters"), F.aggregate("gaps", F.lit(0).cast("long"), lambda a, g: a + g["n"]).alias("_gone")).filter("n_letters > 0").select(key, "n_letters", (F.col("n_letters") - F.col("_gone")).alias("n_covered"))
 
 
 def unmatched(docs: DataFrame, text: str, source: str, size: int = SHINGLE, min_run: int = MIN_RUN, key: str = "doc_id") -> DataFrame:
     """key, cell, start, n: runs of letters in no known shingle, of min_run at least; a cell of LINE_MIN letters that is mostly
     uncovered is given once, from its first such letter, with the number of them. Starts count the cell's letters."""
-    cell_rows = folded_cells(docs, text, key).select(key, "cell", F.length("letters").alias("n_letters")).filter(F.col("n_letters") >= min(min_run, LINE_MIN))
-    hits = shingle_hits(docs, text, source, size, key).groupBy(key, "cell").agg(F.array_sort(F.collect_list("at")).alias("hits"))
-    rows = cell_rows.join(hits, [key, "cell"], "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<int>")))
-    # gaps between what the hits cover
-    start = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<start:int,n:int>>").alias("gaps"))
-
-    def step(a: Column, at: Column) -> Column:
-        gap = F.when(at > a["upto"], F.array(F.struct(a["upto"].alias("start"), (at - a["upto"]).alias("n")))).otherwise(F.array().cast("array<struct<start:int,n:int>>"))
-        return F.struct((at + size).alias("upto"), F.concat(a["gaps"], gap).alias("gaps"))
-
-    ended = F.aggregate("hits", start, step)
-    rest = F.when(F.col("e.upto") < F.col("n_letters"), F.array(F.struct(F.col("e.upto").alias("start"), (F.col("n_letters") - F.col("e.upto")).alias("n")))).otherwise(F.array().cast("array<struct<start:int,n:int>>"))
-    rows = rows.select(key, "cell", "n_letters", ended.alias("e")).select(key, "cell", "n_letters", F.concat("e.gaps", rest).alias("gaps"))
+    rows = gap_rows(docs, text, source, size, key).filter(F.size("gaps") > 0)
+    each = rows.select(key, "gaps", F.posexplode(F.transform("letters", lambda x: F.length(x))).alias("cell", "n_letters")).filter(F.col("n_letters") >= min(min_run, LINE_MIN))
+    each = each.withColumn("gaps", F.filter("gaps", lambda g: g["cell"] == F.col("cell"))).filter(F.size("gaps") > 0)
     missing = F.aggregate("gaps", F.lit(0), lambda a, g: a + g["n"])
     whole = (F.col("n_letters") >= LINE_MIN) & (missing > LINE_SHARE * F.col("n_letters"))
-    found = F.when(whole, F.array(F.struct(F.col("gaps")[0]["start"].alias("start"), missing.alias("n")))).otherwise(F.filter("gaps", lambda g: g["n"] >= min_run))
-    return rows.select(key, "cell", F.explode(found).alias("g")).select(key, "cell", "g.start", "g.n")
+    first = F.struct(F.col("gaps")[0]["start"].alias("start"), missing.alias("n"))
+    long = F.transform(F.filter("gaps", lambda g: g["n"] >= min_run), lambda g: F.struct(g["start"].alias("start"), g["n"].alias("n")))
+    return each.select(key, "cell", F.explode(F.when(whole, F.array(first)).otherwise(long)).alias("g")).select(key, "cell", "g.start", "g.n")
 
 
 def word_coverage(docs: DataFrame, text: str, source: str, size: int = 3, key: str = "doc_id") -> DataFrame:

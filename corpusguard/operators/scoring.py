@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,8 @@ def scored(values: DataFrame, base: DataFrame, key: str = "doc_id") -> DataFrame
 
 def audit(metrics: DataFrame, scrambled: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """key, too_short, risk_score, verdict: the worst REVIEW_PERCENTILE of scores go to review, scrambled texts (key, n_scrambled) too."""
+    # the metrics are read three times (baseline, scores, result): they are kept, one narrow row a document, so texts are read once
+    metrics = metrics.persist(StorageLevel.MEMORY_AND_DISK)
     values = unpivoted(metrics.filter(~F.col("too_short")), key)
     scores = scored(values, baseline(values), key)
     bar = scores.agg(F.expr(f"percentile(risk_score, {REVIEW_PERCENTILE / 100})").alias("bar"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +43,13 @@ def audit_metrics(spark, d):
 
 @query
 def audit_baseline(spark, d):
-    m = metrics.text_metrics(inputs.documents(spark, d))
+    m = metrics.text_metrics(inputs.documents(spark, d)).persist(StorageLevel.MEMORY_AND_DISK)
     return _rounded(scoring.baseline(scoring.unpivoted(m.filter("not too_short")).select("metric", "value")))
 
 
 @query
 def audit_scores(spark, d):
-    values = scoring.unpivoted(metrics.text_metrics(inputs.documents(spark, d)).filter("not too_short"))
+    values = scoring.unpivoted(metrics.text_metrics(inputs.documents(spark, d)).persist(StorageLevel.MEMORY_AND_DISK).filter("not too_short"))
     return scoring.scored(values, scoring.baseline(values)).select("doc_id", F.round("risk_score", 3).alias("risk_score"), "n_metrics_used")
 
 
