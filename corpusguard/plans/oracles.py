@@ -308,4 +308,14 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'by_problem', k FROM (SELECT unnest(string_split(problems, ', ')) AS k FROM summ) WHERE k <> '') SELECT what, value, count(*) AS n FROM p GROUP BY ALL""",
     "review_queue": f"WITH {_SUMMARY} SELECT doc_id, tool_verdict, problems FROM summ WHERE decision = '' ORDER BY verdict_rank, doc_id LIMIT 100",
     "with_problem": f"WITH {_SUMMARY} SELECT doc_id, tool_verdict FROM summ WHERE list_contains(string_split(problems, ', '), 'dropped_words')",
+    "quality_gate": f"""WITH {_FOUND}, c AS (SELECT doc_id, bool_or(severity = 'high') AS h, count(*) AS n FROM found GROUP BY doc_id)
+        SELECT d.doc_id, CASE WHEN coalesce(h, false) OR d.doc_id % 8 >= 6 THEN 'reject' WHEN n > 0 OR d.doc_id % 8 >= 3 THEN 'review' ELSE 'ok' END AS verdict, coalesce(n, 0) AS n_findings, (d.doc_id % 8)::DOUBLE AS risk_score FROM documents d LEFT JOIN c USING (doc_id)""",
+    "recognition_findings": f"""WITH {LAYOUT}, p AS (SELECT DISTINCT doc_id, page FROM layout), b AS (SELECT doc_id, count(*) FILTER (WHERE doc_id % 5 <> 0 AND page % 4 = 0) AS m, count(*) FILTER (WHERE doc_id % 5 = 0) AS l FROM p GROUP BY doc_id)
+        SELECT doc_id, 'model_pages' AS kind, 'high' AS severity FROM b WHERE m > 0 UNION ALL SELECT doc_id, 'ocr_confidence', 'medium' FROM b WHERE doc_id % 5 <> 0 AND doc_id % 4 < 2 UNION ALL SELECT doc_id, 'no_text_layer', 'high' FROM b WHERE l = 0""",
+    "scan_route": """SELECT doc_id, CASE WHEN floor(length(text) * (doc_id % 10) / 10.0)::DOUBLE / nullif(length(text), 0) < 0.6 THEN 'scan_mismatch' ELSE 'compare' END AS route FROM documents""",
+    "demoted": f"""WITH {LAYOUT}, p AS (SELECT DISTINCT doc_id, page FROM layout) SELECT doc_id, page, 'not_in_scan' AS kind, CASE WHEN page % 2 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'medium' ELSE 'low' END WHEN doc_id % 2 = 0 THEN 'high' ELSE 'medium' END AS severity FROM p""",
+    "sideways_pages": f"""WITH {LAYOUT}, s AS (SELECT doc_id, page, min(line) AS first_line, max(line) AS last_line FROM layout GROUP BY ALL HAVING NOT bool_or(page % 3 <> 0 AND line % 2 = 0))
+        SELECT doc_id, page, first_line, last_line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM s) WHERE k <= 60""",
+    "retention_stats": rf"""WITH {LAYOUT}, x AS (SELECT doc_id, line, length(regexp_replace(text, '\s+', '', 'g')) AS c, length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) AS a FROM layout)
+        SELECT doc_id, round(least(1.0::DOUBLE, sum(CASE WHEN line % 5 <> 0 OR line % 10 = 0 THEN c ELSE 0 END)::DOUBLE / nullif(sum(c), 0)), 9) AS kept_ratio, round(sum(CASE WHEN line % 5 <> 0 OR line % 10 = 0 THEN a ELSE 0 END)::DOUBLE / nullif(sum(a), 0), 9) AS alnum_ratio FROM x GROUP BY doc_id""",
 }

@@ -9,8 +9,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import repair
 from ..functions import text as T
-from ..operators import contain, detect, fidelity, layout, lexicon, markup, metrics, profile, report, scoring, spans, store, verdicts
+from ..operators import contain, detect, fidelity, gate, layout, lexicon, markup, metrics, profile, report, scoring, spans, store, verdicts
 from . import inputs
 from .oracles import ORACLES  # noqa: F401
 
@@ -371,6 +372,62 @@ def markdown_blocks(spark, d):
     return markup.markdown_blocks(made).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
+@query
+def alignment(spark, d):
+    return inputs.pairs(spark, d).filter("length(text) < 4000").select("doc_id", repair.aligned("text", "source").alias("a")).select("doc_id", "a.*")
+
+
+@query
+def mojibake_repair(spark, d):
+    made = inputs.documents(spark, d).select("doc_id", F.concat(F.lit("cafÃ© â€™s "), "text").alias("text"))
+    return made.select("doc_id", F.sha2(repair.repaired("text"), 256).alias("digest"))
+
+
+@query
+def glyph_codes(spark, d):
+    rows = inputs.documents(spark, d)
+    made = rows.select("doc_id", "text", F.regexp_replace(F.substring("text", 1, 2000), "q", "(cid:17)").alias("raw"))
+    return gate.decoded_glyphs(made, "raw", "text")
+
+
+@query
+def quality_gate(spark, d):
+    docs, found = _findings(spark, d)
+    scores = docs.select("doc_id", (F.col("doc_id") % 8).cast("double").alias("risk_score"))
+    return gate.gate(docs, found, scores)
+
+
+@query
+def recognition_findings(spark, d):
+    pages = inputs.layout_lines(spark, d).select("doc_id", "page").distinct()
+    made = pages.select("doc_id", "page", F.when(F.col("doc_id") % 5 == 0, "extracted").when(F.col("page") % 4 == 0, "recognised_model").otherwise("recognised_tesseract").alias("source"), (0.6 + (F.col("doc_id") % 4) / 10).alias("conf"))
+    return gate.recognition_findings(made)
+
+
+@query
+def scan_route(spark, d):
+    rows = inputs.documents(spark, d).select("doc_id", F.length("text").cast("long").alias("n_letters"), (F.length("text") * (F.col("doc_id") % 10) / 10).cast("long").alias("n_covered"))
+    return gate.scan_route(rows)
+
+
+@query
+def demoted(spark, d):
+    pages = inputs.layout_lines(spark, d).select("doc_id", "page").distinct().withColumn("conf", F.when(F.col("page") % 2 == 0, 0.5).otherwise(0.9))
+    found = pages.select("doc_id", "page", F.lit("not_in_scan").alias("kind"), F.when(F.col("doc_id") % 2 == 0, "high").otherwise("medium").alias("severity"))
+    return gate.demoted(found, pages)
+
+
+@query
+def sideways_pages(spark, d):
+    return gate.sideways_pages(inputs.layout_lines(spark, d).withColumn("upright", (F.col("page") % 3 != 0) & (F.col("line") % 2 == 0)))
+
+
+@query
+def retention_stats(spark, d):
+    lines = inputs.layout_lines(spark, d)
+    return _rounded(gate.retention_stats(lines.filter("line % 5 <> 0"), lines.filter("line % 10 = 0"), lines))
+
+
 # lexicon, verdicts, state, summaries
 
 

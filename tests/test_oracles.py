@@ -31,8 +31,8 @@ def shown(frame: pd.DataFrame) -> list[tuple]:
     return sorted(tuple(one(v) for v in row) for row in frame[sorted(frame.columns)].itertuples(index=False))
 
 
-def test_every_query_but_two_has_an_oracle():
-    assert set(QUERIES) - set(ORACLES) == {"gzip_ratio", "markdown_blocks"}
+def test_which_queries_have_no_oracle():
+    assert set(QUERIES) - set(ORACLES) == {"gzip_ratio", "markdown_blocks", "alignment", "mojibake_repair", "glyph_codes"}
     assert set(ORACLES) <= set(QUERIES)
 
 
