@@ -65,11 +65,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Blocks:
     """The blocks of a table of documents (key: integers), written as a bucketed table of the session's warehouse."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str):
+    def __init__(self, docs: DataFrame, key: str, text: str, range_bytes: int = RANGE_BYTES):
         spark = docs.sparkSession
         rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
         total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.ranges = max(1, -(-int(total) // RANGE_BYTES))
+        self.ranges = max(1, -(-int(total) // range_bytes))
         self.name = f"corpusguard_blocks_{uuid.uuid4().hex[:12]}"
         made = rows.mapInArrow(_blocks, "block bigint, ids array<bigint>, starts binary, body binary")
         made.write.option("compression", "zstd").option("path", new_path(spark, "blocks")).bucketBy(partitions(spark), "block").saveAsTable(self.name)

@@ -20,6 +20,8 @@ from .textkit import prefix_sums, span_hashes, window_hashes
 from .workspace import staged
 
 WIDTH, GRAM = 50, 16
+#: Bytes of text for each key range; suffixes hashed at a time.
+RANGE_BYTES, SLICE = 3 << 20, 4096
 #: A byte that UTF-8 never has: it stands between documents and fills suffixes at their ends.
 OUTSIDE = 0xFF
 _LARGEST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -173,15 +175,21 @@ def covered_windows(rows: np.ndarray, smallest: np.ndarray, width: int, gram: in
     size = before + width
     n = len(rows)
     out = np.full((n, before + 1), np.iinfo(np.int64).max)
-    sums = prefix_sums(rows.ravel())
-    filled = rows != OUTSIDE
-    left = before - filled[:, :before].sum(axis=1)
-    right = before + filled[:, before:].sum(axis=1)
+    keys = np.zeros((before + 1, n), np.uint64)
+    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for a in range(0, n, SLICE):
+        part = rows[a : a + SLICE]
+        filled = part != OUTSIDE
+        left[a : a + SLICE] = before - filled[:, :before].sum(axis=1)
+        right[a : a + SLICE] = before + filled[:, before:].sum(axis=1)
+        sums, at = prefix_sums(part.ravel()), np.arange(len(part)) * size
+        for first in range(before + 1):
+            keys[first, a : a + SLICE] = span_hashes(sums, at + first, at + first + width)
     for first in range(before + 1):
         own = np.flatnonzero((left <= first) & (right >= first + width))
         if not len(own):
             continue
-        hashes = span_hashes(sums, own * size + first, own * size + first + width)
+        hashes = keys[first, own]
         order = np.argsort(hashes)
         ordered = hashes[order]
         heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
@@ -259,7 +267,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
         raise ValueError("width must be between 24 and 80")
     gram = GRAM
     floor = -(1 << 63)
-    blocks = Blocks(docs, key, text)
+    blocks = Blocks(docs, key, text, RANGE_BYTES)
     ranges = blocks.ranges
     short = np.uint64(16)  # bits that the exchange of hashes leaves out: chance meetings cost time, not results
 
