@@ -167,7 +167,10 @@ def near_copies(docs: DataFrame, shingle: int = 2, threshold: float = 0.8, key:
         order = F.xxhash64(F.lit(turn), "band", "node")
         spans = placed.groupBy("band").agg(F.min(F.struct(order.alias("o"), "node", "component")).alias("first"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high")
         spans = spans.select("band", F.col("first.node").alias("hub"), F.col("first.component").alias("hub_component"), "size")
-        meet = lookup(placed, spans, "band", "size", n_rows * BANDS).filter("hub is not null and component <> hub_component")
+        # buckets within one component are done with: the next round has the others only
+        open_ = staged(lookup(placed, spans, "band", "size", n_rows * BANDS).filter("hub is not null"), "open")
+        members = open_.select("band", "node")
+        meet = open_.filter("component <> hub_component")
         new = meet.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("leaf")).distinct()
         new = staged(new.join(tried, ["hub", "leaf"], "left_anti"), "new")
         added = staged(_confirmed(new, texts, shingle, percent), "added")
