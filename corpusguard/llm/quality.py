@@ -14,7 +14,7 @@ from .textkit import SPACE, hashed_words, mix, pieces
 from .workspace import fold
 
 #: Hashed byte pairs, bins of each style figure, latent dimensions, neighbours that vote, exponent of their weights.
-PAIRS, STEPS, DIMENSIONS, NEIGHBOURS, SHARPNESS = 2048, 16, 48, 32, 8
+PAIRS, STEPS, DIMENSIONS, NEIGHBOURS, SHARPNESS = 1024, 16, 48, 32, 8
 #: Labelled rows of each class that the model is fitted on: the bound of what is collected and broadcast.
 SAMPLE = 2048
 #: Lowest score of an accepted document.
@@ -115,7 +115,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, buffer, starts in pieces(batch.column(1)):
             rows = features(buffer, starts)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([r.tobytes() for r in rows], pa.binary())], ["label", "row"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary())], ["label", "row"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", held_out: tuple[int, int] = (5, 0), sample: int = SAMPLE) -> Model:
@@ -132,8 +132,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
         part = usable.filter(F.col("label") == value).orderBy(F.xxhash64(key), key).limit(sample)
         picked = part if picked is None else picked.unionByName(part)
     rows = docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(picked), key).select("label", "_text").mapInArrow(_features, "label int, row binary").collect()
-    got = np.frombuffer(b"".join(bytes(r["row"]) for r in rows), np.float32).reshape(-1, FEATURES)
-    return fit(got, np.array([r["label"] for r in rows], np.float32), prior)
+    got, values = np.zeros((len(rows), FEATURES), np.float32), np.array([r["label"] for r in rows], np.float32)
+    for k, r in enumerate(rows):
+        got[k] = np.frombuffer(r["row"], np.float16)
+    del rows
+    return fit(got, values, prior)
 
 
 def scorer(spark: SparkSession, model: Model):
