@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import pieces
+from .textkit import SPACE, pieces
 from .workspace import new_path, partitions, staged
 
 #: Words that a worker keeps with their ids; the cache starts anew when it is full.
@@ -53,8 +53,7 @@ class WordCache:
         return ids, np.bincount(owner, minlength=len(new))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        # the normalizer lowers all letters, so A-Z may be lowered before words are looked up, unless a special token's string is met
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        split = [t.split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self._clear()
         new = list({w for words in split for w in words if w not in self.known})
@@ -74,6 +73,24 @@ class WordCache:
         return out
 
 
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?%*#&$|")] = True
+_LETTER[0x61:0x7B] = True
+
+
+def apart(buffer: bytes, starts: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The texts of a buffer, with a space before each run of marks that ends a word of a-z: the pre-tokenizer parts them anyway, and fewer words are different."""
+    data = np.frombuffer(buffer, np.uint8)
+    if len(data) < 2:
+        return buffer, starts
+    mark = _MARK[data]
+    begins = np.flatnonzero(mark[1:] & _LETTER[data[:-1]]) + 1
+    others = np.append(np.flatnonzero(~mark), len(data))
+    ends = others[np.searchsorted(others, begins)]
+    begins = begins[(ends == len(data)) | SPACE[data[np.minimum(ends, len(data) - 1)]]]
+    return np.insert(data, begins, 0x20).tobytes(), starts + np.searchsorted(begins, starts)
+
+
 #: One cache for each vocabulary and worker process: later tasks of the process find their words known.
 _CACHES: dict[str, WordCache] = {}
 
@@ -85,6 +102,9 @@ def _encoder(path: str, end_id: int, bounds: list[int], dtype: str) -> Callable[
         cache, edges = _CACHES[path], np.array(bounds, np.int64)
         for batch in batches:
             for first, last, buffer, starts in pieces(batch.column(1)):
+                # the normalizer lowers all letters, so A-Z may be lowered before words are looked up, unless a special token's string could be met
+                if b"<|" not in buffer:
+                    buffer, starts = apart(buffer.lower(), starts)
                 ends = np.append(starts[1:] - 1, len(buffer))
                 ids = cache.encode([buffer[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
                 keys = batch.column(0).slice(first, last - first)
