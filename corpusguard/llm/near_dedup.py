@@ -17,6 +17,8 @@ from .workspace import lookup, partitions, staged
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Members of a bucket that are compared with one another, or with those of another block, in one group.
+BLOCK = 256
 _probes: list[np.ndarray] = []
 
 
@@ -128,6 +130,79 @@ def _confirmed(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return dealt.mapInArrow(_confirm(size, percent), "hub bigint, leaf bigint")
 
 
+def _links_in(band: int, rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links (hub, leaf) between rows (node, component, block, bands, set) of different components, and blocks if there are two.
+
+    A pair is compared in the first of its common buckets alone.
+    """
+    nodes, parts, blocks = (np.array([r[c] for r in rows], np.int64) for c in range(3))
+    bands, sets = np.array([r[3] for r in rows], np.int64), [r[4] for r in rows]
+    counts = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(codes, np.cumsum(counts)[:-1])
+    one_block, held, found = (blocks == blocks[0]).all(), np.zeros(len(values), bool), []
+    for i in range(len(rows) - 1):
+        fits = (parts[i + 1 :] != parts[i]) & (100 * np.minimum(counts[i + 1 :], counts[i]) >= percent * np.maximum(counts[i + 1 :], counts[i]))
+        if not one_block:
+            fits &= blocks[i + 1 :] != blocks[i]
+        others = np.flatnonzero(fits) + i + 1
+        same = bands[others] == bands[i]
+        others = others[(bands[i][same.argmax(1)] == band) | ~same.any(1)]
+        if not len(others):
+            continue
+        held[own[i]] = True
+        both = np.fromiter((np.count_nonzero(held[own[k]]) for k in others.tolist()), np.int64, len(others))
+        held[own[i]] = False
+        for k in others[100 * both >= percent * (counts[i] + counts[others] - both)].tolist():
+            found.append((int(min(nodes[i], nodes[k])), int(max(nodes[i], nodes[k]))))
+    return found
+
+
+def _compare(size: int, percent: int):
+    """Rows (band, low, high, block, node, component, bands, text) sorted by the first three, which make a group: yields its links (hub, leaf)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links() -> Iterator[pa.RecordBatch]:
+            found = _links_in(at[0], rows, percent) if len(rows) > 1 and (at[1] == at[2] or len({r[2] for r in rows}) > 1) else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["hub", "leaf"])
+
+        at, rows = None, []
+        for batch in batches:
+            groups = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            heads = list(zip(*(batch.column(c).to_pylist() for c in (4, 5, 3, 6)), strict=True))
+            for first, sets in shingle_sets(batch.column(7), size):
+                for k, s in enumerate(sets, first):
+                    if groups[k] != at:
+                        yield from links()
+                        at, rows = groups[k], []
+                    rows.append((*heads[k], s))
+        yield from links()
+
+    return run
+
+
+def _all_links(open_: DataFrame, texts: DataFrame, sketches: DataFrame, n_rows: int, size: int, percent: int) -> DataFrame:
+    """Links (hub, leaf) between all members of a bucket that are in different components; open_ has band, node, component.
+
+    A bucket's largest component and its other members are dealt into blocks. Each block of the others meets all blocks,
+    so members of the largest component are copied once for each block of the others.
+    """
+    per = open_.groupBy("band", "component").agg(F.count("*").alias("n"))
+    most = per.groupBy("band").agg(F.max(F.struct("n", "component")).alias("big"), F.sum("n").alias("size"))
+    plan = most.select("band", "size", F.col("big.component").alias("largest"), F.ceil((F.col("size") - F.col("big.n")) / BLOCK).cast("int").alias("n_rest"), F.ceil(F.col("big.n") / BLOCK).cast("int").alias("n_big"))
+    bands = sketches.filter("print is not null").select(F.col("doc_id").alias("node"), "bands").join(open_.select("node").distinct(), "node").groupBy("node").agg(F.first("bands").alias("bands"))
+    held = staged(texts.join(bands, "node"), "held")
+    draw, rest = F.xxhash64("node"), F.col("component") != F.col("largest")
+    block = F.when(rest, F.pmod(draw, F.col("n_rest"))).otherwise(F.col("n_rest") + F.pmod(draw, F.col("n_big"))).cast("int")
+    last = F.when(rest, F.col("n_rest") + F.col("n_big")).otherwise(F.col("n_rest")) - 1
+    dealt = lookup(open_, plan, "band", "size", n_rows * BANDS).select("band", "node", "component", block.alias("block"), last.alias("last")).join(held, "node")
+    met = dealt.select("band", "node", "component", "block", "bands", "text", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    met = met.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "bands", "text")
+    met = met.repartition(partitions(open_.sparkSession), "band", "low", "high").sortWithinPartitions("band", "low", "high")
+    return met.mapInArrow(_compare(size, percent), "hub bigint, leaf bigint").distinct()
+
+
 def near_copies(docs: DataFrame, shingle: int = 2, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row of docs: key, n_shingles, component_id (smallest key reachable over links, its own included), kept (key = component_id).
 
@@ -139,9 +214,9 @@ def near_copies(docs: DataFrame, shingle: int = 2, threshold: float = 0.8, key:
 
     Rows with equal sets become one node first. Nodes that share a band form a bucket, whose members are compared with
     one hub alone: the smallest node in the first round. While a bucket still spans several components, another member
-    becomes its hub and is compared with the members of other components, unless that pair was tried; this ends when a
-    round adds no link. Every link is confirmed on the full sets. A pair at the threshold is missed with a chance of
-    about 1e-7, plus that of never meeting as hub and leaf while no other link joins them.
+    becomes its hub and is compared with the members of other components, unless that pair was tried. When a round adds no
+    link, all members of the buckets that still span components are compared with all members of other components there.
+    Every link is confirmed on the full sets. A pair at the threshold is missed with a chance of about 1e-7.
     """
     percent = round(threshold * 100)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -177,6 +252,10 @@ def near_copies(docs: DataFrame, shingle: int = 2, threshold: float = 0.8, key:
         if not added.limit(1).count():
             break
         links, tried = staged(links.unionByName(added), "links"), staged(tried.unionByName(new), "tried")
+    if open_.limit(1).count():
+        added = staged(_all_links(open_.select("band", "node", "component"), texts, sketches, n_rows, shingle, percent), "added")
+        if added.limit(1).count():
+            parts = components(links.unionByName(added), "hub", "leaf")
     found = classes.join(parts, "node", "left").select("print", F.coalesce("component", "node").alias("component"), "size")
     out = lookup(sketches.select("doc_id", "n_shingles", "print"), found, "print", "size", n_rows)
     component = F.coalesce("component", "doc_id")

@@ -140,6 +140,26 @@ def test_near_copies(docs, empty, rows, size):
         assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {c for _, c in wanted.values()}
 
 
+def test_near_copies_within_a_template(spark):
+    """Documents of one template at 0.79, with pairs at 0.82 that must not be lost among them."""
+    from corpusguard.llm.near_dedup import near_copies
+
+    template = [f"t{k}" for k in range(53)]
+    rows = [(i, " ".join(template + [f"w{i % 270}" if k == 0 else f"w{i}x{k}" for k in range(7)])) for i in range(300)]
+    wanted = brute_components(rows, 1, 80)
+    assert sum(i != c for i, (_, c) in wanted.items()) == 30
+    got = near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=1).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == wanted
+
+
+def test_links_of_two_blocks(spark, monkeypatch):
+    """The same, with so many members that a bucket has many blocks."""
+    from corpusguard.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    test_near_copies_within_a_template(spark)
+
+
 def test_densification_estimates_similarity():
     from corpusguard.llm.near_dedup import BINS, EMPTY, densified
 
