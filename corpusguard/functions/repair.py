@@ -7,6 +7,7 @@ import re
 import textwrap
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
@@ -50,6 +51,67 @@ def folded(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+#: Ranges whose lengths' product is smaller are searched word by word.
+SMALL = 1 << 15
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+class Matcher(difflib.SequenceMatcher):
+    """difflib's matcher without junk, for long lists of words: the same blocks, the longest common run being found by
+    halving its length and comparing hashes of windows. A run found is held against the words, so no collision counts."""
+
+    def __init__(self, a: list[str], b: list[str]) -> None:
+        super().__init__(None, a, b, autojunk=False)
+        number: dict[str, int] = {}
+        self.ids = [np.array([number.setdefault(w, len(number)) for w in x], np.int64) for x in (a, b)]
+        drawn = np.random.default_rng(1).integers(1 << 63, size=len(number) + 1, dtype=np.uint64)
+        n = max(len(a), len(b)) + 1
+        steps = [np.cumprod(np.append(np.uint64(1), np.full(n - 1, base, np.uint64)), dtype=np.uint64) for base in (_BASE, _INVERSE)]
+        self.down = steps[1]
+        self.sums = [np.append(np.uint64(0), np.cumsum(drawn[x] * steps[0][: len(x)], dtype=np.uint64)) for x in self.ids]
+
+    def windows(self, side: int, low: int, high: int, size: int) -> np.ndarray:
+        """Hashes of all runs of a size between two places."""
+        sums, n = self.sums[side], high - low - size + 1
+        return (sums[low + size : high + 1] - sums[low : low + n]) * self.down[low : low + n]
+
+    def find_longest_match(self, alo: int = 0, ahi: int | None = None, blo: int = 0, bhi: int | None = None) -> difflib.Match:
+        """The longest common run; of equally long ones the first in a, then in b."""
+        ahi, bhi = len(self.a) if ahi is None else ahi, len(self.b) if bhi is None else bhi
+        n, m = ahi - alo, bhi - blo
+        if n == m and (self.ids[0][alo:ahi] == self.ids[1][blo:bhi]).all():
+            return difflib.Match(alo, blo, n)
+        if n * m < SMALL:
+            return self._searched(alo, ahi, blo, bhi)
+        low, high = 0, min(n, m)
+        while low < high:
+            size = (low + high + 1) // 2
+            low, high = (size, high) if np.isin(self.windows(0, alo, ahi, size), self.windows(1, blo, bhi, size)).any() else (low, size - 1)
+        if not low:
+            return difflib.Match(alo, blo, 0)
+        x, y = self.windows(0, alo, ahi, low), self.windows(1, blo, bhi, low)
+        i = int(np.isin(x, y).argmax())
+        j = int((y == x[i]).argmax())
+        if (self.ids[0][alo + i : alo + i + low] == self.ids[1][blo + j : blo + j + low]).all():
+            return difflib.Match(alo + i, blo + j, low)
+        return super().find_longest_match(alo, ahi, blo, bhi)
+
+    def _searched(self, alo: int, ahi: int, blo: int, bhi: int) -> difflib.Match:
+        places: dict[str, list[int]] = {}
+        for j in range(blo, bhi):
+            places.setdefault(self.b[j], []).append(j)
+        best, ends = (alo, blo, 0), {}
+        for i in range(alo, ahi):
+            now = {}
+            for j in places.get(self.a[i], ()):
+                k = now[j] = ends.get(j - 1, 0) + 1
+                if k > best[2]:
+                    best = (i - k + 1, j - k + 1, k)
+            ends = now
+        return difflib.Match(*best)
+
+
 ALIGNMENT = StructType([StructField("verdict", StringType()), StructField("similarity", DoubleType()), StructField("deleted", IntegerType()), StructField("inserted", IntegerType())])
 
 
@@ -66,7 +128,7 @@ def aligned(text: pd.Series, source: pd.Series) -> pd.DataFrame:
         if not a:
             rows.append(("no_reference", None, 0, 0))
             continue
-        match = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        match = Matcher(a, b)
         gone = new = 0
         for op, i, j, k, m in match.get_opcodes():
             if op in ("delete", "replace"):

@@ -374,7 +374,7 @@ def markdown_blocks(spark, d):
 
 @query
 def alignment(spark, d):
-    return inputs.pairs(spark, d).filter("length(text) < 4000").select("doc_id", repair.aligned("text", "source").alias("a")).select("doc_id", "a.*")
+    return inputs.pairs(spark, d).select("doc_id", repair.aligned("text", "source").alias("a")).select("doc_id", "a.*")
 
 
 @query

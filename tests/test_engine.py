@@ -108,6 +108,46 @@ def test_markup(spark):
     assert [(r.kind, r.text) for r in markup.markdown_blocks(rows).orderBy("block").collect()] == [("heading", "Head"), ("para", "text one\ntext two"), ("bullet", "a"), ("bullet", "b"), ("code", "# code")]
 
 
+def test_alignment_of_long_texts(spark, tmp_path):
+    import difflib
+    import random
+
+    from corpusguard.plans import inputs
+    from corpusguard.plans.queries import QUERIES
+
+    rng = random.Random(4)
+    words = ["the", *("".join(rng.choices("abcdefgh", k=rng.randrange(2, 7))) for _ in range(300))]
+    line = lambda: " ".join(rng.choices(words, k=rng.randrange(6, 14)))
+    texts = [(i, "\n".join(line() for _ in range(4 if i < 5 else 120))) for i in range(15)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.similarity, r.deleted, r.inserted) for r in QUERIES["alignment"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(15))
+    for r in inputs.pairs(spark, str(tmp_path)).collect():
+        match = difflib.SequenceMatcher(None, *(re.findall(r"[^\W_]+", x.casefold()) for x in (r.source, r.text)), autojunk=False)
+        ops = match.get_opcodes()
+        gone = max((j - i for op, i, j, _, _ in ops if op in ("delete", "replace")), default=0)
+        new = max((m - k for op, _, _, k, m in ops if op in ("insert", "replace")), default=0)
+        assert got[r.doc_id] == (match.ratio(), gone, new)
+
+
+def test_matcher_gives_the_blocks_of_difflib(monkeypatch):
+    import difflib
+    import random
+
+    from corpusguard.functions import repair
+
+    rng = random.Random(6)
+    for trial in range(120):
+        monkeypatch.setattr(repair, "SMALL", rng.choice([0, 100, 1 << 15]))
+        words = [f"w{k}" for k in range(rng.choice([2, 5, 50, 500]))]
+        a = rng.choices(words, k=rng.randrange(0, 300))
+        b = list(a) if trial % 8 else rng.choices(words, k=100)
+        for _ in range(rng.randrange(0, 12)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(0, 30)] = rng.choices([*words, "new"], k=rng.randrange(0, 30))
+        assert repair.Matcher(a, b).get_opcodes() == difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+
 def test_layer_verdict_is_the_first_that_holds(spark):
     pages = [(1, p, 60, 5) for p in range(1, 8)] + [(2, 1, 20, 0)] + [(3, p, 100, 3 if p < 3 else 0) for p in range(1, 8)]
     got = {r.doc_id: (r.verdict, r.at_page) for r in profile.layer_verdicts(spark.createDataFrame(pages, "doc_id long, page long, confident int, lacking int")).collect()}
