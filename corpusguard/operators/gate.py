@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -62,14 +62,25 @@ def retention_stats(blocks: DataFrame, dropped: DataFrame, raw: DataFrame, key:
 def decoded_glyphs(docs: DataFrame, raw: str, text: str, key: str = "doc_id") -> DataFrame:
     """key, code, letter: what the glyph codes (cid:N) of a raw layer stand for, voted by the words of the text.
 
-    A raw word with codes meets the text's words of its decoded length by equality on (key, length) and then by its known
-    letters; a word that fits exactly one votes for each of its codes. A letter wins with two votes and 80 % of them.
+    A raw word with codes meets the text's words by equality on (key, its decoded length, place and value of its first
+    known letter) and then by its known letters; a word that fits exactly one votes for each of its codes. A letter wins
+    with two votes and 80 % of them. Words of the text that no raw word can meet are dropped within their row.
     """
-    pattern = r"\(cid:\d+\)"
-    words = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(raw, F.lit(r"(?:\p{L}|\(cid:\d+\))*\(cid:\d+\)(?:\p{L}|\(cid:\d+\))*"), F.lit(0)))).alias("w"))
-    marked = words.select(key, "w", F.regexp_extract_all("w", F.lit(pattern), F.lit(0)).alias("codes"), F.regexp_replace("w", pattern, "\u0001").alias("shape"))
-    known = docs.select(key, F.explode(F.array_distinct(T.tokens(F.col(text), r"\p{L}+"))).alias("t"))
-    met = marked.withColumn("n", F.length("shape")).join(known.withColumn("n", F.length("t")), [key, "n"])
+    pattern, coded = r"\(cid:\d+\)", r"(?<!\p{L})(?:\p{L}*+\(cid:\d+\))+\p{L}*"
+    rows = docs.select(key, F.array_distinct(F.regexp_extract_all(raw, F.lit(coded), F.lit(0))).alias("ws"), F.array_distinct(T.tokens(F.col(text), r"\p{L}+")).alias("ts")).filter("size(ws) > 0")
+
+    def sign(word: Column, place: Column) -> Column:
+        """Length, place (0 if no letter is known) and letter."""
+        return F.concat_ws(":", F.length(word), place, F.when(place > 0, F.substring(word, place, F.lit(1))).otherwise(""))
+
+    shape = lambda w: F.regexp_replace(w, pattern, "\u0001")
+    known_at = lambda s: F.when(s.rlike("[^\u0001]"), F.length(F.regexp_extract(s, "^\u0001*", 0)) + 1).otherwise(0)
+    rows = rows.withColumn("shapes", F.transform("ws", shape)).withColumn("signs", F.array_distinct(F.transform("shapes", lambda s: sign(s, known_at(s))))).withColumn("places", F.array_distinct(F.transform("shapes", known_at)))
+    words = rows.select(key, F.explode(F.arrays_zip("ws", "shapes")).alias("x")).select(key, F.col("x.ws").alias("w"), F.col("x.shapes").alias("shape"))
+    marked = words.select(key, "w", F.regexp_extract_all("w", F.lit(pattern), F.lit(0)).alias("codes"), "shape", sign(F.col("shape"), known_at(F.col("shape"))).alias("sign"), F.length("shape").alias("n"))
+    signed = F.flatten(F.transform("places", lambda p: F.transform("ts", lambda t: F.struct(sign(t, p).alias("sign"), t.alias("t")))))
+    known = rows.select(key, F.explode(F.filter(signed, lambda x: F.array_contains("signs", x["sign"]))).alias("x")).select(key, "x.sign", "x.t")
+    met = marked.join(known, [key, "sign"])
     fits = met.filter(F.expr("forall(sequence(1, n), i -> substr(shape, i, 1) = '\u0001' or substr(shape, i, 1) = substr(t, i, 1))"))
     one = fits.groupBy(key, "w", "shape", "codes").agg(F.count("*").alias("c"), F.first("t").alias("t")).filter("c = 1")
     places = F.filter(F.sequence(F.lit(1), F.length("shape")), lambda i: F.substring(F.col("shape"), i, F.lit(1)) == "\u0001")

@@ -386,7 +386,7 @@ def mojibake_repair(spark, d):
 @query
 def glyph_codes(spark, d):
     rows = inputs.documents(spark, d)
-    made = rows.select("doc_id", "text", F.regexp_replace(F.substring("text", 1, 2000), "q", "(cid:17)").alias("raw"))
+    made = rows.select("doc_id", "text", F.regexp_replace("text", "q", "(cid:17)").alias("raw"))
     return gate.decoded_glyphs(made, "raw", "text")
 
 

@@ -148,6 +148,34 @@ def test_matcher_gives_the_blocks_of_difflib(monkeypatch):
         assert repair.Matcher(a, b).get_opcodes() == difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
 
 
+def test_glyph_codes_of_long_texts(spark, tmp_path):
+    import random
+    from collections import Counter
+
+    from corpusguard.plans.queries import QUERIES
+
+    rng = random.Random(9)
+    plain = ["".join(rng.choices("abcde", k=rng.randrange(2, 6))) for _ in range(60)]
+    marked = ["quiet", "aqua", "equal", "qqab", "cq", "q", "qq", "aqbq", "bad", "bqd", "quit", "suit", "opaque"]
+    texts = []
+    for i in range(30):
+        late = rng.sample(marked, rng.randrange(0, 7))
+        texts.append((i, " ".join([*rng.choices(plain, k=700 if i % 2 else 20), *late])))
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = set()
+    for i, text in texts:
+        votes, words = Counter(), set(text.split())
+        for w in words:
+            fits = [t for t in words if len(t) == len(w) and all(x in ("q", y) for x, y in zip(w, t, strict=True))] if "q" in w else []
+            if len(fits) == 1:
+                votes.update(y for x, y in zip(w, fits[0], strict=True) if x == "q")
+        letter, n = max(votes.items(), key=lambda v: (v[1], v[0]), default=("", 0))
+        if n >= 2 and n >= 0.8 * votes.total():
+            wanted.add((i, "(cid:17)", letter))
+    assert any(i % 2 for i, _, _ in wanted)
+    assert {tuple(r) for r in QUERIES["glyph_codes"](spark, str(tmp_path)).collect()} == wanted
+
+
 def test_layer_verdict_is_the_first_that_holds(spark):
     pages = [(1, p, 60, 5) for p in range(1, 8)] + [(2, 1, 20, 0)] + [(3, p, 100, 3 if p < 3 else 0) for p in range(1, 8)]
     got = {r.doc_id: (r.verdict, r.at_page) for r in profile.layer_verdicts(spark.createDataFrame(pages, "doc_id long, page long, confident int, lacking int")).collect()}
