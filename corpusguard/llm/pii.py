@@ -27,8 +27,9 @@ PATTERNS = {
     "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.\d)",
     "name": rf"(?<!\p{{L}}){_TITLE} {_NAME}(?: {_NAME}){{0,2}}",
 }
-#: Every kind begins where no letter or digit stands before: tested once, it ends most attempts at once.
-ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(PATTERNS.values()) + ")"
+#: No kind begins after a letter of ASCII, and none but a name after a digit of it: tested once, it ends most attempts at
+#: once. What else may not stand before is told by the patterns.
+ANY = r"(?<![A-Za-z])(?:(?<![0-9])(?:" + "|".join(p for k, p in PATTERNS.items() if k != "name") + ")|" + PATTERNS["name"] + ")"
 #: What a text with an entity must hold: a digit, an at, an equals or colon sign, or a title. Other texts aren't searched.
 HINT = r"[0-9@=:]|(?<!\p{L})(?=[" + "".join(sorted({t[0] for ts in TITLES.values() for t in ts})) + "])" + _TITLE + r" \p{Lu}"
 #: Sounds that surrogate names are made of, by script; given names end by gender.
