@@ -17,7 +17,7 @@ _TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.?"
 #: Kind and pattern, in order of preference at one place. A secret's keyword and a name's title stay.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9][A-Za-z0-9-]{0,62})+",
-    "secret": r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \t]{0,4}[=:][ \t]{0,4}[\"']?[A-Za-z0-9+/_.-]{8,512}(?<![.])",
+    "secret": r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \t]{0,4}[=:][ \t]{0,4}[\"']?[A-Za-z0-9+/_.-]{8,}(?<![.])",
     "key": r"(?<![A-Za-z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)",
@@ -38,6 +38,8 @@ SOUNDS = {
     "Cyrillic": ("Ан Бо Ва Га Да Ев За Ил Ка Ла Ма На Ол Па Ро Са Та Фе".split(), "бар ден фел гор кин лан мир нор пер рас сел тан вер зен".split(), {"f": "а", "m": "", "n": ""}),
     "Greek": ("Αλ Βα Γε Δη Ελ Ζω Ηλ Θε Κα Λα Μα Νι Πα Ρο Σο Τα".split(), "βαρ δεν φιλ γορ καν λαν μιρ νορ περ ρασ σελ ταν".split(), {"f": "α", "m": "ος", "n": "ο"}),
 }
+#: Characters that the hex digits of one stream are enough for.
+PLACES = 63
 _LOWER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
@@ -93,6 +95,21 @@ def _characters(value: Column, stream: Column, kind: Column, hexadecimal: Column
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
 
 
+def _long_characters(value: Column, stream: Column, kind: Column, hexadecimal: Column) -> Column:
+    """The same for a secret of any length, each piece of PLACES characters having hex digits of its own."""
+
+    def pieces(whole: Column) -> Column:
+        def piece(k: Column) -> Column:
+            digits = [F.sha2(F.concat_ws("\u0000", whole["stream"], k.cast("string"), F.lit(half)).cast("binary"), 512) for half in "ab"]
+            return F.struct(F.substring(value, k * PLACES + 1, F.lit(PLACES)).alias("value"), F.concat(*digits).alias("stream"))
+
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.length(value) - 1) / PLACES).cast("int")), piece)
+        return F.array_join(F.transform(cut, lambda p: _characters(p["value"], p["stream"], kind, whole["hexadecimal"])), "")
+
+    # an array of one, so that the digest of the whole is computed once
+    return F.element_at(F.transform(F.array(F.struct(stream.alias("stream"), hexadecimal.alias("hexadecimal"))), pieces), 1)
+
+
 def _with_luhn(card: Column) -> Column:
     """The card number with its last digit set so that its checksum holds."""
     body = F.substring(card, F.lit(1), F.length(card) - 1)
@@ -146,7 +163,9 @@ def _name_part(part: Column, kind: Column, stream: Column, attempt: Column) -> C
 def _surrogate(kind: Column, value: Column, norm: Column, attempt: Column, key: str) -> Column:
     """What stands for an entity written as `value`."""
     stream = _stream(key, kind, norm, attempt)
-    plain = _characters(value, stream, kind, (kind == "secret") & norm.rlike("^[0-9a-f]+$"))
+    hexadecimal = (kind == "secret") & norm.rlike("^[0-9a-f]+$")
+    long = (kind == "secret") & (F.length(value) > PLACES)
+    plain = F.when(long, _long_characters(value, stream, kind, hexadecimal)).otherwise(_characters(value, stream, kind, hexadecimal))
     out = F.when(kind == "ip", _ip(value, stream)).when(kind == "card", _with_luhn(plain)).when(kind == "iban", _with_iban_check(plain))
     return out.when(kind.startswith("given") | (kind == "family"), _name_part(value, kind, stream, attempt)).otherwise(plain)
 

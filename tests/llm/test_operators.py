@@ -390,6 +390,23 @@ def test_entities_after_letters_beyond_ascii(spark):
         assert n == 1 and plain not in text and text.startswith(old[: old.index(plain)])
 
 
+def test_secrets_of_any_length(spark):
+    rng = random.Random(8)
+    runs = ["".join(rng.choices("ABCDEFabcdefghijk0123456789_-", k=n)) + "Z" for n in (20, 62, 63, 64, 513, 805, 20_000)]
+    hexadecimal = "".join(rng.choices("0123456789abcdef", k=700))
+    texts = [f"token={x}. Then" for x in [*runs, hexadecimal]] + [f"again token={runs[5]}"]
+    got = replaced(spark, texts)
+    for (text, n), old in zip(got[:-1], [*runs, hexadecimal], strict=True):
+        new = text[len("token=") : -len(". Then")]
+        assert n == 1 and text.startswith("token=") and text.endswith(". Then") and len(new) == len(old)
+        assert all(old[k : k + 12] not in text for k in range(0, len(old) - 12, 4))
+        assert all((a.isdigit(), a.isupper(), a.islower()) == (b.isdigit(), b.isupper(), b.islower()) for a, b in zip(old, new, strict=True) if old != hexadecimal)
+    assert set(got[-2][0][6:-6]) <= set("0123456789abcdef")
+    long = got[6][0][6:-6]
+    assert len({long[k : k + 63] for k in range(0, len(long), 63)}) == -(-len(long) // 63)
+    assert got[-1][0] == "again token=" + got[5][0][6:-6]
+
+
 def test_lookup_joins_hot_and_rare_keys(spark):
     from corpusguard.llm.workspace import lookup
 
