@@ -30,8 +30,8 @@ PATTERNS = {
 #: No kind begins after a letter of ASCII, and none but a name after a digit of it: tested once, it ends most attempts at
 #: once. What else may not stand before is told by the patterns.
 ANY = r"(?<![A-Za-z])(?:(?<![0-9])(?:" + "|".join(p for k, p in PATTERNS.items() if k != "name") + ")|" + PATTERNS["name"] + ")"
-#: What a text with an entity must hold: a digit, an at, an equals or colon sign, or a title. Other texts aren't searched.
-HINT = r"[0-9@=:]|(?<!\p{L})(?=[" + "".join(sorted({t[0] for ts in TITLES.values() for t in ts})) + "])" + _TITLE + r" \p{Lu}"
+#: What a text with an entity must hold: a digit, an at, an equals or colon sign, the start of an access key, or a title. Other texts aren't searched.
+HINT = r"[0-9@=:]|A(?:KIA|SIA)|(?<!\p{L})(?=[" + "".join(sorted({t[0] for ts in TITLES.values() for t in ts})) + "])" + _TITLE + r" \p{Lu}"
 #: Sounds that surrogate names are made of, by script; given names end by gender.
 SOUNDS = {
     "Latin": ("Al Be Ca Da El Fa Ga Ha In Jo Ka La Ma Na Or Pa Ro Sa Ta Va".split(), "bar den fel gor han kin lan mir nor per ras sel tan ver wil zen".split(), {"f": "a", "m": "o", "n": "e"}),
