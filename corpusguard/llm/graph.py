@@ -20,13 +20,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     n_edges = both.count()
     labels = staged(both.groupBy("x").agg(F.count("*").alias("degree"), F.least(F.col("x"), F.min("y")).alias("label")), "labels")
     while True:
-        near = lookup(both, labels.select("x", "label", "degree"), "x", "degree", n_edges).groupBy("y").agg(F.min("label").alias("near"))
+        near = lookup(both, labels.select("x", "label", "degree"), "x", "degree", n_edges, nulls=False).groupBy("y").agg(F.min("label").alias("near"))
         taken = labels.join(near, labels.x == near.y).select("x", "degree", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         taken = staged(taken, "taken")
         # many nodes can share a label, but its own row is one: pre-aggregate the label's side
         sizes = taken.groupBy("label").count()
         jump = sizes.join(taken.select(F.col("x").alias("label"), F.col("label").alias("far")), "label")
-        jumped = lookup(taken, jump, "label", "count", n_edges).select("x", "degree", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
+        jumped = lookup(taken, jump, "label", "count", n_edges, nulls=False).select("x", "degree", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
         after = staged(jumped, "labels")
         changed = after.filter("label <> old").limit(1).count()
         labels = after.select("x", "degree", "label")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,14 +85,17 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
 
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for first, sets in shingle_sets(batch.column(1), size):
+            for first, sets in shingle_sets(batch.column(2), size):
                 keys = band_keys(densified(sets))
                 counts = np.fromiter(map(len, sets), np.int64, len(sets))
                 prints = [mix(s).sum(dtype=np.uint64).tobytes() + mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).tobytes() + len(s).to_bytes(8, "little") if len(s) else None for s in sets]
                 offsets = np.arange(0, (len(sets) + 1) * BANDS, BANDS, dtype=np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()), mask=pa.array(counts == 0))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(counts), pa.array(prints, pa.binary()), bands], ["doc_id", "n_shingles", "print", "bands"])
+                rows = pa.array(np.arange(number, number + len(sets)))
+                number += len(sets)
+                yield pa.RecordBatch.from_arrays([rows, *(batch.column(c).slice(first, len(sets)) for c in (0, 1)), pa.array(counts), pa.array(prints, pa.binary()), bands], ["row", "doc_id", "digest", "n_shingles", "print", "bands"])
 
     return run
 
@@ -124,23 +128,23 @@ def _confirmed(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     degrees = edges.groupBy("hub").agg(F.ceil(F.count("*") / 500).cast("int").alias("salts"))
     hubs = degrees.join(texts, F.col("hub") == F.col("node")).select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("leaf"), "text")
     n_edges = edges.count()
-    salted = lookup(edges, degrees.withColumn("n", F.col("salts") * 500), "hub", "n", n_edges)
+    salted = lookup(edges, degrees.withColumn("n", F.col("salts") * 500), "hub", "n", n_edges, nulls=False)
     leaves = salted.join(texts, F.col("leaf") == F.col("node")).select("hub", F.pmod(F.xxhash64("leaf"), F.col("salts")).cast("int").alias("salt"), "leaf", "text")
     dealt = hubs.unionByName(leaves).repartition(partitions(spark), "hub", "salt").sortWithinPartitions("hub", "salt", F.col("leaf").asc_nulls_first())
     return dealt.mapInArrow(_confirm(size, percent), "hub bigint, leaf bigint")
 
 
-def _links_in(band: int, rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Links (hub, leaf) between rows (node, component, block, bands, set) of different components, and blocks if there are two.
+def _links_in(band: int, rows: list[tuple], percent: int) -> set[tuple[int, int]]:
+    """Links between components, of rows (component, block, bands, set) in different ones, and in different blocks if there are two.
 
     A pair is compared in the first of its common buckets alone.
     """
-    nodes, parts, blocks = (np.array([r[c] for r in rows], np.int64) for c in range(3))
-    bands, sets = np.array([r[3] for r in rows], np.int64), [r[4] for r in rows]
+    parts, blocks = (np.array([r[c] for r in rows], np.int64) for c in range(2))
+    bands, sets = np.array([r[2] for r in rows], np.int64), [r[3] for r in rows]
     counts = np.fromiter(map(len, sets), np.int64, len(sets))
     values, codes = np.unique(np.concatenate(sets), return_inverse=True)
     own = np.split(codes, np.cumsum(counts)[:-1])
-    one_block, held, found = (blocks == blocks[0]).all(), np.zeros(len(values), bool), []
+    one_block, held, found = (blocks == blocks[0]).all(), np.zeros(len(values), bool), set()
     for i in range(len(rows) - 1):
         fits = (parts[i + 1 :] != parts[i]) & (100 * np.minimum(counts[i + 1 :], counts[i]) >= percent * np.maximum(counts[i + 1 :], counts[i]))
         if not one_block:
@@ -154,24 +158,24 @@ def _links_in(band: int, rows: list[tuple], percent: int) -> list[tuple[int, int
         both = np.fromiter((np.count_nonzero(held[own[k]]) for k in others.tolist()), np.int64, len(others))
         held[own[i]] = False
         for k in others[100 * both >= percent * (counts[i] + counts[others] - both)].tolist():
-            found.append((int(min(nodes[i], nodes[k])), int(max(nodes[i], nodes[k]))))
+            found.add((int(min(parts[i], parts[k])), int(max(parts[i], parts[k]))))
     return found
 
 
 def _compare(size: int, percent: int):
-    """Rows (band, low, high, block, node, component, bands, text) sorted by the first three, which make a group: yields its links (hub, leaf)."""
+    """Rows (band, low, high, block, component, bands, text) sorted by the first three, which make a group: yields its links (a, b) between components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links() -> Iterator[pa.RecordBatch]:
-            found = _links_in(at[0], rows, percent) if len(rows) > 1 and (at[1] == at[2] or len({r[2] for r in rows}) > 1) else []
+            found = _links_in(at[0], rows, percent) if len(rows) > 1 and (at[1] == at[2] or len({r[1] for r in rows}) > 1) else ()
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["hub", "leaf"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
         at, rows = None, []
         for batch in batches:
             groups = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
-            heads = list(zip(*(batch.column(c).to_pylist() for c in (4, 5, 3, 6)), strict=True))
-            for first, sets in shingle_sets(batch.column(7), size):
+            heads = list(zip(*(batch.column(c).to_pylist() for c in (4, 3, 5)), strict=True))
+            for first, sets in shingle_sets(batch.column(6), size):
                 for k, s in enumerate(sets, first):
                     if groups[k] != at:
                         yield from links()
@@ -183,7 +187,7 @@ def _compare(size: int, percent: int):
 
 
 def _all_links(open_: DataFrame, texts: DataFrame, sketches: DataFrame, n_rows: int, size: int, percent: int) -> DataFrame:
-    """Links (hub, leaf) between all members of a bucket that are in different components; open_ has band, node, component.
+    """Links (a, b) between components, of all members of a bucket that are in different ones; open_ has band, node, component.
 
     A bucket's largest component and its other members are dealt into blocks. Each block of the others meets all blocks,
     so members of the largest component are copied once for each block of the others.
@@ -191,16 +195,16 @@ def _all_links(open_: DataFrame, texts: DataFrame, sketches: DataFrame, n_rows:
     per = open_.groupBy("band", "component").agg(F.count("*").alias("n"))
     most = per.groupBy("band").agg(F.max(F.struct("n", "component")).alias("big"), F.sum("n").alias("size"))
     plan = most.select("band", "size", F.col("big.component").alias("largest"), F.ceil((F.col("size") - F.col("big.n")) / BLOCK).cast("int").alias("n_rest"), F.ceil(F.col("big.n") / BLOCK).cast("int").alias("n_big"))
-    bands = sketches.filter("print is not null").select(F.col("doc_id").alias("node"), "bands").join(open_.select("node").distinct(), "node").groupBy("node").agg(F.first("bands").alias("bands"))
+    bands = sketches.select(F.col("row").alias("node"), "bands").join(open_.select("node").distinct(), "node")
     held = staged(texts.join(bands, "node"), "held")
     draw, rest = F.xxhash64("node"), F.col("component") != F.col("largest")
     block = F.when(rest, F.pmod(draw, F.col("n_rest"))).otherwise(F.col("n_rest") + F.pmod(draw, F.col("n_big"))).cast("int")
     last = F.when(rest, F.col("n_rest") + F.col("n_big")).otherwise(F.col("n_rest")) - 1
-    dealt = lookup(open_, plan, "band", "size", n_rows * BANDS).select("band", "node", "component", block.alias("block"), last.alias("last")).join(held, "node")
-    met = dealt.select("band", "node", "component", "block", "bands", "text", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
-    met = met.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "bands", "text")
+    dealt = lookup(open_, plan, "band", "size", n_rows * BANDS, nulls=False).select("band", "node", "component", block.alias("block"), last.alias("last")).join(held, "node")
+    met = dealt.select("band", "component", "block", "bands", "text", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    met = met.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "component", "bands", "text")
     met = met.repartition(partitions(open_.sparkSession), "band", "low", "high").sortWithinPartitions("band", "low", "high")
-    return met.mapInArrow(_compare(size, percent), "hub bigint, leaf bigint").distinct()
+    return met.mapInArrow(_compare(size, percent), "a bigint, b bigint").distinct()
 
 
 def near_copies(docs: DataFrame, shingle: int = 2, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -208,63 +212,94 @@ def near_copies(docs: DataFrame, shingle: int = 2, threshold: float = 0.8, key:
 
     A document's set is its distinct word shingles (words: runs of bytes outside 0x20 and 0x09-0x0D, A-Z lower-cased);
     with fewer words its whole sequence; a null or empty text has an empty set and is linked with nothing. Documents
-    with |A and B| >= threshold * |A or B| are linked. Keys are integers; rows that share a key and a set are one
-    document; a null key with another's set joins its component, else its component_id is null and it is kept. No rows
-    give no rows; other columns don't matter.
-
-    Rows with equal sets become one node first. Nodes that share a band form a bucket, whose members are compared with
-    one hub alone: the smallest node in the first round. While a bucket still spans several components, another member
-    becomes its hub and is compared with the members of other components, unless that pair was tried. When a round adds no
-    link, all members of the buckets that still span components are compared with all members of other components there.
-    Every link is confirmed on the full sets. A pair at the threshold is missed with a chance of about 1e-7.
+    with |A and B| >= threshold * |A or B| are linked; the threshold counts in whole hundredths. Keys are integers and
+    need not be unique: each row is a node of its own, so rows that share a key can be in different components. A row
+    whose key is null joins its component, which is named by its smallest key that isn't; a component without one (and
+    a linkless row with a null key) has a null component_id, and such rows are kept. No rows give no rows; other
+    columns don't matter.
+
+    Rows with equal sets become one node first (sets are told apart by 128 bits of sums of hashes, and their size).
+    Nodes that share a band form a bucket, whose members are compared with one hub alone: the smallest node in the
+    first round. Components are then contracted: later rounds take only buckets that still span several components,
+    and only links between components. In each, another member becomes a bucket's hub and is compared with the members
+    of other components, unless that pair was tried. When a round leaves more than 80 % of what was open, all members
+    of the open buckets are compared with all members of other components there, so no bucket is left unsearched. Every
+    link is confirmed on the full sets. A pair at the threshold shares no bucket with a chance of about 1e-7.
     """
     percent = round(threshold * 100)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketches = staged(rows.mapInArrow(_sketch(shingle), "doc_id bigint, n_shingles bigint, print binary, bands array<bigint>"), "sketches")
+    if abs(percent - threshold * 100) > 1e-9:
+        raise ValueError("the threshold counts in whole hundredths")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("digest"), F.col(text).alias("text"))
+    sketches = staged(rows.mapInArrow(_sketch(shingle), "row bigint, doc_id bigint, digest bigint, n_shingles bigint, print binary, bands array<bigint>"), "sketches")
     n_rows = sketches.count()
     filled = sketches.filter("print is not null")
-    classes = staged(filled.groupBy("print").agg(F.min("doc_id").alias("node"), F.count("*").alias("size")), "classes")
-    nodes = filled.join(classes.select(F.col("node").alias("doc_id"), "print"), ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
-    banded = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_key"), "doc_id", "row", "digest")).alias("first")
+    classes = filled.groupBy("print").agg(first, F.min("doc_id").alias("low"), F.count("*").alias("size"))
+    classes = staged(classes.select("print", F.col("first.row").alias("node"), F.col("first.digest").alias("digest"), "low", "size"), "classes")
+    nodes = filled.join(classes.select(F.col("node").alias("row")), "row")
+    banded = staged(nodes.select(F.col("row").alias("node"), F.explode("bands").alias("band")), "banded")
     shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    members = staged(lookup(banded, shared, "band", "size", n_rows * BANDS).filter("hub is not null"), "members")
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = rows.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select(F.col("doc_id").alias("node"), "text")
+    members = staged(lookup(banded, staged(shared, "shared"), "band", "size", n_rows * BANDS, nulls=False).filter("hub is not null"), "members")
+    wanted = classes.join(members.select("node").distinct(), "node").select("node", "low", "digest")
+    same = F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("digest") == F.col("wanted_digest"))
+    texts = rows.join(wanted.withColumnRenamed("digest", "wanted_digest"), same).groupBy("node").agg(F.min("text").alias("text"))
     texts = staged(texts, "texts")
-    edges = members.filter("node <> hub").select("hub", F.col("node").alias("leaf")).distinct()
-    tried = staged(edges, "tried")
+    tried = staged(members.filter("node <> hub").select("hub", F.col("node").alias("leaf")).distinct(), "tried")
     links = staged(_confirmed(tried, texts, shingle, percent), "links")
-    turn = 0
-    while True:
-        turn += 1
-        parts = components(links, "hub", "leaf")
-        placed = staged(_placed(members, parts), "placed")
-        order = F.xxhash64(F.lit(turn), "band", "node")
-        spans = placed.groupBy("band").agg(F.min(F.struct(order.alias("o"), "node", "component")).alias("first"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high")
-        spans = spans.select("band", F.col("first.node").alias("hub"), F.col("first.component").alias("hub_component"), "size")
-        # buckets within one component are done with: the next round has the others only
-        open_ = staged(lookup(placed, spans, "band", "size", n_rows * BANDS).filter("hub is not null"), "open")
-        members = open_.select("band", "node")
-        meet = open_.filter("component <> hub_component")
-        new = meet.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("leaf")).distinct()
-        new = staged(new.join(tried, ["hub", "leaf"], "left_anti"), "new")
-        added = staged(_confirmed(new, texts, shingle, percent), "added")
-        if not added.limit(1).count():
+    parts = components(links, "hub", "leaf")
+    open_ = _open(members.select("band", "node").join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), n_rows)
+    roots = None
+    left = open_.count()
+    while left:
+        order = F.xxhash64(F.lit(left), "band", "node")
+        hubs = open_.groupBy("band").agg(F.min(F.struct(order.alias("o"), "node", "component")).alias("first"), F.count("*").alias("size"))
+        hubs = hubs.select("band", F.col("first.node").alias("hub"), F.col("first.component").alias("hub_component"), "size")
+        meet = lookup(open_, hubs, "band", "size", n_rows * BANDS, nulls=False).filter("component <> hub_component")
+        pair = [F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("leaf")]
+        met = staged(meet.select(*pair, F.col("hub_component").alias("a"), F.col("component").alias("b")).distinct(), "met")
+        new = staged(met.select("hub", "leaf").distinct().join(tried, ["hub", "leaf"], "left_anti"), "new")
+        added = _confirmed(new, texts, shingle, percent)
+        roots, open_ = _contracted(met.join(added, ["hub", "leaf"]).select("a", "b"), roots, open_, n_rows)
+        before, left = left, open_.count()
+        if 5 * left > 4 * before:
             break
-        links, tried = staged(links.unionByName(added), "links"), staged(tried.unionByName(new), "tried")
-    if open_.limit(1).count():
-        added = staged(_all_links(open_.select("band", "node", "component"), texts, sketches, n_rows, shingle, percent), "added")
-        if added.limit(1).count():
-            parts = components(links.unionByName(added), "hub", "leaf")
-    found = classes.join(parts, "node", "left").select("print", F.coalesce("component", "node").alias("component"), "size")
-    out = lookup(sketches.select("doc_id", "n_shingles", "print"), found, "print", "size", n_rows)
-    component = F.coalesce("component", "doc_id")
+        tried = staged(tried.unionByName(new), "tried")
+    if left:
+        roots, open_ = _contracted(_all_links(open_, texts, sketches, n_rows, shingle, percent), roots, open_, n_rows)
+    placed = classes.join(parts, "node", "left").select("print", "low", "size", F.coalesce("component", "node").alias("component"))
+    if roots is not None:
+        placed = placed.join(roots, placed.component == roots.node, "left").select("print", "low", "size", F.coalesce("root", "component").alias("component"))
+    placed = staged(placed, "placed")
+    names = placed.groupBy("component").agg(F.min("low").alias("name"), F.count("*").alias("n"))
+    # a component is a row of names; those of many classes reach them by broadcast
+    named = lookup(placed, names, "component", "n", n_rows, nulls=False).select("print", "name", "size")
+    out = lookup(sketches.select("doc_id", "n_shingles", "print"), staged(named, "named"), "print", "size", n_rows)
+    component = F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("name"))
     return out.select(F.col("doc_id").alias(key), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def _placed(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """members with the component of their node; a node is in BANDS buckets at most, so none is hot."""
-    return members.select("band", "node").join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+def _open(members: DataFrame, n_rows: int) -> DataFrame:
+    """Those of the members (band, node, component) whose bucket spans several components."""
+    members = staged(members, "members")
+    spans = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high").select("band", "size")
+    return staged(lookup(members, spans, "band", "size", n_rows * BANDS, nulls=False).filter("size is not null").select("band", "node", "component"), "open")
+
+
+def _contracted(links: DataFrame, roots: DataFrame | None, open_: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Merge components over links (a, b) between them: roots (node: a component of the first round, root: what it is part of now) and the members still open."""
+    links = staged(links.filter("a <> b").distinct(), "links")
+    if not links.limit(1).count():
+        return roots, open_
+    merged = components(links, "a", "b").withColumnRenamed("component", "root")
+    if roots is None:
+        moved = merged
+    else:
+        far = merged.select(F.col("node").alias("_root"), F.col("root").alias("_far"))
+        old = roots.join(far, F.col("root") == F.col("_root"), "left").select("node", F.coalesce("_far", "root").alias("root"))
+        moved = staged(old.unionByName(merged.join(roots, "node", "left_anti")), "roots")
+    sizes = open_.groupBy("component").count()
+    renamed = lookup(open_, sizes.join(merged, sizes.component == merged.node).select("component", "root", "count"), "component", "count", open_.count(), nulls=False)
+    return moved, _open(renamed.select("band", "node", F.coalesce("root", "component").alias("component")), n_rows)
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,13 @@ HEAVY_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a temporary one in local mode (tests);
+    on a cluster that is an error, as every machine would write to a disk of its own."""
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         place = tempfile.mkdtemp(prefix="corpusguard-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -52,22 +57,22 @@ def fold(column: str, parts: int) -> Column:
     return F.pmod(F.crc32(doc_key(column).cast("binary")), F.lit(parts)).cast("int")
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, size: str, n_rows: int, nulls: bool = True) -> DataFrame:
     """Left join of rows with table (one row a key; size: how many of rows have the key), whatever the skew.
 
-    Keys holding more than 1/HEAVY_SHARE of the rows number HEAVY_SHARE at most: they go by broadcast. All other keys
-    go through an ordinary shuffled join, in which none is hot.
+    Keys holding more than 1/HEAVY_SHARE of the rows number HEAVY_SHARE at most: their rows meet a broadcast table and
+    are never shuffled. Rows without a key meet nothing. Only the rest goes through a shuffled join, in which no key of
+    the table is hot. rows and table are read more than once, so they should be written tables or cheap to make.
+    nulls=False vouches that every row has a key.
     """
     heavy = F.col(size) * HEAVY_SHARE > n_rows
     values = [c for c in table.columns if c != key]
-    hot = table.filter(heavy).select(key, F.struct(*values).alias("_hot"))
-    rest = table.filter(~heavy).select(F.col(key).alias("_key"), F.struct(*values).alias("_rest"))
-    out = rows.join(F.broadcast(hot), key, "left")
-    # a heavy row has its answer; it is dealt by a value of its own, so it meets nothing and crowds nowhere
-    out = out.withColumn("_probe", F.when(F.col("_hot").isNull(), F.col(key)))
-    spread = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)).cast("int") + 1)
-    out = out.withColumn("_spread", spread).join(
-        rest.withColumn("_zero", F.lit(0)), (F.col("_probe") == F.col("_key")) & (F.col("_spread") == F.col("_zero")), "left"
-    )
-    got = F.coalesce(F.col("_hot"), F.col("_rest"))
-    return out.select(*[F.col(c) for c in rows.columns], *[got[c].alias(c) for c in values])
+    hot = table.filter(heavy)
+    taken = [F.col(c) for c in rows.columns] + [F.col(c) for c in values]
+    with_hot = rows.join(F.broadcast(hot), key).select(*taken)
+    cold = (rows.filter(F.col(key).isNotNull()) if nulls else rows).join(F.broadcast(hot.select(key)), key, "left_anti")
+    with_cold = cold.join(table.filter(~heavy), key, "left").select(*taken)
+    if not nulls:
+        return with_hot.unionByName(with_cold)
+    none = rows.filter(F.col(key).isNull()).select(*[F.col(c) for c in rows.columns], *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in values])
+    return with_hot.unionByName(with_cold).unionByName(none)
