@@ -1,21 +1,24 @@
-"""Byte-level BPE by a tokenization automaton: merges are compiled into a table of gadgets, texts follow its transitions."""
+"""Byte-level BPE by a tokenization automaton: merges are compiled gadget by gadget into a table of transitions, which texts follow."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the pre-split of byte-level BPE files whose pre_tokenizer is ByteLevel with use_regex.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker keeps with their ids; the cache starts anew when it is full.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_500_000
 
 
 def byte_of_char() -> dict[str, int]:
@@ -28,12 +31,17 @@ def byte_of_char() -> dict[str, int]:
 class Automaton:
     """A deterministic automaton whose arcs are tokens and whose paths are exactly the tokenizations that the merges give.
 
-    It begins as one state with an arc for each byte. Merge number m, of u and v, adds a gadget: wherever an arc u leads
-    to a state with an arc v, the u arc is redirected to a copy of that state without its v arc, and the new arc uv goes
-    to where v led. A state is thus told by the arc that entered it, and what a gadget has taken from it: the state of
-    uv begins as that of v and later loses arcs of its own; a token exists in a state if its first half did when the
-    gadget was added. `right` and `left` hold these two inheritances, with the number of the gadget, and `gadget` the
-    arcs taken away. allowed() reads a transition off these tables and keeps it.
+    It begins as one state with an arc for each byte. Merge number m, of u and v into c, adds a gadget: wherever an arc u
+    leads to a state with an arc v, the u arc is redirected to a copy of that state without its v arc, and a new arc c
+    goes to where v led. So a state is told by the arc that entered it, and the gadgets in order amount to this on the
+    table of states by arcs: the state of c begins as that of v, then the state of u loses the arc v, then c has an arc
+    wherever u has one.
+
+    Compiled, a state is the list of arcs that it lacks. By the first rule it takes over what the state of v had lost
+    until then, and so on down the right halves. By the third, the loss of an arc v at gadget m is also that of all arcs
+    made from v on the left later on. Arcs are numbered so that these are one run: depth first along the left halves,
+    the later made the earlier. `cuts` holds the ends of the runs that each state lacks, merged and sorted, from
+    first[state] on: an arc is in a run, and so missing, if an odd number of ends is at most its number.
     """
 
     def __init__(self, path: str):
@@ -49,108 +57,120 @@ class Automaton:
             self.label[i] = token
         for token, i in self.special.items():
             self.label[i] = token.encode()
-        #: For each token: what its gadget joined, and its number; bytes are born at -1.
-        self.born, self.halves = [-1] * size, [(-1, -1)] * size
-        self.gadget: dict[int, int] = {}
-        self.arc: dict[bytes, int] = {bytes([b]): ids[bytes([b])] for b in range(256) if bytes([b]) in ids}
+        merges = np.zeros((len(model["merges"]), 3), np.int64)
         for number, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            u, v, uv = ids[as_bytes[a]], ids[as_bytes[b]], ids[as_bytes[a] + as_bytes[b]]
-            self.gadget.setdefault(u << 32 | v, number)
-            if self.label[uv] not in self.arc:
-                self.arc[self.label[uv]], self.born[uv], self.halves[uv] = uv, number, (u, v)
-        self.longest = max(map(len, self.arc))
-        self._heads = {token[:k] for token in self.arc for k in range(1, len(token) + 1)}
-        self._moves: dict[int, bool] = {}
-
-    def allowed(self, state: int, token: int) -> bool:
-        """Whether the state entered by one token has an arc for another."""
-        move = state << 32 | token
-        known = self._moves.get(move)
-        if known is None:
-            if len(self._moves) > 4_000_000:
-                self._moves.clear()
-            known = self._moves[move] = self._walk(state, token)
-        return known
+            merges[number] = ids[as_bytes[a]], ids[as_bytes[b]], ids[as_bytes[a] + as_bytes[b]]
+        if len(np.unique(merges[:, 2])) < len(merges):
+            raise ValueError("two merges give one token")
+        #: What the start state has: each byte, and all that gadgets made of them.
+        made = [i for t, i in ids.items() if len(t) == 1] + merges[:, 2].tolist()
+        self.arc = {self.label[i]: i for i in made}
+        #: Each end of a token's bytes: the token if it is whole, else -1.
+        self.tails = {t[k:]: -1 for t in self.arc for k in range(1, len(t))} | self.arc
+        self._compile(size, merges)
 
-    def _walk(self, state: int, token: int) -> bool:
-        return self._standing(state, token, len(self.born))
+    def _compile(self, size: int, merges: np.ndarray) -> None:
+        n = len(merges)
+        born, left, right = (np.full(size, -1, np.int64) for _ in range(3))
+        u, v, c = merges.T
+        born[c], left[c], right[c] = np.arange(n), u, v
+        # number the arcs: below each token the ones it is the left half of, the later made first
+        below = np.ones(size, np.int64)
+        for token in c[::-1].tolist():
+            below[left[token]] += below[token]
+        self.number, last = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        at = 0
+        for token in np.flatnonzero(left < 0).tolist():
+            self.number[token] = at
+            last[token] = at + below[token]
+            at = last[token]
+        for token in c.tolist():
+            # places are taken from the back: what was made earlier lies behind
+            last_of = last[left[token]]
+            self.number[token] = last_of - below[token]
+            last[left[token]] = self.number[token]
+            last[token] = last_of
+        # gadgets by their left token, in order
+        order = np.argsort(u, kind="stable")
+        begins = np.searchsorted(u[order], np.arange(size + 1))
+        keyed = u[order] * n + order
+        states, lost, when_lost = [], [], []
+        owner = np.flatnonzero(born >= -1)
+        spine, until = owner.copy(), np.full(size, n, np.int64)
+        while len(owner):
+            # what the state of `spine` lost from its own gadget on, until its copy was taken
+            a = np.searchsorted(keyed, spine * n + born[spine] + 1)
+            b = np.searchsorted(keyed, spine * n + until)
+            many = np.maximum(b - a, 0)
+            ends = np.cumsum(many)
+            m = order[np.repeat(a - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            states.append(np.repeat(owner, many))
+            lost.append(v[m])
+            when_lost.append(m)
+            until = born[spine]
+            owner, spine, until = owner[until >= 0], right[spine][until >= 0], until[until >= 0]
+        states, arcs, when = (np.concatenate(x) for x in (states, lost, when_lost))
+        # the arc itself and all that was made from it on the left after that gadget: a run that begins with the arc's own number
+        # (a gadget of a token with itself makes its new arc after the loss, so that arc counts as later)
+        later = np.searchsorted(keyed, arcs * n + when)
+        some = later < begins[arcs + 1]
+        end = self.number[arcs] + 1
+        nearest = c[order[np.minimum(later, n - 1)]] if n else arcs
+        end[some] = (self.number[nearest] + below[nearest])[some]
+        start = self.number[arcs]
+        by = np.lexsort((start, states))
+        states, start, end = states[by], start[by], end[by]
+        # merge runs that touch: a new one begins where no earlier end of its state reaches
+        reach = np.maximum.accumulate(states * (size + 1) + end)
+        fresh = np.append(True, (states[1:] != states[:-1]) | (start[1:] > reach[:-1] - states[1:] * (size + 1))) if len(states) else np.zeros(0, bool)
+        heads = np.flatnonzero(fresh)
+        tails = np.append(heads[1:], len(states)) - 1
+        cuts = np.stack([start[heads], reach[tails] - states[tails] * (size + 1)], axis=1)
+        self.cuts = array("i", cuts.astype(np.int32).tobytes())
+        self.first = (2 * np.searchsorted(states[heads], np.arange(size + 1))).tolist()
+        self.number = self.number.tolist()
+
+    def step(self, state: int, token: int) -> bool:
+        """Whether the state entered by one token has an arc for another."""
+        first = self.first
+        return not (bisect_right(self.cuts, self.number[token], first[state], first[state + 1]) - first[state]) & 1
 
     def encode(self, word: bytes) -> list[int]:
-        """The one path of the automaton that spells the word; longest arcs are tried first, dead positions are kept."""
-        whole = self.arc.get(word)
-        if whole is not None:
-            # a token of the vocabulary is the path of its own bytes unless merges never reach it
-            if self._reached(whole):
-                return [whole]
-        n, at, dead = len(word), 0, set()
-        path: list[int] = []
-        tries = min(self.longest, n)
-        ends: list[int] = []
-        heads, arc = self._heads, self.arc
-        while at < n:
-            found = -1
-            last = path[-1] if path else -1
-            length = min(tries, n - at)
-            while length:
-                end = at + length
-                if end not in dead:
-                    token = arc.get(word[at:end])
-                    if token is not None and (last < 0 or self.allowed(last, token)) and self._reached(token):
-                        found = token
-                        break
-                length -= 1
-            if found < 0:
-                dead.add(at)
-                if not path:
-                    raise ValueError(f"no path spells {word!r}")
-                path.pop()
-                at = ends.pop()
-                tries = self.longest
-                continue
-            path.append(found)
-            ends.append(at)
-            at = end
-            tries = self.longest
-        return path
-
-    def _reached(self, token: int) -> bool:
-        """Whether the gadgets that build a token leave its arc in place (its halves can follow each other when it is added)."""
-        got = self._moves.get(-token - 1)
-        if got is None:
-            u, v = self.halves[token]
-            if u < 0:
-                got = True
-            else:
-                got = self._reached(u) and self._reached(v) and self._standing(u, v, self.born[token])
-            self._moves[-token - 1] = got
-        return got
-
-    def _standing(self, u: int, v: int, number: int) -> bool:
-        """Whether the state entered by u still had its v arc just before a gadget was added.
-
-        Both inheritances are followed from the youngest half down. A gadget met on the way took the arc if it was added
-        before u and v were built into what follows. Where both were the same gadget (runs of one token), the left
-        pair is joined first.
+        """The one path of the automaton that spells the word.
+
+        After each byte there is one state at most: paths of a text's beginning are tokenizations of it, so only one
+        ends there. A state follows from the earlier one where its own arc begins.
         """
-        until_u = until_v = number
-        while True:
-            rank = self.gadget.get(u << 32 | v)
-            if rank is not None and rank < until_u and (rank < until_v or rank == until_v < number):
-                return False
-            if self.born[u] < 0 and self.born[v] < 0:
-                return True
-            if self.born[u] > self.born[v]:
-                until_u, u = self.born[u], self.halves[u][1]
-            else:
-                until_v, v = self.born[v], self.halves[v][0]
+        n, tails, cuts, first, number = len(word), self.tails.get, self.cuts, self.first, self.number
+        state = [-1] * (n + 1)
+        for end in range(1, n + 1):
+            begin = end
+            while begin:
+                begin -= 1
+                token = tails(word[begin:end])
+                if token is None:
+                    break
+                if token >= 0:
+                    before = state[begin]
+                    # the test of step(), written out
+                    if not begin or before >= 0 and not (bisect_right(cuts, number[token], first[before], first[before + 1]) - first[before]) & 1:
+                        state[end] = token
+                        break
+        if n and state[n] < 0:
+            raise ValueError(f"no path spells {word!r}")
+        path, at = [], n
+        while at:
+            path.append(state[at])
+            at -= len(self.label[state[at]])
+        return path[::-1]
 
 
 class Codec:
     """Whole texts to ids and back, with a bounded cache of words."""
 
-    def __init__(self, path: str):
-        self.automaton = Automaton(path)
+    def __init__(self, automaton: Automaton):
+        self.automaton = automaton
         self.split = regex.compile(SPLIT).findall
         special = sorted(self.automaton.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
@@ -208,9 +228,9 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
-def _codec(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _codec(batches: Iterator[pa.RecordBatch], path: str, automaton: Broadcast) -> Iterator[pa.RecordBatch]:
     if path not in _CODECS:
-        _CODECS[path] = Codec(path)
+        _CODECS[path] = Codec(automaton.value)
     codec = _CODECS[path]
     for batch in batches:
         for first in range(0, len(batch), 256):
@@ -228,9 +248,11 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     """Encode each whole text, decode its ids, and return key, n_tokens, ids_sha256 (ids as little-endian 32-bit) and decoded_sha256.
 
     One row out for each row in, whatever the key (null and repeated keys too); a null text counts as empty and has no
-    ids; other columns don't matter; an empty table gives no rows. `path`: a vocabulary file on every machine.
+    ids; other columns don't matter; an empty table gives no rows. `path`: a vocabulary file on the driver. The
+    automaton is compiled there once and broadcast: its size follows the vocabulary, not the corpus.
     """
+    automaton = docs.sparkSession.sparkContext.broadcast(Automaton(path))
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    out = rows.mapInArrow(lambda it: _codec(it, path), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    out = rows.mapInArrow(lambda it: _codec(it, path, automaton), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("doc_id", key)
