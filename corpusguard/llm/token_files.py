@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -13,15 +14,23 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import SPACE, pieces
+from .textkit import pieces, words
 from .workspace import new_path, partitions, staged
 
 #: Words that a worker keeps with their ids; the cache starts anew when it is full.
-CACHE_WORDS = 1_200_000
-#: Bytes of text for each range of ids, and so for each file.
-FILE_TEXT_BYTES = 24 << 20
+CACHE_WORDS = 2_000_000
+#: Bytes of text for each range of ids, and so for each file; with more than MAX_FILES of them, files are larger instead.
+FILE_TEXT_BYTES, MAX_FILES = 24 << 20, 16_384
 #: Sequences in one record batch.
 BATCH_SEQUENCES = 64
+FLOOR = -(1 << 63)
+
+
+def _steps(node: dict | None) -> list[dict]:
+    """The single steps of a normalizer in a tokenizer file."""
+    if not node:
+        return []
+    return [s for n in node["normalizers"] for s in _steps(n)] if node["type"] == "Sequence" else [node]
 
 
 class WordCache:
@@ -35,6 +44,12 @@ class WordCache:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        #: Whether the file's own normalizer lowers letters, so that words may meet in the cache in lower case.
+        self.lowers = any(s["type"] == "Lowercase" for s in _steps(spec.get("normalizer")))
+        #: Bytes that strings of added tokens begin with: words that hold one are looked up as they are.
+        self.marks = sorted({t["content"].encode()[0] for t in spec.get("added_tokens", [])})
         self._clear()
 
     def _clear(self) -> None:
@@ -52,71 +67,80 @@ class WordCache:
         owner = np.searchsorted(np.cumsum(lengths), begins, "right")
         return ids, np.bincount(owner, minlength=len(new))
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
+    def lowered(self, buffer: bytes) -> bytes:
+        """The buffer with A-Z lowered in words of ASCII alone, if the tokenizer lowers all letters anyway.
+
+        The normalizer may compose a letter with a mark after it before it lowers letters; within ASCII, and before
+        white space or an end, there is nothing to compose.
+        """
+        if not self.lowers:
+            return buffer
+        data = np.frombuffer(buffer, np.uint8)
+        odd = data >= 0x80
+        for mark in self.marks:
+            odd |= data == mark
+        if not odd.any():
+            return buffer.lower()
+        at = np.flatnonzero((data >= 0x41) & (data <= 0x5A))
+        starts, ends, _ = words(data, np.zeros(1, np.int64))
+        before = np.concatenate([[0], np.cumsum(odd)])
+        plain = before[ends] == before[starts]
+        at = at[plain[np.searchsorted(starts, at, "right") - 1]] if len(starts) else at[:0]
+        out = data.copy()
+        out[at] += 0x20
+        return out.tobytes()
+
+    def encode(self, buffer: bytes, starts: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text of a buffer (see pieces())."""
+        buffer = self.lowered(buffer)
+        ends = np.append(starts[1:] - 1, len(buffer))
         if len(self.known) > CACHE_WORDS:
             self._clear()
-        new = list({w for words in split for w in words if w not in self.known})
+        split = [buffer[a:b].split() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        places = [list(map(self.known.get, words_)) for words_ in split]
+        new = list({w for words_, at in zip(split, places, strict=True) if None in at for w, k in zip(words_, at, strict=True) if k is None})
         if new:
             found, counts = self._look_up(new)
             self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(counts) - counts])
             self.count = np.concatenate([self.count, counts])
             self.ids = np.concatenate([self.ids, found])
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        out, get = [], self.known.__getitem__
-        for words in split:
-            at = np.fromiter(map(get, words), np.int64, len(words))
-            count = self.count[at]
-            ends = np.cumsum(count)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.ids[np.repeat(self.first[at] - (ends - count), count) + np.arange(total)])
-        return out
-
-
-_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
-_MARK[list(b".,;:!?%*#&$|")] = True
-_LETTER[0x61:0x7B] = True
-
-
-def apart(buffer: bytes, starts: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The texts of a buffer, with a space before each run of marks that ends a word of a-z: the pre-tokenizer parts them anyway, and fewer words are different."""
-    data = np.frombuffer(buffer, np.uint8)
-    if len(data) < 2:
-        return buffer, starts
-    mark = _MARK[data]
-    begins = np.flatnonzero(mark[1:] & _LETTER[data[:-1]]) + 1
-    others = np.append(np.flatnonzero(~mark), len(data))
-    ends = others[np.searchsorted(others, begins)]
-    begins = begins[(ends == len(data)) | SPACE[data[np.minimum(ends, len(data) - 1)]]]
-    return np.insert(data, begins, 0x20).tobytes(), starts + np.searchsorted(begins, starts)
+        get = self.known.__getitem__
+        flat = np.array([k for words_, at in zip(split, places, strict=True) for k in (map(get, words_) if None in at else at)], np.int64)
+        count = self.count[flat]
+        to = np.cumsum(count)
+        ids = self.ids[np.repeat(self.first[flat] - (to - count), count) + np.arange(int(to[-1]) if len(to) else 0)]
+        cuts = np.concatenate([[0], to])[np.cumsum([len(words_) for words_ in split])]
+        return np.split(ids, cuts[:-1])
 
 
 #: One cache for each vocabulary and worker process: later tasks of the process find their words known.
 _CACHES: dict[str, WordCache] = {}
 
 
-def _encoder(path: str, end_id: int, bounds: list[int], dtype: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encoder(path: str, end_id: int, cuts: list[int], dtype: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """cuts: the largest keys of all files but the last; a key that fills several files stands there as often, and its rows are dealt to them by their ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _CACHES:
             _CACHES[path] = WordCache(path)
-        cache, edges = _CACHES[path], np.array(bounds, np.int64)
+        cache, edges = _CACHES[path], np.array(cuts, np.int64)
         for batch in batches:
             for first, last, buffer, starts in pieces(batch.column(1)):
-                # the normalizer lowers all letters, so A-Z may be lowered before words are looked up, unless a special token's string could be met
-                if b"<|" not in buffer:
-                    buffer, starts = apart(buffer.lower(), starts)
-                ends = np.append(starts[1:] - 1, len(buffer))
-                ids = cache.encode([buffer[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+                packed = [np.append(x, np.uint32(end_id)).astype(dtype).tobytes() for x in cache.encode(buffer, starts)]
                 keys = batch.column(0).slice(first, last - first)
-                shard = np.searchsorted(edges, keys.fill_null(-(1 << 63)).to_numpy(), "left")
-                packed = pa.array([np.append(x, np.uint32(end_id)).astype(dtype).tobytes() for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), keys, packed], ["shard", "doc_id", "ids"])
+                plain = keys.fill_null(FLOOR).to_numpy()
+                shard = np.searchsorted(edges, plain, "left")
+                files = np.searchsorted(edges, plain, "right") - shard
+                for i in np.flatnonzero(files > 1).tolist():
+                    shard[i] += zlib.crc32(packed[i]) % files[i]
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), keys, pa.array(packed, pa.binary())], ["shard", "doc_id", "ids"])
 
     return run
 
 
 class SequenceWriter:
-    """One Arrow stream file: record batches of (tokens: fixed-size list of unsigned integers, mask: fixed-size list of bool).
+    """One Arrow stream file: record batches of (tokens: fixed-size list of unsigned integers, mask: fixed-size list of bytes 0 and 1).
 
     Ids run on from one sequence into the next; only the last sequence is filled up, with masked zeros. An index file
     beside it has (doc_id, start, n_tokens) of each document.
@@ -126,7 +150,7 @@ class SequenceWriter:
         self.fs, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
         self.fs.create_dir(root, recursive=True)
         self.path, self.length, self.dtype = f"{root}/{name}.arrows", length, np.dtype(dtype)
-        self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(self.dtype), length)), ("mask", pa.list_(pa.bool_(), length))], {"sequence_length": str(length)})
+        self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(self.dtype), length)), ("mask", pa.list_(pa.uint8(), length))], {"sequence_length": str(length)})
         self.out = self.fs.open_output_stream(self.path)
         self.writer = pa.ipc.new_stream(self.out, self.schema)
         self.held, self.held_n, self.total = [], 0, 0
@@ -149,7 +173,7 @@ class SequenceWriter:
             real = len(part)
             rows = -(-real // self.length)
             part = np.concatenate([part, np.zeros(rows * self.length - real, self.dtype)])
-            mask = np.arange(len(part)) < real
+            mask = (np.arange(len(part)) < real).view(np.uint8)
             self.writer.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(part), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=self.schema))
         self.held, self.held_n = ([flat[cut:]], len(flat) - cut) if cut < len(flat) else ([], 0)
 
@@ -173,16 +197,16 @@ class SequenceFile:
         reader = pa.ipc.open_stream(source)
         self.length = int(reader.schema.metadata[b"sequence_length"])
         self.batches = list(reader)
-        self.flat = [b.column("tokens").flatten().to_numpy() for b in self.batches]
+        self.flat, self.masks = ([b.column(c).flatten().to_numpy() for b in self.batches] for c in ("tokens", "mask"))
         self.block = self.length * BATCH_SEQUENCES
         with files.open_input_file(f"{path}.index") as f:
             self.index = pa.ipc.open_stream(f).read_all()
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens and mask of one sequence."""
+        """Tokens and mask of one sequence, both views."""
         b, row = divmod(i, BATCH_SEQUENCES)
-        batch = self.batches[b]
-        return self.flat[b][row * self.length : (row + 1) * self.length], batch.column("mask")[row].values.to_numpy(zero_copy_only=False)
+        own = slice(row * self.length, (row + 1) * self.length)
+        return self.flat[b][own], self.masks[b][own].view(bool)
 
     def ids(self, start: int, count: int) -> np.ndarray:
         """The ids from a place on: a view if they lie in one batch."""
@@ -199,7 +223,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     """Encode whole texts, append end_id to each, and write the ids in ascending order of the key; returns the manifest.
 
     Manifest (a written table): shard, path, folder, n_docs, n_tokens, start (ids in all files before). A null text
-    counts as empty and is its end id alone; null keys come first; equal keys stand together, ordered by their ids; no
+    counts as empty and is its end id alone; null keys come first; equal keys stand together, ordered by their ids within a file; no
     rows give no files. Ranges of keys are set from quantiles, one file a range, so that a file has about
     FILE_TEXT_BYTES of text; a task holds one batch of a file, however many documents a range has. A file's name is
     its attempt's own: what a lost executor leaves is in no manifest.
@@ -208,14 +232,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     folder = folder or new_path(spark, "tokens")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(total) // FILE_TEXT_BYTES))
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], F.lit(max(10_000, 20 * n)))).first()[0] or []
-    bounds = sorted(set(cuts)) if n > 1 else []
+    n = min(MAX_FILES, max(1, -(-int(total) // FILE_TEXT_BYTES)))
+    quantiles = F.percentile_approx(F.coalesce("doc_id", F.lit(FLOOR).cast("long")), [k / n for k in range(1, n)] or [0.5], F.lit(max(10_000, 20 * n)))
+    cuts = sorted(rows.agg(quantiles).first()[0] or []) if n > 1 else []
     from tokenizers import Tokenizer
 
     dtype = "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-    encoded = rows.mapInArrow(_encoder(tokenizer, end_id, bounds, dtype), "shard int, doc_id bigint, ids binary")
-    dealt = encoded.repartition(max(partitions(spark), len(bounds) + 1), "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    encoded = rows.mapInArrow(_encoder(tokenizer, end_id, cuts, dtype), "shard int, doc_id bigint, ids binary")
+    dealt = encoded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, shard = None, None
