@@ -74,6 +74,8 @@ class Blocks:
         made = rows.mapInArrow(_blocks, "block bigint, ids array<bigint>, starts binary, body binary")
         made.write.option("compression", "zstd").option("path", new_path(spark, "blocks")).bucketBy(partitions(spark), "block").saveAsTable(self.name)
         self.table = spark.table(self.name)
+        # the plan has the files and their buckets; the entry in the catalogue is needed no more
+        spark.sql(f"DROP TABLE {self.name}")
 
     def send(self, run: Callable, columns: str) -> DataFrame:
         """What run(ids, starts, buffer) yields for each block: (range, payload, ...) as columns: rows block, range, ...."""
@@ -112,3 +114,11 @@ def arrow_schema(columns: str) -> pa.Schema:
 def by_range(keys: np.ndarray, ranges: int) -> np.ndarray:
     """The range of each 64-bit key; sorted keys have sorted ranges."""
     return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def equal_runs(values: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each value of a sorted array, and where it stands."""
+    if len(values):
+        heads = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(values)], strict=True):
+            yield int(values[a]), slice(a, b)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Blocks, arrow_schema, by_range, pack, pack_sorted, unpack, unpack_sorted
+from .blocks import Blocks, arrow_schema, by_range, equal_runs, pack, pack_sorted, unpack, unpack_sorted
 from .textkit import hashed_words, mix
 from .workspace import staged
 
@@ -41,13 +41,6 @@ def _fold(doc_id: int | None, parts: int) -> int:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % parts
 
 
-def _split(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
-    cut = np.searchsorted(by_range(keys, ranges), np.arange(ranges + 1))
-    for r in range(ranges):
-        if cut[r] < cut[r + 1]:
-            yield r, slice(int(cut[r]), int(cut[r + 1]))
-
-
 def _sum_range(rows: pa.Table) -> pa.Table:
     """Totals of one range's runs: a reply for each run, and a row (block -1) with the distinct keys that training has, and their sum."""
     blocks, kind, range_ = rows.column("block").to_pylist(), rows.column("kind")[0].as_py(), rows.column("range")[0].as_py()
@@ -137,7 +130,7 @@ def score_texts(docs: DataFrame, held_out: tuple[int, int] = (7, 2), key: str =
         for kind, values in ((0, token), (1, pair)):
             keys, at = np.unique(values, return_inverse=True)
             counts = [np.bincount(at, w[own], len(keys)).astype("<u4") for w in (main, tuning)]
-            for r, s in _split(keys, ranges):
+            for r, s in equal_runs(by_range(keys, ranges)):
                 yield kind, r, pack_sorted(keys[s]), pack(counts[0][s]), pack(counts[1][s])
 
     sent = blocks.send(runs, "kind int, range int, keys binary, main binary, tuning binary")

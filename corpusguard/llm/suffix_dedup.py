@@ -1,10 +1,12 @@
 """Removal of repeated passages by a sparse suffix array, merged from front-coded sorted runs.
 
 Two documents that share a window of `width` bytes share the place in it whose `GRAM` bytes hash lowest (its anchor). So
-only suffixes around anchors are sorted: a suffix begins width - GRAM bytes before its anchor and is as long as the
-windows that the anchor can stand for. First the blocks exchange the anchors' hashes, and drop the anchors seen in one
-document alone; then they exchange the suffixes of the others, as sorted runs in which each suffix is coded by the
-length of the prefix shared with the one before. A key range merges its runs with a loser tree.
+only suffixes that begin at anchors are sorted, as far as a window can reach, each followed by the bytes before its
+anchor, read backwards. First the blocks exchange the anchors' hashes, and drop the anchors seen in one document alone;
+then they exchange the different suffixes of the others, with the smallest document of each, as sorted runs in which
+each suffix is coded by the length of the prefix shared with the one before. A key range merges its runs with a loser
+tree, and reads off the merged order which windows a smaller document has: a window of x bytes before the anchor is
+shared by suffixes between which no common prefix is shorter than width - x, and whose bytes before agree for x.
 """
 
 from __future__ import annotations
@@ -14,17 +16,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .blocks import Blocks, arrow_schema, by_range, pack, pack_sorted, unpack, unpack_sorted
-from .textkit import prefix_sums, span_hashes, window_hashes
+from .blocks import Blocks, arrow_schema, by_range, equal_runs, pack, pack_sorted, unpack, unpack_sorted
+from .textkit import prefix_sums, window_hashes
 from .workspace import staged
 
 WIDTH, GRAM = 50, 16
-#: Bytes of text for each key range; suffixes hashed at a time.
-RANGE_BYTES, SLICE = 3 << 20, 4096
+#: Bytes of text for each key range.
+RANGE_BYTES = 3 << 20
 #: A byte that UTF-8 never has: it stands between documents and fills suffixes at their ends.
 OUTSIDE = 0xFF
-_LARGEST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _sliding(values: np.ndarray, width: int, ufunc: np.ufunc) -> np.ndarray:
@@ -53,16 +55,13 @@ def anchors(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.nda
 
 
 def suffixes(data: np.ndarray, at: np.ndarray, width: int, gram: int) -> np.ndarray:
-    """For each anchor the bytes of all windows it can stand for; bytes outside its document are OUTSIDE."""
+    """For each anchor the width bytes from it on, and the width - gram bytes before it, backwards; bytes outside its document are OUTSIDE."""
     before = width - gram
-    size = before + width
     padded = np.concatenate([np.full(before, OUTSIDE, np.uint8), data, np.full(width, OUTSIDE, np.uint8)])
-    out = np.lib.stride_tricks.sliding_window_view(padded, size)[at].copy()
-    gone = out == OUTSIDE
-    left = np.maximum.accumulate(gone[:, :before][:, ::-1], axis=1)[:, ::-1]
-    right = np.maximum.accumulate(gone[:, before:], axis=1)
-    out[:, :before][left] = OUTSIDE
-    out[:, before:][right] = OUTSIDE
+    near = np.lib.stride_tricks.sliding_window_view(padded, before + width)[at]
+    out = np.concatenate([near[:, before:], near[:, :before][:, ::-1]], axis=1)
+    for part in (out[:, :width], out[:, width:]):
+        part[np.maximum.accumulate(part == OUTSIDE, axis=1)] = OUTSIDE
     return out
 
 
@@ -96,10 +95,10 @@ class Run:
 
 
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
-    """Length of the common prefix, of which `known` bytes need no comparison."""
-    if a == b:
-        return len(a)
+    """Length of the common prefix of which `known` bytes are known; those are not read."""
     low, high = known, min(len(a), len(b))
+    if a[low:high] == b[low:high]:
+        return high
     while high - low > 8:
         middle = (low + high) // 2
         if a[low:middle] == b[low:middle]:
@@ -169,69 +168,74 @@ def merge_runs(runs: list[Run]) -> Iterator[tuple[int, bytes, int]]:
             node //= 2
 
 
-def covered_windows(rows: np.ndarray, smallest: np.ndarray, width: int, gram: int) -> np.ndarray:
-    """For each distinct suffix and each window in it the smallest document that has the window; the largest integer where there is no window."""
-    before = width - gram
-    size = before + width
-    n = len(rows)
+def _classes(shared: np.ndarray, depth: int) -> np.ndarray:
+    """Numbers that are equal where sorted strings agree for depth bytes, from the prefixes shared with the one before."""
+    return np.cumsum(shared < depth)
+
+
+def smallest_owners(rows: np.ndarray, shared: np.ndarray, smallest: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """For each different suffix in merged order and each number of bytes before its anchor, the smallest document that has the window; the largest integer where the window leaves the document.
+
+    shared: the prefix that each suffix shares with the one before it.
+    """
+    before, n = width - gram, len(rows)
     out = np.full((n, before + 1), np.iinfo(np.int64).max)
-    keys = np.zeros((before + 1, n), np.uint64)
-    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for a in range(0, n, SLICE):
-        part = rows[a : a + SLICE]
-        filled = part != OUTSIDE
-        left[a : a + SLICE] = before - filled[:, :before].sum(axis=1)
-        right[a : a + SLICE] = before + filled[:, before:].sum(axis=1)
-        sums, at = prefix_sums(part.ravel()), np.arange(len(part)) * size
-        for first in range(before + 1):
-            keys[first, a : a + SLICE] = span_hashes(sums, at + first, at + first + width)
-    for first in range(before + 1):
-        own = np.flatnonzero((left <= first) & (right >= first + width))
+    left = rows[:, width:]
+    wide = np.zeros((n, -(-before // 8) * 8), np.uint8)
+    wide[:, :before] = left
+    order = np.lexsort(wide.view(">u8").astype(np.uint64).T[::-1])
+    ordered = left[order]
+    left_shared = np.zeros(n, np.int64)
+    if n > 1:
+        left_shared[1:] = np.logical_and.accumulate(ordered[1:] == ordered[:-1], axis=1).sum(axis=1)
+    inside_left, inside_right = (left != OUTSIDE).sum(axis=1), (rows[:, :width] != OUTSIDE).sum(axis=1)
+    for x in range(before + 1):
+        own = np.flatnonzero((inside_left >= x) & (inside_right >= width - x))
         if not len(own):
             continue
-        hashes = keys[first, own]
-        order = np.argsort(hashes)
-        ordered = hashes[order]
-        heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        low = np.minimum.reduceat(smallest[own[order]], heads)
-        out[own[order], first] = np.repeat(low, np.diff(np.append(heads, len(own))))
+        by_left = np.empty(n, np.int64)
+        by_left[order] = _classes(left_shared, x)
+        key = (_classes(shared, width - x) * (n + 1) + by_left)[own]
+        at = np.argsort(key, kind="stable")
+        ordered_key = key[at]
+        heads = np.flatnonzero(np.append(True, ordered_key[1:] != ordered_key[:-1]))
+        low = np.minimum.reduceat(smallest[own[at]], heads)
+        out[own[at], x] = np.repeat(low, np.diff(np.append(heads, len(own))))
     return out
 
 
-_REPLY = "block bigint, range int, places binary, windows binary"
+_REPLY = "block bigint, range int, windows binary"
 
 
 def _merge_range(width: int, gram: int):
     size = 2 * width - gram
 
     def run(rows: pa.Table) -> pa.Table:
-        """Replies to the runs of a range: the places of anchors and, as bits, their windows that a smaller document has."""
-        read = [{c: rows.column(c)[i].as_py() for c in ("block", "range", "shared", "rest", "counts", "docs", "places")} for i in range(rows.num_rows)]
+        """Replies to the runs of a range: for each suffix of a run, as bits, its windows that a document smaller than the run's has."""
+        read = [{c: rows.column(c)[i].as_py() for c in ("block", "range", "shared", "rest", "lowest")} for i in range(rows.num_rows)]
         runs = [Run(unpack(x["shared"], "u1"), pa.decompress(x["rest"][8:], int.from_bytes(x["rest"][:8], "little"), "zstd", asbytes=True) if len(x["rest"]) > 8 else b"", size) for x in read]
-        docs = [unpack(x["docs"], "<i8") for x in read]
-        owners = [np.repeat(np.arange(len(c)), c) for c in (unpack(x["counts"], "<u4").astype(np.int64) for x in read)]
-        lowest = [np.minimum.reduceat(d, np.searchsorted(o, np.arange(o[-1] + 1))).tolist() if len(d) else [] for d, o in zip(docs, owners, strict=True)]
-        taken = [0] * len(runs)
+        lowest = [unpack(x["lowest"], "<i8") for x in read]
+        heads, taken = [x.tolist() for x in lowest], [0] * len(runs)
         number: list[list[int]] = [[] for _ in runs]
-        distinct, smallest = [], []
+        distinct, smallest, between = [], [], []
         for r, suffix, shared in merge_runs(runs):
-            doc = lowest[r][taken[r]]
+            doc = heads[r][taken[r]]
             taken[r] += 1
             if shared == size and distinct:
-                smallest[-1] = min(smallest[-1], doc)
+                if doc < smallest[-1]:
+                    smallest[-1] = doc
             else:
                 distinct.append(suffix)
                 smallest.append(doc)
+                between.append(shared)
             number[r].append(len(distinct) - 1)
-        table = covered_windows(np.frombuffer(b"".join(distinct), np.uint8).reshape(-1, size), np.array(smallest, np.int64), width, gram)
+        table = smallest_owners(np.frombuffer(b"".join(distinct), np.uint8).reshape(-1, size), np.array(between), np.array(smallest, np.int64), width, gram)
         bit = np.uint64(1) << np.arange(width - gram + 1, dtype=np.uint64)
         out = []
-        for x, d, o, m in zip(read, docs, owners, number, strict=True):
-            mine = table[np.array(m, np.int64)[o]]
-            bits = ((mine < d[:, None]) * bit).sum(axis=1, dtype=np.uint64)
-            some = bits > 0
-            if some.any():
-                out.append({"block": x["block"], "range": x["range"], "places": pack(unpack(x["places"], "<u4")[some]), "windows": pack(bits[some])})
+        for x, low, m in zip(read, lowest, number, strict=True):
+            bits = ((table[np.array(m, np.int64)] < low[:, None]) * bit).sum(axis=1, dtype=np.uint64)
+            if bits.any():
+                out.append({"block": x["block"], "range": x["range"], "windows": pack(bits)})
         return pa.Table.from_pylist(out, schema=arrow_schema(_REPLY))
 
     return run
@@ -258,10 +262,13 @@ def _content(starts: np.ndarray, buffer: bytes) -> np.ndarray:
 def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """key, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs; with_text adds the remaining bytes, kept.
 
-    A byte goes if a window of `width` bytes over it also starts in a document with a smaller key. Windows are compared
-    byte by byte within texts, never across two, and judged on the input: what goes from one document still counts for
-    the next. Repeats within a document, or among rows with equal keys, remove nothing. A null key counts as smaller
+    A byte goes if a window of `width` bytes over it also starts in a document with a smaller key. Windows are equal if
+    their bytes are, within texts, never across two, and judged on the input: what goes from one document still counts
+    for the next. Repeats within a document, or among rows with equal keys, remove nothing. A null key counts as smaller
     than any other; a null text as empty; texts shorter than width stay; no rows give no rows.
+
+    Hashes only choose anchors and drop those of one document; which windows are equal is told by bytes. A block sends
+    each different suffix once, however often it has it, so what a common passage gives its range is an entry a block.
     """
     if not 24 <= width <= 64 + GRAM:
         raise ValueError("width must be between 24 and 80")
@@ -288,11 +295,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
         many = np.zeros(group[-1] + 1, bool)
         many[group[1:][(~heads[1:]) & (docs_[1:] != docs_[:-1])]] = True
         keys = ordered[heads]
-        cut = np.searchsorted(by_range(keys << short, ranges), np.arange(ranges + 1))
-        for r in range(ranges):
-            a, b = int(cut[r]), int(cut[r + 1])
-            if a < b:
-                yield r, pack_sorted(keys[a:b]), np.packbits(many[a:b]).tobytes()
+        for r, own_ in equal_runs(by_range(keys << short, ranges)):
+            yield r, pack_sorted(keys[own_]), np.packbits(many[own_]).tobytes()
 
     sent = blocks.send(hashes_of, "range int, keys binary, many binary")
     live = staged(sent.groupBy("range").applyInArrow(_seen_twice, "block bigint, range int, live binary, n bigint"), "live")
@@ -309,42 +313,57 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
         if not len(at):
             return []
         block = got.column("block")[0].as_py()
-        ids_ = np.array([floor if i is None else i for i in ids], np.int64)[own]
+        keys_ = np.array([floor if i is None else i for i in ids], np.int64)[own]
         in_range = by_range(hashes, ranges)
         order = np.argsort(in_range, kind="stable")
-        cut = np.searchsorted(in_range[order], np.arange(ranges + 1))
         out = []
-        for r in range(ranges):
-            mine = order[cut[r] : cut[r + 1]]
-            if not len(mine):
-                continue
+        for r, part in equal_runs(in_range[order]):
+            mine = order[part]
             rows_ = suffixes(data, at[mine], width, gram)
             raw, size = rows_.tobytes(), rows_.shape[1]
             texts = [raw[k : k + size] for k in range(0, len(raw), size)]
             by = np.array(sorted(range(len(texts)), key=texts.__getitem__), np.int64)
             rows_, mine = rows_[by], mine[by]
-            head = np.append(True, (rows_[1:] != rows_[:-1]).any(axis=1))
-            counts = np.diff(np.append(np.flatnonzero(head), len(rows_))).astype("<u4")
+            head = np.flatnonzero(np.append(True, (rows_[1:] != rows_[:-1]).any(axis=1)))
+            counts = np.diff(np.append(head, len(rows_)))
+            lowest = np.minimum.reduceat(keys_[mine], head)
             shared, rest = front_code(rows_[head])
-            out.append((block, r, pack(shared), len(rest).to_bytes(8, "little") + pa.compress(rest, "zstd", asbytes=True), pack(counts), pack(ids_[mine]), pack(at[mine].astype("<u4"))))
+            # within the block a copy whose document isn't the smallest of its suffix goes whatever others have
+            inner = np.packbits(keys_[mine] > np.repeat(lowest, counts)).tobytes()
+            out.append((block, r, pack(shared), len(rest).to_bytes(8, "little") + pa.compress(rest, "zstd", asbytes=True), pack(lowest), pack(counts.astype("<u4")), inner, pack(at[mine].astype("<u4"))))
         return out
 
-    runs = blocks.receive(live, suffixes_of, "block bigint, range int, shared binary, rest binary, counts binary, docs binary, places binary")
-    replies = staged(runs.groupBy("range").applyInArrow(_merge_range(width, gram), _REPLY), "windows")
+    runs = staged(blocks.receive(live, suffixes_of, "block bigint, range int, shared binary, rest binary, lowest binary, counts binary, inner binary, places binary"), "runs")
+    replies = staged(runs.select("block", "range", "shared", "rest", "lowest").groupBy("range").applyInArrow(_merge_range(width, gram), _REPLY), "windows")
+    own_places = runs.select("block", "range", "counts", "inner", "places", F.lit(None).cast("binary").alias("windows"))
+    answers = own_places.unionByName(replies, allowMissingColumns=True)
 
     def cut_out(ids: list, starts: np.ndarray, buffer: bytes, got: pa.Table) -> list[tuple]:
         import hashlib
 
-        n = len(buffer)
+        n, before = len(buffer), width - gram
+        ends = np.append(starts[1:] - 1, n)
         change = np.zeros(n + 1, np.int32)
-        for places, windows in zip(got.column("places").to_pylist(), got.column("windows").to_pylist(), strict=True):
-            at, bits = unpack(places, "<u4").astype(np.int64) - (width - gram), unpack(windows, "<u8")
-            for first in range(width - gram + 1):
-                a = at[(bits >> np.uint64(first)) & np.uint64(1) > 0] + first
-                np.add.at(change, a, 1)
-                np.add.at(change, a + width, -1)
+        windows = {r: w for r, w in zip(got.column("range").to_pylist(), got.column("windows").to_pylist(), strict=True) if w is not None}
+        for r, counts, inner, places in zip(*(got.column(c).to_pylist() for c in ("range", "counts", "inner", "places")), strict=True):
+            if places is None:
+                continue
+            at, counts = unpack(places, "<u4").astype(np.int64), unpack(counts, "<u4").astype(np.int64)
+            gone = np.flatnonzero(np.unpackbits(np.frombuffer(inner, np.uint8))[: len(at)])
+            if len(gone):
+                # all windows of the suffix that lie in the document
+                doc = np.searchsorted(starts, at[gone], "right") - 1
+                np.add.at(change, np.maximum(at[gone] - before, starts[doc]), 1)
+                np.add.at(change, np.minimum(at[gone] + width, ends[doc]), -1)
+            if r in windows:
+                bits = np.repeat(unpack(windows[r], "<u8"), counts)
+                some = np.flatnonzero(bits)
+                at, bits = at[some], bits[some]
+                for x in range(before + 1):
+                    a = at[(bits >> np.uint64(x)) & np.uint64(1) > 0] - x
+                    np.add.at(change, a, 1)
+                    np.add.at(change, a + width, -1)
         gone = np.cumsum(change[:n]) > 0
-        ends = np.append(starts[1:] - 1, n)
         data, out = np.frombuffer(buffer, np.uint8), []
         for i, a, b in zip(ids, starts.tolist(), ends.tolist(), strict=True):
             own = gone[a:b]
@@ -355,4 +374,4 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
         return out
 
     columns = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if with_text else "")
-    return blocks.receive(replies, cut_out, columns).withColumnRenamed("doc_id", key)
+    return blocks.receive(answers, cut_out, columns).withColumnRenamed("doc_id", key)
