@@ -64,12 +64,34 @@ class Automaton:
         if len(np.unique(merges[:, 2])) < len(merges):
             raise ValueError("two merges give one token")
         #: What the start state has: each byte, and all that gadgets made of them.
-        made = [i for t, i in ids.items() if len(t) == 1] + merges[:, 2].tolist()
+        made = [i for t, i in ids.items() if len(t) == 1] + self._made(size, merges)
         self.arc = {self.label[i]: i for i in made}
         #: Each end of a token's bytes: the token if it is whole, else -1.
         self.tails = {t[k:]: -1 for t in self.arc for k in range(1, len(t))} | self.arc
         self._compile(size, merges)
 
+    def _made(self, size: int, merges: np.ndarray) -> list[int]:
+        """The tokens whose gadgets find their two arcs in sequence. (A gadget that doesn't adds nothing, and what it would take away is gone.)"""
+        gadget, born, halves, dead = {}, [-1] * size, [(-1, -1)] * size, set()
+        for number, (u, v, c) in enumerate(merges.tolist()):
+            x, y, until_x, until_y = u, v, number, number
+            there = u not in dead and v not in dead
+            while there:
+                rank = gadget.get((x, y))
+                # taken before the state of u, or the arc v, was made from that of x or y; a gadget of one token with itself makes its state before, and its arc after
+                if rank is not None and rank < until_x and (rank < until_y or rank == until_y < number):
+                    there = False
+                elif born[x] < 0 and born[y] < 0:
+                    break
+                elif born[x] > born[y]:
+                    until_x, x = born[x], halves[x][1]
+                else:
+                    until_y, y = born[y], halves[y][0]
+            if not there:
+                dead.add(c)
+            gadget[u, v], born[c], halves[c] = number, number, (u, v)
+        return [c for c in merges[:, 2].tolist() if c not in dead]
+
     def _compile(self, size: int, merges: np.ndarray) -> None:
         n = len(merges)
         born, left, right = (np.full(size, -1, np.int64) for _ in range(3))
