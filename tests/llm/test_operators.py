@@ -152,6 +152,18 @@ def test_near_copies_within_a_template(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == wanted
 
 
+def test_rows_that_share_a_key(spark):
+    """Rows of one key with different texts are nodes of their own; null keys join components, and are named by them."""
+    from corpusguard.llm.near_dedup import near_copies
+
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a), (1, b), (5, a + " x"), (6, b + " y"), (None, b + " z"), (None, "alone here"), (None, None), (7, b)]
+    got = near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=2).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in got) == sorted([(1, 39, 1, True), (1, 39, 1, True), (5, 40, 1, False), (6, 40, 1, False), (0, 40, 1, False), (0, 1, 0, True), (0, 0, 0, True), (7, 39, 1, False)])
+    with pytest.raises(ValueError):
+        near_copies(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.805)
+
+
 def test_links_of_two_blocks(spark, monkeypatch):
     """The same, with so many members that a bucket has many blocks."""
     from corpusguard.llm import near_dedup
@@ -193,6 +205,38 @@ def test_suffix_dedup(docs, empty, rows):
     assert remove_repeats(empty).count() == 0
 
 
+def test_known_prefixes_are_not_read_again():
+    from corpusguard.llm.suffix_dedup import Run, common_prefix, front_code, merge_runs
+
+    read = []
+
+    class Spy(bytes):
+        def __getitem__(self, k):
+            read.append(k.start if isinstance(k, slice) else k)
+            return bytes.__getitem__(self, k)
+
+    rng = random.Random(9)
+    for _ in range(500):
+        a, b = (bytes(rng.choices(b"ab", k=40)) for _ in range(2))
+        n = rng.randrange(0, 40)
+        b = a[:n] + b[n:]
+        shared = next((k for k in range(40) if a[k] != b[k]), 40)
+        known = rng.randrange(0, shared + 1)
+        read.clear()
+        assert common_prefix(Spy(a), Spy(b), known) == shared and min(read, default=known) >= known
+    # runs of one prefix: beyond the first comparisons no contest goes back to it
+    import corpusguard.llm.suffix_dedup as module
+
+    lists = [sorted(b"p" * 60 + bytes(rng.choices(b"abcd", k=24)) for _ in range(50)) for _ in range(8)]
+    calls, plain = [], module.common_prefix
+    module.common_prefix = lambda a, b, known: calls.append(known) or plain(a, b, known)
+    try:
+        assert [s for _, s, _ in merge_runs([Run(*front_code(np.frombuffer(b"".join(x), np.uint8).reshape(-1, 84)), 84) for x in lists])] == sorted(s for x in lists for s in x)
+    finally:
+        module.common_prefix = plain
+    assert sum(k < 60 for k in calls) == 7
+
+
 def test_loser_tree_merges_front_coded_runs():
     from corpusguard.llm.suffix_dedup import Run, front_code, merge_runs
 
@@ -255,6 +299,95 @@ def test_bpe(docs, empty, rows):
         assert automaton.encode(word.encode()) == [i for i in library.encode(word, add_special_tokens=False).ids] or not word
 
 
+def small_vocabulary(tmp_path, seed):
+    """A tokenizer file of random merges over three letters, and its merges."""
+    import json
+
+    rng = random.Random(seed)
+    vocab, merges = {"a": 0, "b": 1, "c": 2}, []
+    while len(merges) < 40:
+        u, v = rng.choices(list(vocab), k=2)
+        if u + v not in vocab and len(u + v) < 9:
+            vocab[u + v] = len(vocab)
+            merges.append([u, v])
+    model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "vocab": vocab, "merges": merges}
+    path = tmp_path / f"bpe{seed}.json"
+    pre = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    path.write_text(json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": pre, "post_processor": None, "decoder": None, "model": model}))
+    return str(path), [(vocab[u], vocab[v], vocab[u + v]) for u, v in merges], len(vocab)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_compiled_transitions_are_those_of_the_gadgets(tmp_path, seed):
+    """The table against the gadgets carried out one after the other on a matrix of states by arcs, and the library."""
+    from tokenizers import Tokenizer
+
+    from corpusguard.llm.bpe import Automaton
+
+    path, merges, n = small_vocabulary(tmp_path, seed)
+    arcs = np.zeros((n, n), bool)
+    arcs[:3, :3] = True
+    made = [0, 1, 2]
+    for u, v, c in merges:
+        if u in made and v in made and arcs[u, v]:
+            arcs[c] = arcs[v]
+            arcs[u, v] = False
+            arcs[:, c] = arcs[:, u]
+            made.append(c)
+    automaton, library, rng = Automaton(path), Tokenizer.from_file(path), random.Random(seed)
+    assert sorted(automaton.arc.values()) == sorted(made)
+    assert [[automaton.step(u, v) for v in made] for u in made] == arcs[np.ix_(made, made)].tolist()
+    for _ in range(500):
+        word = "".join(rng.choices("abc", k=rng.randrange(1, 30)))
+        ids = automaton.encode(word.encode())
+        assert ids == library.encode(word).ids and all(arcs[u, v] for u, v in zip(ids, ids[1:], strict=False))
+
+
+def test_token_ids_where_marks_follow_letters():
+    import public_tokenizers
+    import pyarrow as pa
+
+    from corpusguard.llm.textkit import pieces
+    from corpusguard.llm.token_files import WordCache
+
+    cache, rng = WordCache(public_tokenizers.path("word_bpe_49k.json")), random.Random(11)
+    parts = [*"abcTHWxyzEO'’.,;!?<|>- \t\n\x0b\x1c\x85\xa0", "\u0308", "\u0331", "\u030a", "é", "É", "ß", "İ", "ı", "漢", "😀", "한", "\u1112", "\u1161", "<|endoftext|>", "<|ENDOFTEXT|>", "'T", "1", "Σ", "ς"]
+    texts = ["T\u0308", "H\u0331a", "W\u030a x", *("".join(rng.choices(parts, k=rng.randrange(0, 14))) for _ in range(20_000))]
+    for first, last, buffer, starts in pieces(pa.array(texts)):
+        for text, ids in zip(texts[first:last], cache.encode(buffer, starts), strict=True):
+            assert ids.tolist() == cache.library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_words_of_a_tokenizer_that_keeps_capitals(tmp_path):
+    from tokenizers import Tokenizer
+
+    from corpusguard.llm.textkit import pieces
+    from corpusguard.llm.token_files import WordCache
+
+    import pyarrow as pa
+
+    path, _, _ = small_vocabulary(tmp_path, 1)
+    cache = WordCache(path)
+    assert not cache.lowers and cache.lowered(b"ABC aBc") == b"ABC aBc"
+    ((_, _, buffer, starts),) = pieces(pa.array(["abc ABC", "cab"]))
+    assert [x.tolist() for x in cache.encode(buffer, starts)] == [[i for w in t.split() for i in Tokenizer.from_file(path).encode(w).ids] for t in ("abc ABC", "cab")]
+
+
+def test_key_over_several_files(spark, tmp_path, monkeypatch):
+    import public_tokenizers
+
+    from corpusguard.llm import token_files
+
+    monkeypatch.setattr(token_files, "FILE_TEXT_BYTES", 400)
+    rows = [(7 if i % 2 else i, f"text number {i} of many") for i in range(200)] + [(None, "no key")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    manifest = token_files.write_token_files(frame, public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "many"), length=16)
+    assert manifest.count() > 5 and max(r.n_docs for r in manifest.collect()) < 60
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.read_documents(manifest).collect())
+    assert [i for _, i, _ in got] == [None, *sorted(i for i, _ in rows if i is not None)]
+    assert all(a + n == b for (a, _, n), (b, _, _) in zip(got, got[1:], strict=False))
+
+
 def test_token_files(spark, docs, empty, rows, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -273,7 +406,8 @@ def test_token_files(spark, docs, empty, rows, tmp_path):
     assert got == wanted
     file = SequenceFile(manifest.first().path, str(tmp_path / "tokens"))
     tokens, mask = file.sequence(0)
-    assert len(tokens) == 64 and mask.all() and not tokens.flags.owndata
+    assert len(tokens) == 64 and mask.all() and mask.dtype == bool and not tokens.flags.owndata and not mask.flags.owndata
+    assert np.shares_memory(mask, file.masks[0]) and np.shares_memory(tokens, file.flat[0])
     last = file.sequence((at - 1) // 64)[1]
     assert last.sum() == (at - 1) % 64 + 1
     assert read_documents(write_token_files(empty, path, str(tmp_path / "none"))).count() == 0
@@ -367,12 +501,44 @@ def test_surrogates(spark, docs, empty):
 
 
 def test_surrogates_stay_distinct(spark):
-    from corpusguard.llm.pii import replace_entities
+    """Every address of a shape, so that no surrogate is free: they are dealt anew among themselves, and none stays."""
+    from corpusguard.llm.pii import collisions, replace_entities
+
+    addresses = [f"{a}.{b}.{c}.{d}" for a in range(10) for b in range(10) for c in range(10) for d in range(10)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(addresses)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in replace_entities(frame, "secret").collect()}
+    assert sorted(got.values()) == sorted(addresses) and not any(got[i] == t for i, t in enumerate(addresses))
+    assert collisions(frame, "secret").count() == 0
+
+
+def test_surrogates_are_permutations_of_each_kind(spark):
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    kinds = {
+        "phone": {f"+4{d} {digits(3)} {digits(4)}" for d in range(10) for _ in range(20)},
+        "card": {f"4{digits(3)} {digits(4)} {digits(4)} {digits(4)}" for _ in range(200)},
+        "secret": {"token=" + "".join(rng.choices("abcdefghij0123", k=8)) for _ in range(200)},
+        "email": {"".join(rng.choices("abc", k=3)) + "@xy.org" for _ in range(200)},
+        "given": {"Mr " + n for n in ("Bo", "Bi", "Ba", "Be", "Bu", "Jo", "Ja", "Ji", "Otto", "Anna", "Ånna", "Ян", "Ира", "Οδυσσέας")},
+    }
+    for kind, texts in kinds.items():
+        texts = sorted(texts)
+        got = [t for t, n in replaced(spark, texts) if n == 1]
+        assert len(set(got)) == len(texts), kind
+        assert not any(a == b for a, b in zip(got, texts, strict=True)), kind
+
+
+def test_names_without_titles_and_capitals(spark):
+    texts = ["my name is Rosa Parks today", "Ich heiße Jürgen Groß.", "قابلت السيد محمود أمس", "השר מר דוד כאן", "श्री रमेश आए", "张伟先生来了", "田中さんは", "김철수 씨"]
+    gone = ["Rosa", "Jürgen", "محمود", "דוד", "रमेश", "张伟", "田中", "김철수"]
+    for (text, n), old, plain in zip(replaced(spark, texts), texts, gone, strict=True):
+        assert n == 1 and plain not in text and len(text) == len(old), old
+
 
-    addresses = [f"{a}.{b}.1.2" for a in range(1, 10) for b in range(10)]
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(addresses)], "doc_id long, text string")
-    got = [r.text for r in replace_entities(frame, "secret").collect()]
-    assert len(set(got)) == len(addresses) and not set(got) & set(addresses)
+def test_long_addresses(spark):
+    long = "a" * 300 + "." + "b" * 40 + "@" + "c" * 80 + ".example.org"
+    ((text, n),) = replaced(spark, [f"to {long} now"])
+    assert n == 1 and "aaaa" not in text and "cccc" not in text and text.endswith(".org now") and len(text) == len(long) + 7
 
 
 def replaced(spark, texts):
@@ -421,6 +587,9 @@ def test_lookup_joins_hot_and_rare_keys(spark):
     table = rows.groupBy("k").agg(F.count("*").alias("size"), F.max("v").alias("top")).filter("k % 2 = 1")
     got = lookup(rows, table, "k", "size", 5000)
     assert got.count() == 5000 and got.filter("k = 1 and top = 3999").count() == 4000 and got.filter("k % 2 = 0 and top is null").count() == 500
+    # hot rows meet a broadcast table alone: no shuffled join has them, and none carries rows without a key
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2 and "_spread" not in plan and "LeftAnti" in plan
     none = rows.select(F.lit(None).cast("long").alias("k"), "v")
     assert lookup(none, table, "k", "size", 5000).filter("top is null").count() == 5000
 
