@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .textkit import pieces, prefix_sums, shingles, span_hashes
 
@@ -19,7 +20,7 @@ THRESHOLD, OVERLAP, NGRAM, ANSWER_WORDS = 0.5, 0.8, 5, 5
 #: Share of the threshold that the commonest terms may score together.
 COMMON = 0.9
 #: Units in a block with its own maxima; bytes of items in one index (larger sets go through in blocks).
-BLOCK, INDEX_BYTES = 8, 8 << 20
+BLOCK, INDEX_BYTES = 8, 32 << 20
 K1, B = 1.2, 0.75
 
 _LETTER = np.zeros(256, bool)
@@ -48,18 +49,25 @@ class Index:
     units: np.ndarray
     impacts: np.ndarray
     most: np.ndarray  # by term
-    block_most: list[dict[int, float]]  # by term: block -> largest impact
+    block_first: np.ndarray  # blocks of term t: block_first[t]:block_first[t+1], in order
+    blocks: np.ndarray
+    block_most: np.ndarray  # largest impact there
     common: np.ndarray  # the terms of most units; in no unit do they score COMMON of the threshold together
-    common_score: np.ndarray  # what they score together, by unit
+    common_most: np.ndarray  # the most that they score together in a unit, by block
     unit_item: np.ndarray
     item_ids: list
     question: list[np.ndarray]
     answer: list[np.ndarray]
 
+    def most_in(self, term: int, block: int) -> float:
+        a, b = int(self.block_first[term]), int(self.block_first[term + 1])
+        at = a + int(np.searchsorted(self.blocks[a:b], block))
+        return float(self.block_most[at]) if at < b and self.blocks[at] == block else 0.0
 
-def build_index(items: list[tuple[int, str | None]]) -> Index | None:
-    """None if no item has a word."""
-    ids, texts = [i for i, _ in items], [t or "" for _, t in items]
+
+def build_index(items: list[tuple[int, str | None, str | None]]) -> Index | None:
+    """An index of items (id, text, answer: of its own, or null for the end of the text); None if no item has a word."""
+    ids, texts = [i for i, _, _ in items], [f"{t or ''} {a or ''}" for _, t, a in items]
     words, own = _words(texts)
     if not len(words):
         return None
@@ -87,17 +95,19 @@ def build_index(items: list[tuple[int, str | None]]) -> Index | None:
             break
         common_score[u[postings]] += impact[postings]
         common[k] = True
-    blocks: list[dict[int, float]] = [{} for _ in terms]
-    for term_, unit, x in zip(t.tolist(), u.tolist(), impact.tolist(), strict=True):
-        blocks[term_][unit // BLOCK] = max(x, blocks[term_].get(unit // BLOCK, 0.0))
+    n_blocks = -(-n // BLOCK)
+    head = np.flatnonzero(np.append(True, np.diff(t * n_blocks + u // BLOCK) > 0))
+    block_first = np.searchsorted(t[head], np.arange(len(terms) + 1))
+    common_most = np.maximum.reduceat(common_score, np.arange(0, n, BLOCK))
     question, answer = [], []
     for k in range(len(ids)):
         w = words[own == k]
         s, _ = shingles(w, np.zeros(len(w), np.int64), NGRAM, 1)
-        tail = min(len(s), ANSWER_WORDS)
-        question.append(s[: len(s) - tail] if len(s) > tail else s)
+        own_words = len(_words([items[k][2]])[0]) if items[k][2] else 0
+        tail = min(len(s), max(1, own_words - NGRAM + 1) if own_words else ANSWER_WORDS)
+        question.append(s[: len(s) - tail])
         answer.append(s[len(s) - tail :])
-    return Index(terms, first, u, impact, most, blocks, common, common_score, np.repeat(np.arange(len(ids)), parts), ids, question, answer)
+    return Index(terms, first, u, impact, most, block_first, u[head] // BLOCK, np.maximum.reduceat(impact, head), common, common_most, np.repeat(np.arange(len(ids)), parts), ids, question, answer)
 
 
 def wand(index: Index, query: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -128,7 +138,7 @@ def wand(index: Index, query: list[int], threshold: float) -> list[tuple[int, fl
         while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == unit:
             pivot += 1
         block = unit // BLOCK
-        if sum(index.block_most[c[3]].get(block, 0.0) for c in cursors[: pivot + 1]) < threshold - 1e-9:
+        if sum(index.most_in(c[3], block) for c in cursors[: pivot + 1]) < threshold - 1e-9:
             # no unit before the block's end, or before the next cursor's unit, can reach it
             upto = min((block + 1) * BLOCK, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else 1 << 60)
             for c in cursors[: pivot + 1]:
@@ -160,7 +170,8 @@ def _matches(index: Index, texts: list[str], threshold: float, overlap: float) -
     doc = np.repeat(np.arange(len(texts)), n_passages)
     start = first[doc] + STRIDE * (np.arange(len(doc)) - before[doc])
     end = np.minimum(start + PASSAGE, (first + count)[doc])
-    # a unit is in reach if a passage's rarer terms and all common ones score the threshold in it
+    # all passages' cursors move at once over the blocks of their rarer terms: a block is in reach of a passage if its
+    # maxima for these, and the most that all common terms score in a unit there, add up to the threshold
     rare = np.flatnonzero(known & ~index.common[term])
     place = rare - first[own[rare]]
     met = []
@@ -170,23 +181,22 @@ def _matches(index: Index, texts: list[str], threshold: float, overlap: float) -
         met.append((before[own[rare]] + number)[good] * len(index.terms) + term[rare][good])
     pair = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
     passage, t = pair // len(index.terms), pair % len(index.terms)
-    many = index.first[t + 1] - index.first[t]
+    many = index.block_first[t + 1] - index.block_first[t]
     ends = np.cumsum(many)
-    posting = np.repeat(index.first[t] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)
-    unit = index.units[posting]
-    cell, at = np.unique(np.repeat(passage, many) * len(index.common_score) + unit, return_inverse=True)
-    reach = np.bincount(at, index.impacts[posting], len(cell)) + index.common_score[cell % len(index.common_score)] >= threshold - 1e-6
+    at = np.repeat(index.block_first[t] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)
+    n_blocks = len(index.common_most)
+    near, at_near = np.unique(np.repeat(passage, many) * n_blocks + index.blocks[at], return_inverse=True)
+    near = near[np.bincount(at_near, index.block_most[at], len(near)) + index.common_most[near % n_blocks] >= threshold - 1e-6]
     hits: dict[tuple[int, int], float] = {}
-    near = np.unique(cell[reach] // len(index.common_score) * (1 << 32) + cell[reach] % len(index.common_score) // BLOCK)
     query, asked = [], -1
     done = False
-    for p, block in zip((near >> 32).tolist(), (near & 0xFFFFFFFF).tolist(), strict=True):
+    for p, block in zip((near // n_blocks).tolist(), (near % n_blocks).tolist(), strict=True):
         if p != asked:
             asked, done = p, False
             query = np.unique(term[start[p] : end[p]])
             query = query[query >= 0].tolist()
         # the block's own maxima must reach the threshold too before any posting is read
-        if done or sum([index.block_most[t].get(block, 0.0) for t in query]) < threshold - 1e-6:
+        if done or sum([index.most_in(t, block) for t in query]) < threshold - 1e-6:
             continue
         done = True
         for unit, score in wand(index, query, threshold):
@@ -199,17 +209,17 @@ def _matches(index: Index, texts: list[str], threshold: float, overlap: float) -
             seen = {d: np.unique(shingles(w, np.zeros(len(w), np.int64), NGRAM, 1)[0])}
         q, a = index.question[k], index.answer[k]
         in_q, in_a = (np.isin(x, seen[d]) for x in (q, a))
-        every = in_q.sum() + in_a.sum() if len(q) and q is not a else in_q.sum()
-        if every >= overlap * (len(q) + len(a)) and in_a.any():
-            yield d, k, score, float(in_q.mean()), float(in_a.mean())
+        if in_q.sum() + in_a.sum() >= overlap * (len(q) + len(a)) and in_a.any():
+            # a short item is nothing but its answer
+            yield d, k, score, float((in_q if len(q) else in_a).mean()), float(in_a.mean())
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", item_answer: str | None = None) -> DataFrame:
     """Pairs (key, item_id) of documents and the test items they hold, with score, question_overlap and answer_overlap.
 
     Words are runs of letters and digits, lower-cased, so case and punctuation don't hide a passage. Every document is
     cut into overlapping passages; each queries the index and all units above the threshold are retrieved; an item
-    counts if the whole document holds `overlap` of its word 5-grams, some of them of its last words (its answer). Items
+    counts if the whole document holds `overlap` of its word 5-grams, some of them of its answer (the column item_answer, which follows the text, or without one the text's last words). Items
     of fewer than five words have one gram, all their words. A null or empty text, or an item without words, matches
     nothing; equal rows are answered alike, a row each; other columns don't matter.
 
@@ -217,9 +227,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     """
     spark = docs.sparkSession
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
+    items_type = items.schema[item_key].dataType
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    picked = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).filter("t is not null").dropDuplicates()
-    size = picked.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
+    picked = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t"), (F.col(item_answer) if item_answer else F.lit(None)).cast("string").alias("a")).filter("t is not null").dropDuplicates()
+    size = picked.agg(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("a"), F.lit(0)) + 16)).first()[0] or 0
     blocks = max(1, -(-int(size) // INDEX_BYTES))
     schema = f"doc_id {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double"
     out = None
@@ -237,17 +248,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                     if found:
                         d, k, *values = zip(*found, strict=True)
                         ids = batch.column(0).slice(first, last - first).take(pa.array(d))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array([index.item_ids[x] for x in k], batch_type(item_kind)), *(pa.array(v, pa.float64()) for v in values)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                        yield pa.RecordBatch.from_arrays([ids, pa.array([index.item_ids[x] for x in k], to_arrow_type(items_type)), *(pa.array(v, pa.float64()) for v in values)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         one = rows.mapInArrow(match, schema)
         out = one if out is None else out.unionByName(one)
     return out.withColumnRenamed("doc_id", key)
 
 
-def batch_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs that hold no test item, all columns. All rows of a key go if one holds an item; those with a null key count as one key's."""
     key = options.get("key", "doc_id")
