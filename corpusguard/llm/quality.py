@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from .textkit import SPACE, hashed_words, mix, pieces
 from .workspace import fold
 
-#: Hashed byte pairs, bins of each style figure, latent dimensions, neighbours that vote, exponent of their weights.
-PAIRS, STEPS, DIMENSIONS, NEIGHBOURS, SHARPNESS = 1024, 16, 48, 32, 8
+#: Hashed byte pairs and words, bins of each style figure, latent dimensions, neighbours that vote, exponent of their weights.
+PAIRS, WORDS, STEPS, DIMENSIONS, NEIGHBOURS, SHARPNESS = 2048, 2048, 16, 48, 32, 8
+#: Dimensions beyond those kept, and rounds, of the search for singular vectors; rows of the sample held dense at a time.
+SPARE, ROUNDS, DENSE = 16, 8, 256
 #: Labelled rows of each class that the model is fitted on: the bound of what is collected and broadcast.
 SAMPLE = 2048
 #: Lowest score of an accepted document.
@@ -26,11 +28,11 @@ _UPPER[0x41:0x5B] = True
 _DIGIT[0x30:0x3A] = True
 _MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
 STYLES = 9
-FEATURES = PAIRS + STYLES * (STEPS + 1)
+FEATURES = PAIRS + WORDS + STYLES * (STEPS + 1)
 
 
 def features(buffer: bytes, starts: np.ndarray) -> np.ndarray:
-    """Term weights of the texts in a buffer: relative frequencies of hashed byte pairs, damped; and style figures (share of
+    """Term weights of the texts in a buffer: relative frequencies of hashed byte pairs and words, damped; and style figures (share of
     capitals, digits, marks and spaces, different words, the commonest word, words that repeat the one before, word length,
     text length) spread over bins."""
     n = len(starts)
@@ -47,6 +49,8 @@ def features(buffer: bytes, starts: np.ndarray) -> np.ndarray:
     out[:, :PAIRS] = np.log1p(out[:, :PAIRS] * (1000.0 / length)[:, None].astype(np.float32))
     hashes, docs = hashed_words(buffer, starts)
     count = np.bincount(docs, minlength=n)
+    met, times = np.unique(docs * WORDS + (hashes % np.uint64(WORDS)).astype(np.int64), return_counts=True)
+    out[met // WORDS, PAIRS + met % WORDS] = np.log1p(times * (200.0 / np.maximum(count, 1))[met // WORDS])
     runs = np.sort((docs.astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(20)))
     first = np.flatnonzero(np.append(True, runs[1:] != runs[:-1])) if len(runs) else np.zeros(0, np.int64)
     own = (runs[first] >> np.uint64(44)).astype(np.int64)
@@ -61,7 +65,7 @@ def features(buffer: bytes, starts: np.ndarray) -> np.ndarray:
     for k, x in enumerate(styles):
         x = np.clip(x, 0, 1) * (STEPS - 1)
         low = x.astype(np.int64)
-        at = PAIRS + k * (STEPS + 1)
+        at = PAIRS + WORDS + k * (STEPS + 1)
         out[np.arange(n), at + low] += (1 - (x - low)).astype(np.float32) * 6
         out[np.arange(n), at + low + 1] += (x - low).astype(np.float32) * 6
     out[ends == starts] = 0
@@ -77,18 +81,56 @@ class Model:
     labels: np.ndarray
 
 
-def fit(rows: np.ndarray, labels: np.ndarray, prior: float) -> Model:
-    """The singular vectors of the weighted sample, and its rows in their space. With no labelled text every score is the prior."""
-    good = rows.any(axis=1)
-    rows, labels = rows[good], labels[good]
-    if not len(rows):
+class Rows:
+    """Feature rows held by their cells that aren't 0."""
+
+    def __init__(self, packed: list[bytes]):
+        cells = [np.frombuffer(x, [("at", "<u2"), ("value", "<f4")]) for x in packed]
+        self.ends = np.cumsum([len(c) for c in cells]) if cells else np.zeros(0, np.int64)
+        flat = np.concatenate(cells) if cells else np.zeros(0, [("at", "<u2"), ("value", "<f4")])
+        self.at, self.value = flat["at"].astype(np.int64), flat["value"].copy()
+        self.row = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def dense(self) -> Iterator[np.ndarray]:
+        for a in range(0, len(self), DENSE):
+            b = min(a + DENSE, len(self))
+            own = slice(int(self.ends[a - 1]) if a else 0, int(self.ends[b - 1]))
+            out = np.zeros((b - a, FEATURES), np.float32)
+            out[self.row[own] - a, self.at[own]] = self.value[own]
+            yield out
+
+
+def packed(row: np.ndarray) -> bytes:
+    """The cells of a feature row that aren't 0."""
+    at = np.flatnonzero(row)
+    out = np.empty(len(at), [("at", "<u2"), ("value", "<f4")])
+    out["at"], out["value"] = at, row[at]
+    return out.tobytes()
+
+
+def fit(rows: list[bytes], labels: np.ndarray, prior: float) -> Model:
+    """The singular vectors of the weighted sample, and its rows in their space. With no labelled text every score is the prior.
+
+    The vectors are those of the largest singular values, found by repeated products with the rows, which are made
+    dense a few at a time: what is held follows the sample's bound and the number of features.
+    """
+    good = [k for k, r in enumerate(rows) if r]
+    sample, labels = Rows([rows[k] for k in good]), labels[good]
+    if not len(sample):
         return Model(prior, np.ones(FEATURES, np.float32), np.zeros((FEATURES, 1), np.float32), np.zeros((1, 0), np.float32), labels)
-    idf = np.log1p(len(rows) / (1.0 + (rows > 0).sum(axis=0))).astype(np.float32)
-    x = rows * idf
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    values, basis = np.linalg.eigh((x.T @ x).astype(np.float64))
-    basis = np.ascontiguousarray(basis[:, ::-1][:, : min(DIMENSIONS, len(rows))]).astype(np.float32)
-    y = x @ basis
+    idf = np.log1p(len(sample) / (1.0 + np.bincount(sample.at, minlength=FEATURES))).astype(np.float32)
+    sample.value *= idf[sample.at]
+    sample.value /= np.sqrt(np.bincount(sample.row, sample.value.astype(np.float64) ** 2)).astype(np.float32)[sample.row]
+    kept = min(DIMENSIONS, len(sample))
+    basis = np.linalg.qr(np.random.default_rng(7).standard_normal((FEATURES, min(kept + SPARE, len(sample)))))[0].astype(np.float32)
+    for _ in range(ROUNDS):
+        basis = np.linalg.qr(sum(x.T @ (x @ basis) for x in sample.dense()).astype(np.float64))[0].astype(np.float32)
+    seen = np.concatenate([x @ basis for x in sample.dense()])
+    turn = np.linalg.eigh((seen.T @ seen).astype(np.float64))[1][:, ::-1][:, :kept].astype(np.float32)
+    basis, y = np.ascontiguousarray(basis @ turn), seen @ turn
     y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
     return Model(prior, idf, basis, np.ascontiguousarray(y.T), labels.astype(np.float32))
 
@@ -115,15 +157,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, buffer, starts in pieces(batch.column(1)):
             rows = features(buffer, starts)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary())], ["label", "row"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([packed(r) for r in rows], pa.binary())], ["label", "row"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", held_out: tuple[int, int] = (5, 0), sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` rows of each class, chosen by a hash of the key among labelled rows whose fold isn't held out.
 
-    The bound makes what is collected (2 * sample rows of FEATURES floats) and broadcast the same for any corpus.
+    The bound makes what is collected (2 * sample rows of FEATURES cells at most) and broadcast the same for any corpus.
+    Of labels, or texts, that share a key the smallest is taken.
     """
     usable = labels.select(F.col(key).alias(key), F.col(label).cast("int").alias("label")).filter(f"label in (0, 1) and {key} is not null").filter(fold(key, held_out[0]) != held_out[1])
+    usable = usable.groupBy(key).agg(F.min("label").alias("label"))
     shares = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     n = sum(shares.values())
     prior = shares.get(1, 0) / n if n else 0.5
@@ -131,12 +175,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     for value in (0, 1):
         part = usable.filter(F.col("label") == value).orderBy(F.xxhash64(key), key).limit(sample)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(picked), key).select("label", "_text").mapInArrow(_features, "label int, row binary").collect()
-    got, values = np.zeros((len(rows), FEATURES), np.float32), np.array([r["label"] for r in rows], np.float32)
-    for k, r in enumerate(rows):
-        got[k] = np.frombuffer(r["row"], np.float16)
-    del rows
-    return fit(got, values, prior)
+    found = docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(picked), key).groupBy(key).agg(F.first("label").alias("label"), F.min("_text").alias("_text"))
+    rows = found.select("label", "_text", key).sortWithinPartitions(key).mapInArrow(_features, "label int, row binary").collect()
+    return fit([bytes(r["row"]) for r in rows], np.array([r["label"] for r in rows], np.float32), prior)
 
 
 def scorer(spark: SparkSession, model: Model):
