@@ -78,24 +78,28 @@ def _bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(np.log2(np.maximum(context, 0) + 0.5)).astype(np.int64) + 1, BUCKETS - 1).clip(0)
 
 
-def learn_weights(cells: list[tuple[int, int, float]], uniform: float, rounds: int = ROUNDS) -> np.ndarray:
-    """Mixture weights (bigram, unigram, uniform) by context bucket: expectation-maximisation on a table of (bucket, cell, count).
+def learn_weights(cells: list[tuple[int, int, float, float, float]], uniform: float, rounds: int = ROUNDS) -> np.ndarray:
+    """Mixture weights (bigram, unigram, uniform) by context bucket: expectation-maximisation on a table of (bucket, cell, count, pair, one).
 
-    A cell stands for a pair of estimates. Buckets without counts take the weights of all counts.
+    A cell stands for a pair of estimates: the geometric means of those that fell into it, whose negative logarithms add
+    up to `pair` and `one`. Buckets without counts take the weights of all counts. The pair's estimate
+    has no weight in bucket 0, whose contexts were never seen, so that the estimates of a context always add up to 1.
     """
     weights = np.full((BUCKETS, 3), 1 / 3)
+    unseen = np.array([0, 0.5, 0.5])
+    weights[0] = unseen
     if not cells:
         return weights
-    bucket, cell, count = (np.array(x) for x in zip(*cells, strict=True))
+    bucket, cell, count, pair, one = (np.array(x) for x in zip(*cells, strict=True))
     up, low = cell // (DEPTH + 1), cell % (DEPTH + 1)
-    p = np.stack([np.where(up < DEPTH, np.exp(-up / GRID), 0), np.where(low < DEPTH, np.exp(-low / GRID), 0), np.full(len(cell), uniform)], axis=1)
+    p = np.stack([np.where(up < DEPTH, np.exp(-pair / count), 0), np.where(low < DEPTH, np.exp(-one / count), 0), np.full(len(cell), uniform)], axis=1)
     groups = [(b, bucket == b) for b in range(BUCKETS)] + [(-1, np.ones(len(cell), bool))]
     shared = None
     for b, own in reversed(groups):
         if not own.any():
-            weights[b] = shared
+            weights[b] = shared if b else shared * (unseen > 0) / max(shared[1:].sum(), 1e-300)
             continue
-        w = np.full(3, 1 / 3)
+        w = np.full(3, 1 / 3) if b else unseen
         for _ in range(rounds):
             part = p[own] * w
             w = (part / part.sum(axis=1, keepdims=True) * count[own][:, None]).sum(axis=0)
@@ -112,7 +116,7 @@ def score_texts(docs: DataFrame, held_out: tuple[int, int] = (7, 2), key: str =
 
     Tokens: runs of bytes outside 0x20 and 0x09-0x0D, A-Z lower-cased, then one end for each document. base_score: the
     log10 probability by unigram counts plus one; score: that of the interpolated model. Counts are of all documents
-    outside the held-out fold. The model's estimates are maximum-likelihood ones of pairs, of tokens, and 1 / (V + 1),
+    outside the held-out fold; tokens and pairs are told apart by 64-bit hashes. The model's estimates are maximum-likelihood ones of pairs, of tokens, and 1 / (V + 1),
     mixed by weights that depend on how often the context was seen; the weights are learned by expectation-maximisation
     on the counts of the documents of one training fold, with estimates from the others. A null or empty text has its
     end alone; a null id is in the fold of an empty one; equal rows are counted and scored each; without training rows
@@ -149,13 +153,15 @@ def score_texts(docs: DataFrame, held_out: tuple[int, int] = (7, 2), key: str =
             return []
         one, _, two, _, context, _ = (x[held] for x in _answers(token, pair, before, got, n_docs))
         with np.errstate(divide="ignore", invalid="ignore"):
-            steps = [np.where(x > 0, np.minimum(np.round(-np.log(x) * GRID), DEPTH - 1), DEPTH).astype(np.int64) for x in (two / context, one / max(1, main_tokens))]
-        cell, count = np.unique((_bucket(context) * (DEPTH + 1) + steps[0]) * (DEPTH + 1) + steps[1], return_counts=True)
-        return [(int(c) // (DEPTH + 1) ** 2, int(c) % (DEPTH + 1) ** 2, int(n)) for c, n in zip(cell, count, strict=True)]
+            logs = [np.where(x > 0, -np.log(x), np.inf) for x in (two / context, one / max(1, main_tokens))]
+        steps = [np.where(np.isfinite(x), np.minimum(np.round(x * GRID), DEPTH - 1), DEPTH).astype(np.int64) for x in logs]
+        cell, at, count = np.unique((_bucket(context) * (DEPTH + 1) + steps[0]) * (DEPTH + 1) + steps[1], return_inverse=True, return_counts=True)
+        sums = [np.bincount(at, np.where(np.isfinite(x), x, 0), len(cell)).tolist() for x in logs]
+        return [(int(c) // (DEPTH + 1) ** 2, int(c) % (DEPTH + 1) ** 2, int(n), x, y) for c, n, x, y in zip(cell, count, *sums, strict=True)]
 
-    table = blocks.receive(own_replies, tally, "bucket int, cell bigint, n bigint").groupBy("bucket", "cell").agg(F.sum("n").alias("n"))
+    table = blocks.receive(own_replies, tally, "bucket int, cell bigint, n bigint, pair double, one double").groupBy("bucket", "cell").agg(*[F.sum(c).alias(c) for c in ("n", "pair", "one")])
     # BUCKETS * (DEPTH + 1) ** 2 rows at most, whatever the corpus
-    cells = [(r["bucket"], r["cell"], float(r["n"])) for r in table.collect()]
+    cells = [(r["bucket"], r["cell"], float(r["n"]), r["pair"], r["one"]) for r in table.collect()]
     weights = learn_weights(cells, uniform)
 
     def rate(ids: list, starts: np.ndarray, buffer: bytes, got: pa.Table) -> list[tuple]:
