@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workspace import staged
+
 #: Sub-ranges of a shard within which slots are counted; a shard is never sorted as a whole.
 SUBRANGES = 256
 
@@ -37,21 +39,21 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], grown: Sequence[flo
     key, which count as one key) share a shard; each still gets a slot of its own. A null text has the size and
     checksum of an empty one; an empty table gives no rows; other columns of docs are ignored.
 
-    Slots: rows are counted by (shard, subrange of the key's hash), the counts are summed up within the shard, and each
+    Slots: rows are counted by (shard, subrange of the hash of key and text, so that rows of one key don't meet), the counts are summed up within the shard, and each
     subrange is numbered by itself. So no task holds a shard; the broadcast table has len(weights) * subranges rows.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     stable = F.coalesce(F.col(key).cast("string"), F.lit("\u0000"))
-    home = rendezvous(stable, weights, seed)
     rows = docs.select(
         F.col(key),
         (F.octet_length(body) + 16).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        home.alias("shard"),
+        rendezvous(stable, weights, seed).alias("shard"),
         (rendezvous(stable, grown, seed) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        F.pmod(F.xxhash64(stable, F.lit(seed + 1)), F.lit(subranges)).cast("int").alias("_sub"),
+        F.pmod(F.xxhash64(stable, F.col(text), F.lit(seed + 1)), F.lit(subranges)).cast("int").alias("_sub"),
     )
-    counts = docs.select(home.alias("shard"), F.pmod(F.xxhash64(stable, F.lit(seed + 1)), F.lit(subranges)).cast("int").alias("_sub")).groupBy("shard", "_sub").count()
+    rows = staged(rows, "shards")
+    counts = rows.groupBy("shard", "_sub").count()
     before = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_sub", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("shard", "_sub").orderBy(F.col(key), "text_crc32", "size")
