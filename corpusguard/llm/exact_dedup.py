@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textkit import mix
@@ -14,6 +14,8 @@ from .workspace import lookup, new_path, partitions, staged
 
 #: Digests in one filter; a snapshot has as many filters as it needs.
 FILTER_KEYS = 250_000
+#: What a null key counts as.
+FLOOR = -(1 << 63)
 #: Largest table of groups that is broadcast to the byte check.
 BROADCAST_BYTES = 64 << 20
 
@@ -128,12 +130,23 @@ def _bucket(digest: Column, buckets: int) -> Column:
 class Snapshot:
     """An immutable set of digests: its index (digest, top id, size) and its filters, both written tables."""
 
-    def __init__(self, rows: DataFrame):
-        """rows: digest, id."""
-        self.index = staged(rows.groupBy("digest").agg(F.max("id").alias("top"), F.count("*").alias("size")), "snapshot")
-        self.buckets = max(1, -(-self.index.count() // FILTER_KEYS))
-        keyed = self.index.select(_bucket(F.col("digest"), self.buckets).alias("bucket"), "digest")
-        self.filters = staged(keyed.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(_build, "bucket int, filter binary"), "filters")
+    def __init__(self, spark: SparkSession, path: str):
+        """The snapshot saved under a path."""
+        self.index, self.filters = spark.read.parquet(f"{path}/index"), spark.read.parquet(f"{path}/filters")
+        self.buckets = spark.read.parquet(f"{path}/buckets").first()["buckets"]
+
+    @classmethod
+    def save(cls, rows: DataFrame, path: str | None = None) -> Snapshot:
+        """Build and write the snapshot of rows (digest, id); without a path it lasts as long as the driver."""
+        spark = rows.sparkSession
+        path = path or new_path(spark, "snapshot")
+        rows.groupBy("digest").agg(F.max("id").alias("top"), F.count("*").alias("size")).write.parquet(f"{path}/index")
+        index = spark.read.parquet(f"{path}/index")
+        buckets = max(1, -(-index.count() // FILTER_KEYS))
+        keyed = index.select(_bucket(F.col("digest"), buckets).alias("bucket"), "digest")
+        keyed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_build, "bucket int, filter binary").write.parquet(f"{path}/filters")
+        spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/buckets")
+        return cls(spark, path)
 
     def screen(self, digests: DataFrame) -> DataFrame:
         """Those of the distinct digests that may be in the snapshot: filters and digests meet by bucket, nothing is broadcast."""
@@ -143,38 +156,46 @@ class Snapshot:
         return dealt.mapInArrow(_screen, "digest binary")
 
 
-def group_copies(docs: DataFrame, in_snapshot: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row of docs: key, keep_id, group_size, kept, text_sha256, and known (its text is in the snapshot too).
+def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """digest and id of each row, as snapshots are made of; a null text counts as empty, a null key is the smallest."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.unhex(F.sha2(body.cast("binary"), 256)).alias("digest"), F.coalesce(F.col(key), F.lit(FLOOR).cast("long")).alias("id"))
+
+
+def group_copies(docs: DataFrame, in_snapshot: Column | None = None, key: str = "doc_id", text: str = "text", snapshots: Sequence[Snapshot] = ()) -> DataFrame:
+    """For each row of docs: key, keep_id, group_size, kept, text_sha256, and known (its text is in a snapshot).
 
     Texts are equal when their bytes are; a null text counts as empty. Of equal texts the row with the largest key
     stays; a null key is smaller than any other, and of rows that share the largest key all are marked kept (the key
     can't tell them apart). An empty table gives no rows; other columns of docs don't matter.
 
-    in_snapshot tells the rows of the earlier snapshot from those of the new batch (default: even hashes of the key are
-    the snapshot). The new batch's own copies are grouped first; its distinct digests then pass the snapshot's
-    binary-fuse filters; those let through meet the exact digests, and every member of a group is compared, byte by
-    byte, with the text of the row that stays. A digest whose texts differ would be an error of SHA-256, and stops the job.
+    Rows are either of a new batch, or of the earlier snapshot that in_snapshot tells from it (default: even hashes of
+    the key); or all are of the new batch, and `snapshots` saved before are given: their members count in group_size,
+    and the largest key can be one of theirs. The new batch's own copies are grouped first; its distinct digests then
+    pass each snapshot's binary-fuse filters; those let through meet the exact digests, and every member of a group is
+    compared, byte by byte, with the text of the row that stays, if that is among docs. A digest whose texts differ
+    would be an error of SHA-256, and stops the job.
     """
-    spark = docs.sparkSession
     if in_snapshot is None:
-        in_snapshot = F.pmod(F.xxhash64(F.col(key)), F.lit(2)) == 0
+        in_snapshot = F.lit(False) if snapshots else F.pmod(F.xxhash64(F.col(key)), F.lit(2)) == 0
     body = F.coalesce(F.col(text), F.lit(""))
-    floor = F.lit(-(1 << 63)).cast("long")
+    floor = F.lit(FLOOR).cast("long")
     hashed = staged(docs.select(F.col(key), F.unhex(F.sha2(body.cast("binary"), 256)).alias("digest"), in_snapshot.alias("old")), "digests")
     ids = hashed.select("digest", "old", F.coalesce(F.col(key), floor).alias("id"))
-    snapshot = Snapshot(ids.filter("old"))
     batch = ids.filter(~F.col("old")).groupBy("digest").agg(F.max("id").alias("top"), F.count("*").alias("size"))
-    positive = snapshot.screen(batch.select("digest"))
-    met = positive.join(snapshot.index, "digest")
-    groups = (
-        batch.unionByName(met.select("digest", "top", "size"), allowMissingColumns=True)
-        .unionByName(snapshot.index.join(positive, "digest", "left_anti"))
-        .groupBy("digest")
-        .agg(F.max("top").alias("keep"), F.sum("size").alias("group_size"))
-    )
+    groups = batch.withColumn("old", F.lit(False))
+    own = [] if snapshots else [Snapshot.save(ids.filter("old").select("digest", "id"))]
+    for snapshot in [*own, *snapshots]:
+        positive = snapshot.screen(batch.select("digest"))
+        # every row of docs needs its group; of a snapshot of other rows only what the batch meets is wanted
+        met = snapshot.index if own else positive.join(snapshot.index, "digest")
+        if own:
+            met = positive.join(met, "digest").select("digest", "top", "size").unionByName(met.join(positive, "digest", "left_anti"))
+        groups = groups.unionByName(met.select("digest", "top", "size", F.lit(True).alias("old")))
+    groups = groups.groupBy("digest").agg(F.max("top").alias("keep"), F.sum("size").alias("group_size"), F.max("old").alias("met"))
     copies = staged(groups.filter("group_size > 1"), "copies")
-    verify_bytes(docs.select(F.coalesce(F.col(key), floor).alias("id"), body.alias("text")), copies)
-    found = lookup(hashed.select(key, "digest"), copies, "digest", "group_size", hashed.count())
+    verify_bytes(docs.select(F.coalesce(F.col(key), floor).alias("id"), body.alias("text")), copies.select("digest", "keep", "group_size"))
+    found = lookup(hashed, copies, "digest", "group_size", hashed.count(), nulls=False)
     keep = F.when(F.col("keep").isNull(), F.col(key)).otherwise(F.nullif(F.col("keep"), floor))
     return found.select(
         key,
@@ -182,6 +203,7 @@ def group_copies(docs: DataFrame, in_snapshot: Column | None = None, key: str =
         F.coalesce(F.col("group_size"), F.lit(1)).cast("long").alias("group_size"),
         keep.eqNullSafe(F.col(key)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        F.coalesce("met", "old").alias("known"),
     )
 
 
@@ -197,11 +219,11 @@ def verify_bytes(rows: DataFrame, copies: DataFrame) -> None:
     if n_groups * 128 <= BROADCAST_BYTES:
         members = hashed.join(F.broadcast(wanted), "digest")
     else:
-        members = lookup(hashed, wanted, "digest", "group_size", rows.count()).filter("keep is not null")
+        members = lookup(hashed, wanted, "digest", "group_size", rows.count(), nulls=False).filter("keep is not null")
     salts = F.ceil(F.col("group_size") / 1000).cast("int")
     members = members.select("digest", "id", "text", "keep", salts.alias("salts"))
     kept = members.filter("id = keep").dropDuplicates(["digest"]).select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("kept_text"))
-    asked = members.filter("id <> keep").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    asked = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
     if asked.join(kept, ["digest", "salt"]).filter("text <> kept_text").limit(1).count():
         raise RuntimeError("texts of one SHA-256 digest differ")
 

@@ -56,7 +56,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import group_copies
 
-    return group_copies(table(spark, sf_dir, "documents"))
+    return group_copies(table(spark, sf_dir, "documents")).drop("known")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
