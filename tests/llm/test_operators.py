@@ -91,6 +91,19 @@ def test_exact_copies(docs, empty, rows):
     assert sorted((r.keep_id or 0, r.kept) for r in group_copies(none).collect()) == [(0, True), (3, False), (3, True)]
 
 
+def test_saved_snapshots(spark, tmp_path):
+    from corpusguard.llm.exact_dedup import Snapshot, digests, group_copies
+
+    kind = "doc_id long, text string"
+    old = [spark.createDataFrame(rows, kind) for rows in ([(1, "a"), (2, "b"), (90, "b")], [(3, "c"), (4, None)])]
+    paths = [f"{tmp_path}/{k}" for k in range(2)]
+    for rows, path in zip(old, paths, strict=True):
+        Snapshot.save(digests(rows), path)
+    new = spark.createDataFrame([(10, "a"), (11, "b"), (12, "new"), (13, "new"), (14, ""), (14, "other")], kind)
+    got = group_copies(new, snapshots=[Snapshot(spark, p) for p in paths]).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.known) for r in got) == [(10, 10, 2, True, True), (11, 90, 3, False, True), (12, 13, 2, False, False), (13, 13, 2, True, False), (14, 14, 1, True, False), (14, 14, 2, True, True)]
+
+
 def test_fuse_filter():
     from corpusguard.llm.exact_dedup import build_fuse, in_fuse
 
@@ -272,10 +285,55 @@ def test_mixture_weights():
     from corpusguard.llm.language_model import BUCKETS, DEPTH, learn_weights
 
     good_pair = 8 * (DEPTH + 1) + DEPTH  # the pair's estimate e**-1, the token's 0
-    w = learn_weights([(3, good_pair, 100.0), (5, DEPTH * (DEPTH + 1) + 8, 50.0)], 1e-6)
+    w = learn_weights([(3, good_pair, 100.0, 100.0, 0.0), (5, DEPTH * (DEPTH + 1) + 8, 50.0, 0.0, 50.0)], 1e-6)
     assert w.shape == (BUCKETS, 3) and np.allclose(w.sum(axis=1), 1)
-    assert w[3][0] > 0.99 and w[5][1] > 0.99 and 0.6 < w[0][0] < 0.7
-    assert np.allclose(learn_weights([], 0.1), 1 / 3)
+    assert w[3][0] > 0.99 and w[5][1] > 0.99 and 0.6 < w[1][0] < 0.7
+    assert w[0][0] == 0 and np.allclose(learn_weights([], 0.1)[1:], 1 / 3)
+
+
+def test_model_against_brute_force(spark):
+    """Exact counts, expectation-maximisation on exact estimates, and the sum over all next tokens of a context."""
+    from corpusguard.llm.language_model import BUCKETS, TUNING_FOLD, score_texts
+
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(40)], k=rng.randrange(0, 40)))) for i in range(400)]
+    fold = {i: zlib.crc32(str(i).encode()) % 7 for i, _ in rows}
+    tokens = {i: ["<s>", *t.split(), "</s>"] for i, t in rows}
+
+    def counted(folds):
+        pairs = Counter(p for i, w in tokens.items() if fold[i] in folds for p in zip(w, w[1:], strict=False))
+        ones = Counter(b for (_, b), n in pairs.items() for _ in range(n))
+        return pairs, ones, Counter(a for (a, _), n in pairs.items() for _ in range(n)), sum(ones.values())
+
+    bucket = lambda n: min(BUCKETS - 1, int(math.floor(math.log2(n + 0.5))) + 1 if n else 0)
+    pairs, ones, contexts, total = counted({f for f in range(7) if f not in (2, TUNING_FOLD)})
+    every = counted({f for f in range(7) if f != 2})
+    uniform = 1 / (len(every[1]) + 1)
+    cells = defaultdict(Counter)
+    for i, w in tokens.items():
+        if fold[i] == TUNING_FOLD:
+            for a, b in zip(w, w[1:], strict=False):
+                cells[bucket(contexts[a])][pairs[a, b] / max(1, contexts[a]), ones[b] / total, uniform] += 1
+    cells[-1] = sum(cells.values(), Counter())
+    weights = {}
+    for k, own in cells.items():
+        w, p, n = np.array([0, 0.5, 0.5]) if k == 0 else np.full(3, 1 / 3), np.array(list(own)), np.array(list(own.values()))
+        for _ in range(100):
+            part = p * w
+            w = (part / part.sum(axis=1, keepdims=True) * n[:, None]).sum(axis=0)
+            w /= w.sum()
+        weights[k] = w
+    pairs, ones, contexts, total = every
+    def probability(a, b):
+        k = bucket(contexts[a])
+        w = weights[k] if k in weights else weights[-1]
+        return w @ [pairs[a, b] / max(1, contexts[a]), ones[b] / total, uniform]
+    for a in ("<s>", "w0", "w39"):  # all known tokens, and one for the unknown
+        assert math.isclose(sum(probability(a, b) for b in ones) + probability(a, "unknown"), 1, rel_tol=1e-9)
+    for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        w = tokens[r.doc_id]
+        assert math.isclose(r.score, sum(math.log10(probability(a, b)) for a, b in zip(w, w[1:], strict=False)), rel_tol=1e-3), r.doc_id
 
 
 def test_bpe(docs, empty, rows):
@@ -430,12 +488,58 @@ def test_decontamination(spark, docs, empty):
     assert find_leaks(empty, items).count() == 0 and find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_passages_against_brute_force(spark):
+    """Every unit of every passage scored in full, and all 5-grams compared, on texts that hold whole, cut and altered items."""
+    from corpusguard.llm import decontaminate as d
+
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(150)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 70))), " ".join(rng.choices(words, k=rng.randrange(1, 9))) if i % 2 else None) for i in range(30)]
+    rows = []
+    for i in range(200):
+        own = f"{items[i % 30][1]} {items[i % 30][2] or ''}".split()
+        if i % 4 == 1:
+            own = own[: len(own) * (i % 11) // 10]
+        if i % 4 == 2:
+            own = [w if rng.random() < 0.93 else "other" for w in own]
+        rows.append((i, " ".join(rng.choices(words, k=rng.randrange(0, 90)) + own + rng.choices(words, k=rng.randrange(0, 90)))))
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    index, wanted = d.build_index(items), set()
+    number = {h: t for t, h in enumerate(index.terms.tolist())}
+    for i, text in rows:
+        w = text.split()
+        hashes = d._words([text])[0].tolist()
+        hit = set()
+        for a in range(0, max(1, len(w) - d.PASSAGE + d.STRIDE), d.STRIDE):
+            score = np.zeros(len(index.unit_item))
+            for t in {number[h] for h in hashes[a : a + d.PASSAGE] if h in number}:
+                own = slice(index.first[t], index.first[t + 1])
+                score[index.units[own]] += index.impacts[own]
+            hit |= set(index.unit_item[score >= d.THRESHOLD - 1e-9].tolist())
+        for k in hit:
+            whole = f"{items[k][1]} {items[k][2] or ''}".split()
+            every = [tuple(whole[j : j + 5]) for j in range(len(whole) - 4)] or [tuple(whole)]
+            tail = min(len(every), max(1, len(items[k][2].split()) - 4) if items[k][2] else 5)
+            there = [g in grams(w) for g in every]
+            if sum(there) >= 0.8 * len(every) and any(there[len(every) - tail :]):
+                wanted.add((i, k))
+    docs_ = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id short, text string, answer string")
+    got = {(r.doc_id, r.item_id) for r in d.find_leaks(docs_, bench, item_answer="answer").collect()}
+    assert got == wanted and len(wanted) > 80
+
+
 def test_wand_finds_all_that_exhaustive_scoring_finds():
     from corpusguard.llm.decontaminate import build_index, wand
 
     rng = random.Random(4)
     words = [f"w{i}" for i in range(60)]
-    index = build_index([(i, " ".join(rng.choices(words, k=rng.randrange(5, 40)))) for i in range(120)])
+    index = build_index([(i, " ".join(rng.choices(words, k=rng.randrange(5, 40))), None) for i in range(120)])
+    for t in range(len(index.terms)):  # a block's maximum bounds each unit there, and is reached
+        own = slice(index.first[t], index.first[t + 1])
+        for block in range(len(index.common_most)):
+            there = index.impacts[own][index.units[own] // 8 == block]
+            assert index.most_in(t, block) == (there.max() if len(there) else 0)
     for _ in range(200):
         query = sorted(rng.sample(range(len(index.terms)), 12))
         score = np.zeros(len(index.unit_item))
@@ -468,6 +572,30 @@ def test_quality(spark, docs, empty):
     assert {r.score for r in score_quality(frame.limit(3), labels.limit(0)).collect()} == {0.5}
 
 
+def test_votes_against_brute_force(spark):
+    """Cosines and votes one by one, and the singular vectors against those of the whole matrix."""
+    from corpusguard.llm import quality as q
+    from corpusguard.llm.textkit import pieces
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(300)]
+    texts = [" ".join(rng.choices(words[: 150 if k % 2 else 300], k=rng.randrange(5, 60))) for k in range(260)]
+    ((_, _, buffer, starts),) = pieces(pa.array(texts))
+    rows = q.features(buffer, starts)
+    labels = np.array([k % 2 for k in range(260)], np.float32)
+    model = q.fit([q.packed(r) for r in rows[:200]], labels[:200], 0.5)
+    x = rows[:200] * model.idf
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    top = np.linalg.svd(x, compute_uv=False)[: q.DIMENSIONS]
+    assert np.allclose(np.linalg.norm(x @ model.basis, axis=0), top, rtol=0.02)
+    for got, row in zip(q.score(model, rows[200:]), rows[200:], strict=True):
+        y = (row * model.idf) @ model.basis
+        near = sorted(((float(y @ v / np.linalg.norm(y)), float(n)) for v, n in zip(model.vectors.T, model.labels, strict=True)), reverse=True)[: q.NEIGHBOURS]
+        weight = [max(0, c) ** q.SHARPNESS for c, _ in near]
+        assert math.isclose(got, sum(a * n for a, (_, n) in zip(weight, near, strict=True)) / sum(weight), abs_tol=1e-3)
+
+
 def test_surrogates(spark, docs, empty):
     from corpusguard.llm.pii import replace_entities
 
