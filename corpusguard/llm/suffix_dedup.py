@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Blocks, arrow_schema, by_range, equal_runs, pack, pack_sorted, unpack, unpack_sorted
-from .textkit import prefix_sums, window_hashes
+from .textkit import mix, prefix_sums, window_hashes
 from .workspace import staged
 
 WIDTH, GRAM = 50, 16
 #: Bytes of text for each key range.
-RANGE_BYTES = 3 << 20
+RANGE_BYTES = 16 << 20
+#: Windows whose anchors are searched at a time.
+SLICE = 1 << 15
 #: A byte that UTF-8 never has: it stands between documents and fills suffixes at their ends.
 OUTSIDE = 0xFF
 
@@ -43,14 +45,21 @@ def anchors(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.nda
     """Places and hashes of the lowest grams of all windows that lie inside a document; equal lowest grams all count."""
     if len(data) < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    found = [_anchors(data[a : a + SLICE + width - 1], width, gram) for a in range(0, len(data) - width + 1, SLICE)]
+    at = np.concatenate([p + k * SLICE for k, (p, _) in enumerate(found)])
+    # windows of two slices can have one anchor
+    at, first = np.unique(at, return_index=True)
+    return at, np.concatenate([h for _, h in found])[first]
+
+
+def _anchors(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     grams = window_hashes(prefix_sums(data), gram)
     span = width - gram + 1
     low = _sliding(grams, span, np.minimum)
-    outside = np.concatenate([[0], np.cumsum(data == OUTSIDE)])
-    inside = outside[width:] == outside[: len(data) - width + 1]
-    low = np.where(inside, low, np.uint64(0))
-    padded = np.concatenate([np.zeros(span - 1, np.uint64), low, np.zeros(span - 1, np.uint64)])
-    at = np.flatnonzero(_sliding(padded, span, np.maximum) == grams)
+    outside = np.concatenate([[0], np.cumsum(data == OUTSIDE, dtype=np.int32)])
+    low[outside[width:] != outside[: len(data) - width + 1]] = 0
+    edge = np.zeros(span - 1, np.uint64)
+    at = np.flatnonzero(_sliding(np.concatenate([edge, low, edge]), span, np.maximum) == grams)
     return at, grams[at]
 
 
@@ -95,19 +104,9 @@ class Run:
 
 
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
-    """Length of the common prefix of which `known` bytes are known; those are not read."""
-    low, high = known, min(len(a), len(b))
-    if a[low:high] == b[low:high]:
-        return high
-    while high - low > 8:
-        middle = (low + high) // 2
-        if a[low:middle] == b[low:middle]:
-            low = middle
-        else:
-            high = middle
-    while low < high and a[low] == b[low]:
-        low += 1
-    return low
+    """Length of the common prefix of two strings of one length, of which `known` bytes are known; those are not read."""
+    differs = int.from_bytes(a[known:], "big") ^ int.from_bytes(b[known:], "big")
+    return len(a) - (differs.bit_length() + 7) // 8
 
 
 def merge_runs(runs: list[Run]) -> Iterator[tuple[int, bytes, int]]:
@@ -134,10 +133,7 @@ def merge_runs(runs: list[Run]) -> Iterator[tuple[int, bytes, int]]:
             return a, b
         s, t = runs[a].suffix, runs[b].suffix
         n = common_prefix(s, t, x)
-        first = n == len(s) or (n < len(t) and s[n] < t[n])
-        if first and n == len(t) and a > b:
-            first = False
-        if first:
+        if a < b if n == len(s) else s[n] < t[n]:
             shares[b] = n
             return a, b
         shares[a] = n
@@ -281,6 +277,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
     def found(starts: np.ndarray, buffer: bytes) -> tuple[np.ndarray, ...]:
         data = _content(starts, buffer)
         at, hashes = anchors(data, width, gram)
+        # an anchor's hash is the lowest of many: mixed again, anchors spread evenly over the ranges
+        hashes = mix(hashes)
         return data, at, hashes, np.searchsorted(starts, at, "right") - 1
 
     def hashes_of(ids: list, starts: np.ndarray, buffer: bytes) -> Iterator[tuple]:
