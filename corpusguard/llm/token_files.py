@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,40 @@ def _steps(node: dict | None) -> list[dict]:
     return [s for n in node["normalizers"] for s in _steps(n)] if node["type"] == "Sequence" else [node]
 
 
+#: Fixed value: the pattern of a pre-tokenizer whose pieces are known apart (see WordCache.parts).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same on words of which every character is one of PLAIN; these are letters and marks that no normal form changes.
+PLAIN, PIECES = re.compile("[!-;=-~¡«»¿À-ÿ‐-…]+"), re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_C3, _C2, _DASH = (np.zeros(256, bool) for _ in range(3))
+_C3[0x80:0xC0], _C2[[0xA1, 0xAB, 0xBB, 0xBF]], _DASH[0x90:0xA7] = True, True, True
+
+
+def plain_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes of UTF-8 text belong to characters that PLAIN words are made of, and which are to be raised by 32 to lower them."""
+    out = data < 0x80
+    out &= data != 0x3C
+    upper = (data >= 0x41) & (data <= 0x5A)
+    lead = np.flatnonzero(data >= 0xC2)
+    lead = lead[lead < len(data) - 1]
+    first, second = data[lead], data[lead + 1]
+    latin = (first == 0xC3) & _C3[second]
+    two = lead[latin | ((first == 0xC2) & _C2[second])]
+    out[two] = out[two + 1] = True
+    upper[lead[latin & (second < 0x9F) & (second != 0x97)] + 1] = True
+    lead = lead[(first == 0xE2) & (second == 0x80) & (lead < len(data) - 2)]
+    three = lead[_DASH[data[lead + 2]]]
+    out[three] = out[three + 1] = out[three + 2] = True
+    return out, upper
+
+
 class WordCache:
     """Encodes whole texts with the tokenizers library, each different word once. White space splits words for every
-    tokenizer whose pre-tokenizer never joins across it, which the caller vouches for."""
+    tokenizer whose pre-tokenizer never joins across it, which the caller vouches for.
+
+    If the tokenizer's file splits by SPLIT alone, composes and lowers letters and marks word ends, words of PLAIN
+    characters are looked up in lower case, and by their pieces, so that fewer strings go to the library. The file says
+    so, or every word is looked up as it is.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,46 +79,83 @@ class WordCache:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        #: Whether the file's own normalizer lowers letters, so that words may meet in the cache in lower case.
-        self.lowers = any(s["type"] == "Lowercase" for s in _steps(spec.get("normalizer")))
-        #: Bytes that strings of added tokens begin with: words that hold one are looked up as they are.
-        self.marks = sorted({t["content"].encode()[0] for t in spec.get("added_tokens", [])})
+        steps, split, suffix = _steps(spec.get("normalizer")), spec.get("pre_tokenizer") or {}, spec["model"].get("end_of_word_suffix")
+        split = [(n["type"], n.get("pattern", {}).get("Regex"), n.get("behavior"), n.get("invert"), n.get("use_regex"), n.get("add_prefix_space")) for n in split.get("pretokenizers", [])]
+        known = [("Split", SPLIT, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)]
+        marks = all(t["content"].startswith("<") for t in spec.get("added_tokens", []))
+        self.parts = [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["content"] == " " and split == known and marks and bool(suffix)
+        if self.parts:
+            vocabulary = self.library.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pieces: dict[str, int] = {}
+        self.ids, self.piece_ids = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self.first, self.count, self.piece_first, self.piece_count = (np.zeros(0, np.int64) for _ in range(4))
 
-    def _look_up(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of new words, and how many each has. All go to the library in one text, a line each; where a token begins tells whose it is."""
-        lines = [w.decode("utf-8") for w in new]
+    def _whole(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and how many each has. All go to the library in one text, a line each; where a token begins tells whose it is."""
         got = self.library.encode("\n".join(lines), add_special_tokens=False)
         ids = np.array(got.ids, np.uint32)
         begins = np.fromiter((a for a, _ in got.offsets), np.int64, len(ids))
         lengths = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
         owner = np.searchsorted(np.cumsum(lengths), begins, "right")
-        return ids, np.bincount(owner, minlength=len(new))
+        return ids, np.bincount(owner, minlength=len(lines))
+
+    def _by_pieces(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for PLAIN words in lower case, from their pieces: each piece of the text that the library gets ends with a token that ends a word."""
+        split = list(map(PIECES.findall, lines))
+        flat = list(chain.from_iterable(split))
+        at = list(map(self.pieces.get, flat))
+        if None in at:
+            missing = [i for i, k in enumerate(at) if k is None]
+            new = list({flat[i] for i in missing})
+            ids = np.array(self.library.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(new):
+                raise RuntimeError("the library splits words in another way than its file says")
+            self.piece_first = np.concatenate([self.piece_first, len(self.piece_ids) + np.append(0, last[:-1] + 1)])
+            self.piece_count = np.concatenate([self.piece_count, np.diff(last, prepend=-1)])
+            self.piece_ids = np.concatenate([self.piece_ids, ids])
+            self.pieces.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new)), strict=True))
+            for i in missing:
+                at[i] = self.pieces[flat[i]]
+        at = np.array(at, np.int64)
+        ids, ends = _gathered(self.piece_ids, self.piece_first[at], self.piece_count[at])
+        return ids, np.diff(ends[np.cumsum(list(map(len, split)))], prepend=0)
+
+    def _look_up(self, new: list[bytes]) -> None:
+        lines = [w.decode("utf-8") for w in new]
+        plain = np.fromiter((PLAIN.fullmatch(w) is not None for w in lines), bool, len(lines)) if self.parts else np.zeros(len(lines), bool)
+        for own, find in ((np.flatnonzero(plain), self._by_pieces), (np.flatnonzero(~plain), self._whole)):
+            if not len(own):
+                continue
+            found, counts = find([lines[k] for k in own.tolist()])
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(counts) - counts])
+            self.count = np.concatenate([self.count, counts])
+            self.ids = np.concatenate([self.ids, found])
+            self.known.update(zip([new[k] for k in own.tolist()], range(len(self.known), len(self.known) + len(own)), strict=True))
 
     def lowered(self, buffer: bytes) -> bytes:
-        """The buffer with A-Z lowered in words of ASCII alone, if the tokenizer lowers all letters anyway.
+        """The buffer with the letters of PLAIN words lowered, if the tokenizer lowers all letters anyway.
 
-        The normalizer may compose a letter with a mark after it before it lowers letters; within ASCII, and before
-        white space or an end, there is nothing to compose.
+        The normalizer may compose a letter with a mark after it before it lowers letters; within PLAIN words, and
+        before white space or an end, there is nothing to compose.
         """
-        if not self.lowers:
+        if not self.parts or not buffer:
             return buffer
         data = np.frombuffer(buffer, np.uint8)
-        odd = data >= 0x80
-        for mark in self.marks:
-            odd |= data == mark
-        if not odd.any():
-            return buffer.lower()
-        at = np.flatnonzero((data >= 0x41) & (data <= 0x5A))
+        plain, upper = plain_bytes(data)
+        if plain.all():
+            return (data + (upper.view(np.uint8) << 5)).tobytes()
         starts, ends, _ = words(data, np.zeros(1, np.int64))
-        before = np.concatenate([[0], np.cumsum(odd)])
-        plain = before[ends] == before[starts]
-        at = at[plain[np.searchsorted(starts, at, "right") - 1]] if len(starts) else at[:0]
+        odd = np.concatenate([[0], np.cumsum(~plain, dtype=np.int32)])
+        clean = odd[ends] == odd[starts]
+        at = np.flatnonzero(upper)
+        at = at[clean[np.searchsorted(starts, at, "right") - 1]] if len(starts) else at[:0]
         out = data.copy()
         out[at] += 0x20
         return out.tobytes()
@@ -97,21 +167,23 @@ class WordCache:
         if len(self.known) > CACHE_WORDS:
             self._clear()
         split = [buffer[a:b].split() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        places = [list(map(self.known.get, words_)) for words_ in split]
-        new = list({w for words_, at in zip(split, places, strict=True) if None in at for w, k in zip(words_, at, strict=True) if k is None})
-        if new:
-            found, counts = self._look_up(new)
-            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(counts) - counts])
-            self.count = np.concatenate([self.count, counts])
-            self.ids = np.concatenate([self.ids, found])
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        get = self.known.__getitem__
-        flat = np.array([k for words_, at in zip(split, places, strict=True) for k in (map(get, words_) if None in at else at)], np.int64)
-        count = self.count[flat]
-        to = np.cumsum(count)
-        ids = self.ids[np.repeat(self.first[flat] - (to - count), count) + np.arange(int(to[-1]) if len(to) else 0)]
-        cuts = np.concatenate([[0], to])[np.cumsum([len(words_) for words_ in split])]
-        return np.split(ids, cuts[:-1])
+        flat = list(chain.from_iterable(split))
+        known = self.known
+        at = list(map(known.get, flat))
+        if None in at:
+            missing = [i for i, k in enumerate(at) if k is None]
+            self._look_up(list({flat[i] for i in missing}))
+            for i in missing:
+                at[i] = known[flat[i]]
+        at = np.array(at, np.int64)
+        ids, upto = _gathered(self.ids, self.first[at], self.count[at])
+        return np.split(ids, upto[np.cumsum(list(map(len, split)))][:-1])
+
+
+def _gathered(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[first : first + count] of each, one after the other, and where each ends (from 0 on)."""
+    ends = np.concatenate([[0], np.cumsum(count)])
+    return values[np.repeat(first - ends[:-1], count) + np.arange(ends[-1])], ends
 
 
 #: One cache for each vocabulary and worker process: later tasks of the process find their words known.
