@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-_SUSPECT = re.compile(r"[ÂÃâ][\u0080-ÿŒœŠšŸŽžƒˆ˜–-›€™]{1,3}")
+CHUNK = re.compile(r"[ÂÃâ][\u0080-ÿŒœŠšŸŽžƒˆ˜–-›€™]{1,3}")
 
 
 @F.pandas_udf(StringType())
@@ -20,7 +20,7 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-def _chunk(m: re.Match) -> str:
+def repaired_chunk(m: re.Match) -> str:
     try:
         return m[0].encode("cp1252").decode("utf-8")
     except (UnicodeEncodeError, UnicodeDecodeError):
@@ -30,7 +30,7 @@ def _chunk(m: re.Match) -> str:
 @F.pandas_udf(StringType())
 def repaired(text: pd.Series) -> pd.Series:
     """UTF-8 that was read as Windows-1252, put right chunk by chunk; a chunk that doesn't decode stays."""
-    return text.map(lambda t: None if t is None else _SUSPECT.sub(_chunk, t))
+    return text.map(lambda t: None if t is None else CHUNK.sub(repaired_chunk, t))
 
 
 @F.pandas_udf(StringType())
@@ -41,7 +41,7 @@ def folded(text: pd.Series) -> pd.Series:
         if t is None:
             return None
         out = []
-        for c in unicodedata.normalize("NFKD", _SUSPECT.sub(_chunk, t)):
+        for c in unicodedata.normalize("NFKD", CHUNK.sub(repaired_chunk, t)):
             if c.isdecimal():
                 out.append(str(unicodedata.decimal(c)))
             elif not unicodedata.combining(c):

@@ -24,6 +24,8 @@ OPENER = r"(?i)^\s*(?:article|art\.|annex|annexe|appendix|appendice|chapter|chap
 ACCENTED, PLAIN = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st", "ĳ": "ij"}
 NEWLINE = "\n"
+#: The zeros of scripts with ten digits in a row.
+DIGIT_ZEROS = [0x0660, 0x06F0, 0x07C0, 0x0966, 0x09E6, 0x0A66, 0x0AE6, 0x0B66, 0x0BE6, 0x0C66, 0x0CE6, 0x0D66, 0x0E50, 0x0ED0, 0x0F20, 0x1040, 0x17E0, 0x1810, 0xFF10]
 
 
 def casefold(c: Column) -> Column:
@@ -103,3 +105,33 @@ def shingles(letters: Column, size: int) -> Column:
 def grams(words: Column, size: int) -> Column:
     """All runs of size words, joined by spaces."""
     return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def flat_reference(c: Column) -> Column:
+    """A source as one line: line ends are spaces, then clean()."""
+    return clean(F.regexp_replace(c, r"[\r\n]+", " "))
+
+
+def dehyphenated(c: Column) -> Column:
+    """Words cut by a hyphen and a line end made whole, where they go on in lower case."""
+    return F.regexp_replace(c, r"([\p{L}\p{N}_])[-‐‑]\s+([a-zà-öø-ÿ])", "$1$2")
+
+
+def ascii_digits(c: Column) -> Column:
+    """Digits of the scripts that have their own as 0-9, one for one."""
+    return F.translate(c, "".join(chr(z + k) for z in DIGIT_ZEROS for k in range(10)), "0123456789" * len(DIGIT_ZEROS))
+
+
+def with_spans(c: Column, pattern: str) -> Column:
+    """Array of (token, gap): each token of a pattern and the characters that stand between it and the one before.
+
+    Starts are running sums of both, which a window over the exploded rows gives without holding all of a text's.
+    """
+    found = tokens(c, pattern)
+    return F.transform(F.arrays_zip(found.alias("token"), F.slice(F.split(c, pattern), F.lit(1), F.size(found)).alias("gap")), lambda x: F.struct(x["token"].alias("token"), F.length(x["gap"]).alias("gap")))
+
+
+def token_start(c: Column, pattern: str, nth: Column) -> Column:
+    """Where the nth token (0 the first) of a pattern stands in the text, 0-based."""
+    total = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
+    return total(F.slice(F.split(c, pattern), F.lit(1), nth + 1)) + total(F.slice(tokens(c, pattern), F.lit(1), nth))

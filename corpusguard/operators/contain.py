@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .metrics import gram_hashes
 
 #: Letters of a shingle, of a run that counts, of a line judged as a whole; findings of one kind.
 SHINGLE, MIN_RUN, LINE_MIN, LINE_SHARE, MAX_PASSAGES = 10, 25, 30, 0.5, 60
+_FACTOR, _DOCUMENT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def cells(c: Column) -> Column:
@@ -24,32 +28,68 @@ def folded_cells(docs: DataFrame, text: str, key: str = "doc_id") -> DataFrame:
     return rows.withColumn("letters", T.fold(F.col("chunk")))
 
 
+def _windows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of a column of string arrays as code points, cell after cell; start of each cell; document of each cell; and
+    for each letter a hash of it and the size-1 after it, 0 where that leaves the cell."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().fill_null("")
+    lengths = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+    letters = np.frombuffer("".join(flat.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    docs = np.repeat(np.arange(len(column)), pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    n = len(letters)
+    hashes = np.zeros(n, np.uint64)
+    if n >= size:
+        rolled = np.zeros(n - size + 1, np.uint64)
+        for k in range(size):
+            rolled = (rolled + letters[k : n - size + 1 + k]) * _FACTOR
+            rolled ^= rolled >> np.uint64(29)
+        hashes[: n - size + 1] = rolled | np.uint64(1)
+    # a shingle of another document is another shingle
+    hashes *= np.repeat((np.arange(len(column), dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * _DOCUMENT | np.uint64(1), np.bincount(docs, lengths, len(column)).astype(np.int64))
+    left = np.repeat(starts[1:], lengths) - np.arange(n)
+    hashes[left < size] = 0
+    return letters, starts, docs, hashes
+
+
 def uncovered(size: int):
     """Of a text's cells and its source's cells (folded): the runs of letters in no shingle that the source has, as (cell, start, n).
 
     Text and source stand in one row, and the test needs a set of the source's shingles, which built-in functions don't
-    have: exploding both sides would shuffle ten bytes for each letter. So the rows go to Python in Arrow batches, and
-    nothing is shuffled.
+    have: exploding both sides would shuffle ten bytes for each letter. So the rows go to numpy in Arrow batches, all
+    shingles of a batch are hashed and looked up at once, and nothing is shuffled. Where hashes are equal, so are the
+    letters: they are compared.
     """
     kind = pa.list_(pa.struct([("cell", pa.int32()), ("start", pa.int32()), ("n", pa.int32())]))
 
     @F.arrow_udf("array<struct<cell:int,start:int,n:int>>")
     def gaps(cells_: pa.Array, source: pa.Array) -> pa.Array:
-        out = []
-        for mine, theirs in zip(cells_.to_pylist(), source.to_pylist(), strict=True):
-            known = {x[k : k + size] for x in theirs for k in range(len(x) - size + 1)}
-            row = []
-            for cell, x in enumerate(mine):
-                upto = 0
-                for k in range(len(x) - size + 1):
-                    if x[k : k + size] in known:
-                        if k > upto:
-                            row.append({"cell": cell, "start": upto, "n": k - upto})
-                        upto = k + size
-                if upto < len(x):
-                    row.append({"cell": cell, "start": upto, "n": len(x) - upto})
-            out.append(row)
-        return pa.array(out, kind)
+        letters, starts, docs, mine = _windows(cells_, size)
+        theirs, _, _, known = _windows(source, size)
+        at = np.flatnonzero(known)
+        values, first = np.unique(known[at], return_index=True)
+        place = np.minimum(np.searchsorted(values, mine), max(len(values) - 1, 0))
+        hit = np.flatnonzero((mine > 0) & (values[place] == mine)) if len(values) else np.zeros(0, np.int64)
+        met = at[first[place[hit]]] if len(hit) else hit
+        for k in range(size):
+            same = letters[hit + k] == theirs[met + k]
+            hit, met = hit[same], met[same]
+        change = np.zeros(len(letters) + 1, np.int32)
+        np.add.at(change, hit, 1)
+        np.add.at(change, hit + size, -1)
+        bare = np.cumsum(change[:-1]) == 0
+        cell_of = np.repeat(np.arange(len(docs)), np.diff(starts))
+        # a gap begins at a bare letter after a covered one, or at a cell's first
+        before = np.append(False, bare[:-1] & (cell_of[1:] == cell_of[:-1])) if len(bare) else bare
+        begins = np.flatnonzero(bare & ~before)
+        run = np.cumsum(bare & ~before) - 1
+        n = np.bincount(run[bare], minlength=len(begins)) if len(begins) else np.zeros(0, np.int64)
+        own = cell_of[begins]
+        first_cell = np.searchsorted(docs, np.arange(len(cells_)))
+        found = pa.StructArray.from_arrays([pa.array((own - first_cell[docs[own]]).astype(np.int32)), pa.array((begins - starts[own]).astype(np.int32)), pa.array(n.astype(np.int32))], ["cell", "start", "n"])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(docs[own], minlength=len(cells_)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), found).cast(kind)
 
     return gaps
 
@@ -69,30 +109,68 @@ def coverage(docs: DataFrame, text: str, source: str, size: int = SHINGLE, key:
 
 
 def unmatched(docs: DataFrame, text: str, source: str, size: int = SHINGLE, min_run: int = MIN_RUN, key: str = "doc_id") -> DataFrame:
-    """key, cell, start, n: runs of letters in no known shingle, of min_run at least; a cell of LINE_MIN letters that is mostly
-    uncovered is given once, from its first such letter, with the number of them. Starts count the cell's letters."""
+    """key, cell, start, n, stop: runs of letters in no known shingle, of min_run at least; a cell of LINE_MIN letters that is
+    mostly uncovered is given once, from its first such letter to its last, with the number of them. Starts and stops count
+    the cell's letters."""
     rows = gap_rows(docs, text, source, size, key).filter(F.size("gaps") > 0)
     each = rows.select(key, "gaps", F.posexplode(F.transform("letters", lambda x: F.length(x))).alias("cell", "n_letters")).filter(F.col("n_letters") >= min(min_run, LINE_MIN))
     each = each.withColumn("gaps", F.filter("gaps", lambda g: g["cell"] == F.col("cell"))).filter(F.size("gaps") > 0)
     missing = F.aggregate("gaps", F.lit(0), lambda a, g: a + g["n"])
     whole = (F.col("n_letters") >= LINE_MIN) & (missing > LINE_SHARE * F.col("n_letters"))
-    first = F.struct(F.col("gaps")[0]["start"].alias("start"), missing.alias("n"))
-    long = F.transform(F.filter("gaps", lambda g: g["n"] >= min_run), lambda g: F.struct(g["start"].alias("start"), g["n"].alias("n")))
-    return each.select(key, "cell", F.explode(F.when(whole, F.array(first)).otherwise(long)).alias("g")).select(key, "cell", "g.start", "g.n")
+    last = F.element_at("gaps", -1)
+    first = F.struct(F.col("gaps")[0]["start"].alias("start"), missing.alias("n"), (last["start"] + last["n"]).alias("stop"))
+    long = F.transform(F.filter("gaps", lambda g: g["n"] >= min_run), lambda g: F.struct(g["start"].alias("start"), g["n"].alias("n"), (g["start"] + g["n"]).alias("stop")))
+    return each.select(key, "cell", F.explode(F.when(whole, F.array(first)).otherwise(long)).alias("g")).select(key, "cell", "g.start", "g.n", "g.stop")
 
 
 def word_coverage(docs: DataFrame, text: str, source: str, size: int = 3, key: str = "doc_id") -> DataFrame:
-    """key, share of the text's words under a word n-gram of the source; 1 where either side is shorter than that."""
+    """key, share of the text's words under a word n-gram of the source; 1 where either side is shorter than that.
+
+    Both sides stand in one row, so their n-grams' hashes meet there and nothing is shuffled.
+    """
+    words = lambda c: T.tokens(T.casefold(F.coalesce(F.col(c), F.lit(""))))
+    rows = docs.select(key, words(text).alias("_t"), words(source).alias("_s"))
+    hit = covered_words(size)(gram_hashes(F.col("_t"), size), gram_hashes(F.col("_s"), size))
+    rows = rows.select(key, F.size("_t").alias("n"), F.size("_s").alias("m"), hit.alias("hit"))
+    return rows.select(key, F.when((F.col("n") < size) | (F.col("m") < size), 1.0).otherwise(F.col("hit").cast("double") / F.col("n")).alias("share"))
+
+
+def covered_words(size: int):
+    """Of the n-grams' hashes of a text and of its source: how many of the text's words lie in one that both have."""
+
+    @F.arrow_udf("int")
+    def count(mine: pa.Array, theirs: pa.Array) -> pa.Array:
+        out = []
+        for a, b in zip(mine, theirs, strict=True):
+            at = np.flatnonzero(np.isin(a.values.to_numpy(), b.values.to_numpy())) if a.is_valid and b.is_valid else np.zeros(0, np.int64)
+            out.append(int(np.minimum(size, np.diff(at, append=1 << 40)).sum()))
+        return pa.array(out, pa.int32())
+
+    return count
+
+
+def uncovered_words(docs: DataFrame, text: str, source: str, size: int = 3, key: str = "doc_id") -> DataFrame:
+    """key, start, n: the runs of words of the text under no word n-gram of the source; none where the text, or a source with
+    words, is shorter than an n-gram. Starts count words."""
     words = lambda c: T.tokens(T.casefold(F.coalesce(F.col(c), F.lit(""))))
-    # words become a column first: an expression inside a lambda would be computed anew for each n-gram
     rows = docs.select(key, words(text).alias("_t"), words(source).alias("_s"))
-    sized = rows.select(key, F.size("_t").alias("n"), F.size("_s").alias("m"))
-    mine = rows.select(key, F.posexplode(T.grams(F.col("_t"), size)).alias("at", "gram")).withColumn("h", F.xxhash64("gram"))
-    known = rows.select(key, F.explode(T.grams(F.col("_s"), size)).alias("gram")).select(key, F.xxhash64("gram").alias("h")).distinct()
-    w = Window.partitionBy(key).orderBy("at")
-    hits = mine.join(known, [key, "h"], "left_semi").withColumn("fresh", F.least(F.lit(size), F.coalesce(F.col("at") - F.lag("at").over(w), F.lit(size)))).groupBy(key).agg(F.sum("fresh").alias("hit"))
-    share = F.when((F.col("n") < size) | (F.col("m") < size), 1.0).otherwise(F.coalesce("hit", F.lit(0)).cast("double") / F.col("n"))
-    return sized.join(hits, key, "left").select(key, share.alias("share"))
+    n, m = F.size("_t"), F.size("_s")
+
+    @F.arrow_udf("array<struct<start:int,n:int>>")
+    def runs(mine: pa.Array, theirs: pa.Array, total: pa.Array) -> pa.Array:
+        out = []
+        for a, b, count in zip(mine, theirs, total.to_pylist(), strict=True):
+            bare = np.ones(count + 2, bool)
+            for at in np.flatnonzero(np.isin(a.values.to_numpy(), b.values.to_numpy())).tolist() if a.is_valid and b.is_valid else []:
+                bare[1 + at : 1 + at + size] = False
+            bare[[0, -1]] = False
+            edge = np.diff(bare.astype(np.int8))
+            out.append([{"start": s, "n": e - s} for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)])
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())])))
+
+    found = runs(gram_hashes(F.col("_t"), size), gram_hashes(F.col("_s"), size), n)
+    judged = rows.filter((n >= size) & ((m >= size) | (m == 0))).select(key, F.explode(found).alias("r"))
+    return judged.select(key, "r.start", "r.n")
 
 
 def invented_passages(docs: DataFrame, runs: DataFrame, text: str, key: str = "doc_id") -> DataFrame:
@@ -121,6 +199,37 @@ def absent_numbers(docs: DataFrame, text: str, source: str, key: str = "doc_id")
     return rows.filter(F.exists(parts, lambda p: ~F.contains(F.col("_runs"), p))).select(key, "value", "at")
 
 
+def cell_numbers(docs: DataFrame, text: str, key: str = "doc_id") -> DataFrame:
+    """key, cell, value, first, last: each number of the text, the cell it is in, and the places of its letters among the cell's."""
+    rows = docs.select(key, F.posexplode(cells(F.coalesce(F.col(text), F.lit("")))).alias("cell", "chunk")).filter(F.col("chunk").rlike(r"\d"))
+    each = rows.select(key, "cell", "chunk", F.posexplode(T.tokens(T.ascii_digits(F.col("chunk")), T.NUMBER)).alias("nth", "value"))
+    start = T.token_start(F.col("chunk"), T.NUMBER, F.col("nth"))
+    first = F.length(T.fold(F.substring(F.col("chunk"), F.lit(1), start)))
+    return each.select(key, "cell", "value", first.alias("first"), (first + F.length(T.fold(F.col("value")))).alias("last"))
+
+
+def absent_in(docs: DataFrame, text: str, source: str, taken: DataFrame, misread: Column | bool = False, key: str = "doc_id") -> DataFrame:
+    """key, cell, value: numbers of the text of which some part (cut at - and /) is nowhere in the source's digits, outside the
+    runs already taken (key, cell, start, stop). Where misread holds, a part of two digits or more may also be one digit
+    away from a number of the source, as a recogniser's errors are."""
+    once = docs.select(key, T.digit_runs(T.ascii_digits(F.coalesce(F.col(source), F.lit("")))).alias("_runs"), (misread if isinstance(misread, Column) else F.lit(misread)).alias("_misread"))
+    parts = F.filter(F.transform(F.split("value", "[-/]"), lambda x: F.regexp_replace(x, "[^0-9]", "")), lambda x: x != "")
+    digits = lambda a, b: F.size(F.filter(F.sequence(F.lit(1), F.length(a)), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
+    close = lambda p: F.col("_misread") & (F.length(p) >= 2) & F.exists(F.split("_runs", r"\|"), lambda r: (F.length(r) == F.length(p)) & (digits(r, p) <= 1))
+    rows = cell_numbers(docs, text, key).join(once, key).filter(F.exists(parts, lambda p: ~F.contains(F.col("_runs"), p) & ~close(p)))
+    held = taken.select(F.col(key).alias("_k"), F.col("cell").alias("_c"), F.col("start").alias("_a"), F.col("stop").alias("_b"))
+    inside = (F.col(key) == F.col("_k")) & (F.col("cell") == F.col("_c")) & (F.col("first") < F.col("_b")) & (F.col("last") > F.col("_a"))
+    return rows.join(held, inside, "left_anti").select(key, "cell", "value")
+
+
+def merged(rows: DataFrame, at: str, gap: int = 1, key: str = "doc_id") -> DataFrame:
+    """key, first, last, n of runs of rows (key, at) whose places are at most `gap` apart: neighbouring lines or cells are one finding."""
+    order = Window.partitionBy(key).orderBy(at)
+    fresh = F.when(F.col(at) - F.lag(at).over(order) <= gap, 0).otherwise(1)
+    groups = rows.select(key, at).withColumn("_g", fresh).withColumn("_g", F.sum("_g").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return groups.groupBy(key, "_g").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).drop("_g")
+
+
 def unfound_rows(docs: DataFrame, text: str, source: str, key: str = "doc_id") -> DataFrame:
     """key, line, n_cells, n_unfound: table rows of two cells at least, of which two and half aren't in the source's letters."""
     once = docs.select(key, T.fold(F.coalesce(F.col(source), F.lit(""))).alias("_s"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("_l"))
@@ -142,9 +251,13 @@ def spelling_variants(docs: DataFrame, text: str, source: str, least: int = 4, k
     known = docs.select(key, F.posexplode(words(source)).alias("at", "near")).filter(F.length("near") >= least).groupBy(key, "near").agg(F.min("at").alias("at"))
     once = docs.select(key, T.fold(F.coalesce(F.col(source), F.lit(""))).alias("_s"), F.array_distinct(words(text)).alias("_w"))
     mine = once.select(key, "_s", F.explode("_w").alias("word")).filter((F.length("word") >= least) & ~F.contains(F.col("_s"), F.col("word"))).select(key, "word")
-    left = mine.select(key, "word", F.explode(around(F.col("word"))).alias("d"))
-    right = known.select(key, "near", "at", F.explode(around(F.col("near"))).alias("d"))
-    return left.join(right, [key, "d"]).groupBy(key, "word").agg(F.min_by("near", "at").alias("near"))
+    # deletions travel as hashes; words of lengths that can't be near never meet, and those that do are compared
+    hashed = lambda w: F.transform(around(w), lambda d: F.xxhash64(d))
+    left = mine.select(key, "word", F.explode(hashed(F.col("word"))).alias("d"))
+    right = known.select(key, "near", "at", F.explode(hashed(F.col("near"))).alias("d"))
+    met = left.join(right, [key, "d"]).groupBy(key, "word", "near").agg(F.min("at").alias("at"))
+    met = met.filter(F.arrays_overlap(around(F.col("word")), around(F.col("near"))))
+    return met.groupBy(key, "word").agg(F.min_by("near", "at").alias("near"))
 
 
 def missing_text(docs: DataFrame, text: str, source: str, key: str = "doc_id") -> DataFrame:

@@ -20,13 +20,18 @@ def switches(word: Column) -> Column:
     return F.regexp_count(flat, F.lit("(?=Aa|aA)"))
 
 
+def scrambled_words(prose: Column) -> Column:
+    """The words of six letters or more that change between capital and small letters five times, and on half their letters."""
+    hit = lambda w: w.rlike("^[A-Za-z]{6,}$") & w.rlike("[a-z]") & w.rlike("[A-Z]") & (switches(w) >= 5) & (switches(w) >= 0.5 * F.length(w))
+    return F.filter(T.tokens(prose, r"[\p{L}\p{N}_]+"), hit)
+
+
 def scramble_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_scrambled, sample: words of mixed case that change it on half their letters; none under 50 words."""
     prose = F.array_join(F.filter(T.lines(F.coalesce(F.col(text), F.lit(""))), lambda x: ~x.rlike(TABLE_ROW)), "\n")
     rows = docs.select(key, prose.alias("_p"))
     words = F.size(F.filter(F.split("_p", r"(?U)\s+"), lambda w: w.rlike(r"\p{L}")))
-    hit = lambda w: w.rlike("^[A-Za-z]{6,}$") & w.rlike("[a-z]") & w.rlike("[A-Z]") & (switches(w) >= 5) & (switches(w) >= 0.5 * F.length(w))
-    rows = rows.select(key, words.alias("n_words"), F.filter(T.tokens(F.col("_p"), r"[\p{L}\p{N}_]+"), hit).alias("_h"))
+    rows = rows.select(key, words.alias("n_words"), scrambled_words(F.col("_p")).alias("_h"))
     enough = F.col("n_words") >= 50
     return rows.select(key, "n_words", F.when(enough, F.size("_h")).otherwise(0).alias("n_scrambled"), F.when(enough, F.array_join(F.slice("_h", 1, 6), ", ")).otherwise("").alias("sample"))
 

@@ -69,37 +69,198 @@ def reading_order(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select(key, "page", "line", F.row_number().over(page.orderBy("band", side, "top", "x0", "line")).alias("ord"))
 
 
-def headings(lines: DataFrame, body: float = 10.0, key: str = "doc_id") -> DataFrame:
-    """lines (key, page, line, text, x0, x1, top, size, bold) with heading: 90 characters at most, a fifth short of the right
+def headings(lines: DataFrame, body: Column | float = 10.0, key: str = "doc_id") -> DataFrame:
+    """lines (key, page, line, text, x0, x1, top, size, bold, perhaps tabular) with heading: no table row, 90 characters at most, a fifth short of the right
     edge (the 90 % line end), and large, bold or in capitals."""
     page = Window.partitionBy(key, "page")
     edges = lines.withColumns({"_r": F.array_sort(F.collect_list("x1").over(page)), "left": F.min("x0").over(page)})
     edges = edges.withColumn("right", F.element_at("_r", F.floor(0.9 * (F.size("_r") - 1)).cast("int") + 1)).drop("_r")
     short = F.col("x1") < F.col("right") - 0.2 * F.greatest(F.col("right") - F.col("left"), F.lit(1.0))
     capitals = (F.col("text") == F.upper("text")) & F.col("text").rlike(r"\p{Lu}") & (F.length("text") > 3)
+    if "tabular" in lines.columns:
+        short = short & ~F.col("tabular")
     return edges.withColumn("heading", (F.length("text") <= 90) & short & ((F.col("size") > body + 0.8) | F.col("bold") | capitals))
 
 
-def line_breaks(lines: DataFrame, body: float = 10.0, key: str = "doc_id") -> DataFrame:
-    """key, page, line, para: paragraphs of a page's lines in order. A line begins one after a wide step, a change of size,
-    at or after a heading, at a bullet, indented after a full line, or after a short line that ends a sentence."""
-    rows = headings(lines, body, key)
+def line_breaks(lines: DataFrame, body: Column | float = 10.0, key: str = "doc_id") -> DataFrame:
+    """key, page, line, para: paragraphs of a page's lines in order. A line begins one after a wide step or gap, a change of
+    size, at or after a heading or a table row, at a bullet, indented after a full line, after a short line, or after a
+    somewhat short one that ends a sentence."""
+    size = body if isinstance(body, Column) else F.lit(body)
+    rows = headings(lines if "tabular" in lines.columns else lines.withColumn("tabular", F.lit(False)), body, key)
     order = Window.partitionBy(key, "page").orderBy("line")
     before = lambda c: F.lag(c).over(order)
-    step = F.col("top") - before("top")
-    pitch = F.expr("percentile(case when step > 0 and step < 40 then step end, 0.5)").over(Window.partitionBy(key, "page"))
-    rows = rows.withColumn("step", step).withColumn("pitch", F.coalesce(pitch, F.lit(1.2 * body)))
+    rows = rows.withColumns({"step": F.col("top") - before("top"), "_body": size})
+    pitch = F.expr("percentile(case when step > 0 and step < 4 * _body then step end, 0.5)").over(Window.partitionBy(key, "page"))
+    rows = rows.withColumn("pitch", F.coalesce(pitch, 1.2 * F.col("_body")))
     span = F.greatest(F.col("right") - F.col("left"), F.lit(1.0))
-    full = before("x1") >= F.col("right") - 0.1 * span
     breaks = (
-        before("line").isNull() | (F.col("step") > 1.45 * F.col("pitch")) | (F.abs(F.col("size") - before("size")) > 0.8) | F.col("heading") | before("heading")
-        | F.col("text").rlike(T.BULLET) | ((F.col("x0") > F.col("left") + 0.02 * span) & full) | (before("x1") < F.col("right") - 0.28 * span)
+        before("line").isNull() | (F.col("step") > 1.45 * F.col("pitch")) | (F.col("top") - before("bottom") > 0.85 * F.col("_body")) | (F.abs(F.col("size") - before("size")) > F.greatest(F.lit(0.8), 0.1 * F.col("_body")))
+        | F.col("heading") | before("heading") | F.col("tabular") | before("tabular") | F.col("text").rlike(T.BULLET)
+        | ((F.col("x0") > before("x0") + F.greatest(0.018 * span, F.lit(3.0))) & (before("x1") > F.col("right") - 0.05 * span)) | (before("x1") < F.col("right") - 0.28 * span)
         | ((before("x1") < F.col("right") - 0.1 * span) & before("text").rlike(T.TERMINAL))
     )
     flagged = rows.withColumn("b", F.coalesce(breaks, F.lit(True)).cast("int"))
     return flagged.select(key, "page", "line", F.sum("b").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("para"))
 
 
+def paragraphs(lines: DataFrame, breaks: DataFrame, keep_hyphens: bool = False, key: str = "doc_id") -> DataFrame:
+    """key, page, para, text, spans: lines joined in order, and the box of each line as provenance (page, x0, top, x1, bottom, source)."""
+    rows = lines.join(breaks, [key, "page", "line"])
+    spans = F.struct("line", "text", F.struct("page", "x0", "top", "x1", "bottom", F.lit("extracted").alias("source")).alias("span"))
+    parts = rows.groupBy(key, "page", "para").agg(F.array_sort(F.collect_list(spans)).alias("p"))
+    joined = F.aggregate(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), F.col("p")[0]["text"], lambda a, x: T.join_lines(a, x["text"], keep_hyphens))
+    return parts.select(key, "page", "para", joined.alias("text"), F.transform("p", lambda x: x["span"]).alias("spans"))
+
+
+def body_sizes(lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, body: the median size of a document's lines."""
+    return lines.groupBy(key).agg(F.expr("percentile(size, 0.5)").alias("body"))
+
+
+def text_lines(words: DataFrame, gutter: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Lines of visual rows: key, page, row, col, text, x0, x1, top, bottom, cells, tabular, from words (key, page, row, word,
+    text, x0, x1, top, bottom) and the pages' gutters (key, page, gutter).
+
+    A row falls into a left and a right line at the gutter, unless a word lies across it (col -1: the line spans both) or
+    one side is empty. Within a line a gap of four median gaps, 18 at least, begins a new cell; three cells of three
+    words make it a candidate for a table row.
+    """
+    page, in_row = [key, "page"], Window.partitionBy(key, "page", "row")
+    order = in_row.orderBy("x0", "word")
+    gaps = words.withColumn("_gap", F.lead("x0").over(order) - F.col("x1")).groupBy(*page).agg(F.expr("percentile(case when _gap > 0 then _gap end, 0.5)").alias("_unit"))
+    rows = words.join(gutter.select(*page, "gutter"), page, "left").join(gaps, page)
+    g, middle = F.col("gutter"), (F.col("x0") + F.col("x1")) / 2
+    across = F.max(((F.col("x0") < g - 2) & (F.col("x1") > g + 2)).cast("int")).over(in_row) == 1
+    left, right = (F.max(c.cast("int")).over(in_row) == 1 for c in (middle < g, middle >= g))
+    col = F.when(g.isNull(), 0).when(across, -1).when(left & right, F.when(middle < g, 0).otherwise(1)).when(left, 0).otherwise(1)
+    rows = rows.withColumn("col", col)
+    line = Window.partitionBy(key, "page", "row", "col").orderBy("x0", "word")
+    cut = F.greatest(4.0 * F.coalesce("_unit", F.lit(3.0)), F.lit(18.0))
+    fresh = F.when(F.col("x0") - F.lag("x1").over(line) > cut, 1).otherwise(0)
+    rows = rows.withColumn("_cell", F.sum(fresh).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    cells = rows.groupBy(key, "page", "row", "col", "_cell").agg(F.min("x0").alias("x"), F.array_sort(F.collect_list(F.struct("x0", "word", "text"))).alias("w"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"))
+    cells = cells.withColumn("t", T.clean(F.array_join(F.transform("w", lambda x: x["text"]), " ")))
+    made = cells.groupBy(key, "page", "row", "col").agg(F.array_sort(F.collect_list(F.struct("_cell", "x", "t"))).alias("c"), F.sum(F.size("w")).alias("n"), F.min("x").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"))
+    held = F.transform("c", lambda x: F.struct(x["x"].alias("x"), x["t"].alias("t")))
+    text = F.trim(F.array_join(F.transform("c", lambda x: x["t"]), " "))
+    return made.select(key, "page", "row", "col", text.alias("text"), "x0", "x1", "top", "bottom", held.alias("cells"), ((F.col("n") >= 3) & (F.size("c") >= 3)).alias("tabular")).filter("text <> ''")
+
+
+def line_fonts(lines: DataFrame, chars: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, page, line, size, bold of lines (key, page, line, x0, x1, top, bottom): the median size of the characters (key,
+    page, char, x0, x1, top, bottom, size, bold) whose middle lies in it, and whether most are bold.
+
+    Lines and characters meet by bands of height, then exactly; a character belongs to the highest line that holds it.
+    """
+    high = 32.0
+    bands = F.sequence(F.floor((F.col("top") - 0.5) / high), F.floor((F.col("bottom") + 0.5) / high))
+    held = lines.select(key, "page", "line", F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("top").alias("_top"), F.col("bottom").alias("_bottom"), F.explode(bands).alias("band"))
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
+    asked = chars.select(key, "page", "char", "size", "bold", cx.alias("cx"), cy.alias("cy"), F.floor(cy / high).alias("band"))
+    met = asked.join(held, [key, "page", "band"]).filter("cy between _top - 0.5 and _bottom + 0.5 and cx between _x0 - 1 and _x1 + 1")
+    first = met.groupBy(key, "page", "char").agg(F.min_by(F.struct("line", "size", "bold"), F.struct("_top", "_x0", "line")).alias("b"))
+    return first.groupBy(key, "page", F.col("b.line").alias("line")).agg(F.expr("percentile(b.size, 0.5)").alias("size"), (F.avg(F.col("b.bold").cast("int")) > 0.5).alias("bold"))
+
+
+def page_statistics(words: DataFrame, images: DataFrame, tables: DataFrame | None = None, keep_sideways: bool = False, key: str = "doc_id") -> DataFrame:
+    """key, page, n_words, raw_chars, raw_alnum, n_sideways, looks_scanned of pages from words (key, page, text, upright, x0, x1,
+    top, bottom) and images (key, page, x0, x1, top, bottom, page_width, page_height): words in tables don't count, sideways
+    ones only if kept; a page of under three words and with images on over 40 % of it looks scanned."""
+    held = words_in_tables(words, tables, key=key) if tables is not None else words
+    counted = held if keep_sideways else held.filter("upright")
+    by = counted.groupBy(key, "page").agg(F.count("*").alias("n_words"), F.sum(F.length("text")).alias("raw_chars"), F.sum(T.alnum_count(F.col("text"))).alias("raw_alnum"))
+    turned = held.groupBy(key, "page").agg(F.count_if(~F.col("upright")).alias("n_sideways"))
+    area = F.abs((F.col("x1") - F.col("x0")) * (F.col("bottom") - F.col("top"))) / (F.col("page_width") * F.col("page_height"))
+    seen = images.groupBy(key, "page").agg(F.sum(area).alias("_share"))
+    rows = seen.join(by, [key, "page"], "full").join(turned, [key, "page"], "left")
+    zero = F.lit(0)
+    return rows.select(key, "page", *[F.coalesce(c, zero).cast("long").alias(c) for c in ("n_words", "raw_chars", "raw_alnum", "n_sideways")], ((F.coalesce("n_words", zero) < 3) & (F.coalesce("_share", F.lit(0.0)) > 0.4)).alias("looks_scanned"))
+
+
+def table_segments(lines: DataFrame, least: int = 2, key: str = "doc_id") -> DataFrame:
+    """lines (key, page, line, tabular) with seg: the runs of table rows one after the other, `least` of them or more, numbered from 1."""
+    order = Window.partitionBy(key, "page").orderBy("line")
+    fresh = F.when(F.col("tabular") & ~F.coalesce(F.lag("tabular").over(order), F.lit(False)), 1).otherwise(0)
+    rows = lines.withColumn("seg", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("tabular")
+    return rows.withColumn("_n", F.count("*").over(Window.partitionBy(key, "page", "seg"))).filter(F.col("_n") >= least).drop("_n")
+
+
+def table_columns(cells: DataFrame, tolerance: Column | float = 6.0, key: str = "doc_id") -> DataFrame:
+    """cells (key, seg, row, x, text) with col and n_columns: the x values of a segment, in order, fall into clusters where
+    neighbours are within the tolerance, and a cell takes the nearest cluster's centre (its mean), the first of equals."""
+    by_x = Window.partitionBy(key, "seg").orderBy("x", "row")
+    tol = tolerance if isinstance(tolerance, Column) else F.lit(tolerance)
+    rows = cells.withColumn("_g", F.sum(F.when(F.col("x") - F.lag("x").over(by_x) <= tol, 0).otherwise(1)).over(by_x.rowsBetween(Window.unboundedPreceding, 0)))
+    centres = rows.groupBy(key, "seg", "_g").agg(F.avg("x").alias("c")).groupBy(key, "seg").agg(F.array_sort(F.collect_list(F.struct(F.col("_g").alias("g"), "c"))).alias("_c"))
+    away = F.transform("_c", lambda c, i: F.struct(F.abs(c["c"] - F.col("x")).alias("d"), i.alias("i")))
+    return rows.join(centres, [key, "seg"]).select(key, "seg", "row", "x", "text", F.array_min(away)["i"].alias("col"), F.size("_c").alias("n_columns"))
+
+
+def reconstructed_tables(cells: DataFrame, body: float = 10.0, key: str = "doc_id") -> DataFrame:
+    """key, seg, rows (arrays of cells): segments of cells (key, seg, row, x, text) that line up as tables. One with fewer than
+    two columns, with more than its longest row has cells and one, or with a row of fewer than two filled cells is prose."""
+    placed = table_columns(cells, max(6.0, 0.6 * body), key)
+    by_row = placed.groupBy(key, "seg", "row").agg(F.first("n_columns").alias("n"), F.count("*").alias("cells"), F.array_sort(F.collect_list(F.struct("col", "x", "text"))).alias("c"))
+    filled = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.trim(F.array_join(F.transform(F.filter("c", lambda x: x["col"] == k), lambda x: x["text"]), " ")))
+    by_row = by_row.withColumn("r", filled).withColumn("full", F.size(F.filter("r", lambda x: x != "")))
+    tables = by_row.groupBy(key, "seg").agg(F.first("n").alias("n"), F.max("cells").alias("widest"), F.min("full").alias("least"), F.array_sort(F.collect_list(F.struct("row", "r"))).alias("t"))
+    return tables.filter("n >= 2 and n <= widest + 1 and least >= 2").select(key, "seg", F.transform("t", lambda x: x["r"]).alias("rows"))
+
+
+def filled_tables(tables: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The tables (key, page, table, rows) of two rows and two columns at least that are 30 % filled, with four filled cells or more."""
+    cells = F.flatten("rows")
+    filled = F.size(F.filter(cells, lambda c: c.isNotNull() & (F.trim(c) != "")))
+    return tables.filter((F.size("rows") >= 2) & (F.size(F.col("rows")[0]) >= 2) & (filled >= 4) & (filled >= 0.3 * F.size(cells)))
+
+
+def ordered_blocks(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """blocks (key, page, block, kind, top, two_columns) with ord: page after page, marks first; a page of one column from top
+    to bottom, one of two in the order of its groups with tables last."""
+    place = F.when(F.col("kind") == "mark", 0).when(F.col("two_columns") & (F.col("kind") == "table"), 2).otherwise(1)
+    inner = F.when(F.col("two_columns"), F.lit(0.0)).otherwise(F.col("top"))
+    return blocks.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy("page", place, inner, "block")))
+
+
+def _edges(blocks: DataFrame, edge: int, longest: int, key: str) -> DataFrame:
+    page = Window.partitionBy(key, "page")
+    rows = blocks.withColumns({"_up": F.row_number().over(page.orderBy("block")), "_down": F.row_number().over(page.orderBy(F.desc("block")))})
+    at_edge = ((F.col("_up") <= edge) | (F.col("_down") <= edge)) & (F.col("kind") == "para") & (F.length("text") <= longest)
+    return rows.withColumns({"_edge": at_edge, "sig": T.signature(F.col("text"))}).drop("_up", "_down")
+
+
+def running_blocks(blocks: DataFrame, share: float = 0.45, longest: int = 100, edge: int = 2, key: str = "doc_id") -> DataFrame:
+    """key, sig, n_pages: signatures of short paragraphs among the first or last two blocks (key, page, block, kind, text) of a
+    share of the pages, two at least; a document of one page has none."""
+    pages = blocks.groupBy(key).agg(F.countDistinct("page").alias("all")).filter(F.col("all") >= 2)
+    once = _edges(blocks, edge, longest, key).filter("_edge and sig <> ''").select(key, "sig", "page").distinct()
+    counted = once.groupBy(key, "sig").agg(F.count("*").alias("n_pages")).join(pages, key)
+    return counted.filter(F.col("n_pages") >= F.greatest(F.lit(2), F.bround(share * F.col("all")))).select(key, "sig", "n_pages")
+
+
+def strip_blocks(blocks: DataFrame, running: DataFrame, longest: int = 100, edge: int = 2, key: str = "doc_id") -> DataFrame:
+    """blocks with dropped: whether one at a page's edge is a running head, or a page number."""
+    rows = _edges(blocks, edge, longest, key).join(running.select(key, "sig", F.lit(True).alias("_running")), [key, "sig"], "left")
+    number = (F.length("text") <= 24) & F.col("text").rlike(T.PAGE_NUMBER)
+    return rows.withColumn("dropped", F.col("_edge") & (F.coalesce("_running", F.lit(False)) | number)).drop("_edge", "_running", "sig")
+
+
+def straightened(words: DataFrame, angles: DataFrame, pages: DataFrame, key: str = "doc_id") -> DataFrame:
+    """words (key, page, x0, x1, top, bottom) of pages that stand at an angle (key, page, angle: 90, 180 or 270) turned upright, by
+    the pages' sizes (key, page, width, height)."""
+    rows = words.join(angles, [key, "page"], "left").join(pages.select(key, "page", F.col("width").alias("_w"), F.col("height").alias("_h")), [key, "page"], "left")
+    x0, x1, top, bottom, w, h = (F.col(c) for c in ("x0", "x1", "top", "bottom", "_w", "_h"))
+    turned = {90: (top, bottom, w - x1, w - x0), 180: (w - x1, w - x0, h - bottom, h - top), 270: (h - bottom, h - top, x0, x1)}
+    out = {}
+    for k, name in enumerate(("x0", "x1", "top", "bottom")):
+        value = F.col(name)
+        for angle, places in turned.items():
+            value = F.when(F.col("angle") == angle, places[k]).otherwise(value)
+        out[name] = value
+    return rows.withColumns(out).drop("angle", "_w", "_h")
+
+
 def running_heads(lines: DataFrame, body: float = 10.0, band: float = 0.1, share: float = 0.45, key: str = "doc_id") -> DataFrame:
     """key, sig, n_pages: line signatures in the top or bottom band, no larger than body text, on a share of the pages (2 at
     least) at a steady height (within 12)."""
@@ -152,16 +313,6 @@ def words_in_tables(words: DataFrame, tables: DataFrame, margin: float = 1.0, ke
     return words.join(box, inside, "left_anti")
 
 
-def table_columns(cells: DataFrame, tolerance: float = 6.0, key: str = "doc_id") -> DataFrame:
-    """cells (key, seg, row, x, text) with col: the x values of a segment fall into clusters where neighbours are within the
-    tolerance; a cell takes the nearest cluster centre."""
-    by_x = Window.partitionBy(key, "seg").orderBy("x", "row")
-    fresh = F.when(F.col("x") - F.lag("x").over(by_x) <= tolerance, 0).otherwise(1)
-    rows = cells.withColumn("f", fresh)
-    clustered = rows.withColumn("col", F.sum("f").over(by_x.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    return clustered.select(key, "seg", "row", "x", "text", "col")
-
-
 def dominant_angle(chars: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, page, angle: the angle of more than half of a page's characters (key, page, a, b of their matrix), if not 0."""
     angle = F.pmod(F.bround(F.degrees(F.atan2("b", "a")) / 90) * 90, F.lit(360)).cast("int")

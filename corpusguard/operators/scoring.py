@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,10 +56,15 @@ def scored(values: DataFrame, base: DataFrame, key: str = "doc_id") -> DataFrame
     return out.select(key, F.round(F.col("s") / F.col("w"), 4).alias("risk_score"), "n_metrics_used", F.array_join(F.transform(F.slice("r", 1, 4), lambda x: x["metric"]), "; ").alias("risk_reasons"))
 
 
-def audit(metrics: DataFrame, scrambled: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
-    """key, too_short, risk_score, verdict: the worst REVIEW_PERCENTILE of scores go to review, scrambled texts (key, n_scrambled) too."""
+def audit(metrics: DataFrame, scrambled: DataFrame | None = None, errors: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """key, too_short, risk_score, verdict: the worst REVIEW_PERCENTILE of scores go to review, scrambled texts (key, n_scrambled) too.
+
+    errors (key, error): documents that could not be read; each has a row with the verdict error, and counts in no baseline.
+    """
     # the metrics are read three times (baseline, scores, result): they are kept, one narrow row a document, so texts are read once
-    metrics = metrics.persist(StorageLevel.MEMORY_AND_DISK)
+    metrics = kept(metrics)
+    if errors is not None:
+        metrics = metrics.join(errors.select(key), key, "left_anti")
     values = unpivoted(metrics.filter(~F.col("too_short")), key)
     scores = scored(values, baseline(values), key)
     bar = scores.agg(F.expr(f"percentile(risk_score, {REVIEW_PERCENTILE / 100})").alias("bar"))
@@ -67,7 +74,24 @@ def audit(metrics: DataFrame, scrambled: DataFrame | None = None, key: str = "do
     else:
         rows = rows.withColumn("n_scrambled", F.lit(0))
     verdict = F.when(F.col("too_short"), "too_short").when(F.coalesce("n_scrambled", F.lit(0)) >= 2, "scrambled").when(F.col("risk_score") >= F.coalesce("bar", F.lit(float("inf"))), "review").otherwise("ok")
-    return rows.select(key, "too_short", "risk_score", "n_metrics_used", "risk_reasons", verdict.alias("verdict"))
+    out = rows.select(key, "too_short", "risk_score", "n_metrics_used", "risk_reasons", verdict.alias("verdict"))
+    if errors is None:
+        return out
+    return out.unionByName(errors.select(key, F.lit("error").alias("verdict")), allowMissingColumns=True)
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """rows, computed once: written to the folder in spark.checkpoint.dir where the session names one, and deleted when the
+    driver ends; without one (a single machine) persisted, until the caller clears the session's cache."""
+    spark = rows.sparkSession
+    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        return rows.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{place.rstrip('/')}/corpusguard-rows-{uuid.uuid4().hex[:12]}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def worst(severity: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .metrics import gram_hashes
 
 #: Characters of an interval's bin: intervals and points meet by bin, then exactly.
 BIN = 1024
@@ -37,15 +40,60 @@ def region_boxes(ranges: DataFrame, spans: DataFrame, key: str = "doc_id") -> Da
     return met.groupBy(key, "range_id", "page").agg(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"))
 
 
-def anchors(docs: DataFrame, text: str, source: str, size: int = 5, key: str = "doc_id") -> DataFrame:
+def anchors(docs: DataFrame, text: str, source: str, sizes: tuple[int, ...] = (5, 3), enough: float = 0.3, key: str = "doc_id") -> DataFrame:
     """key, at, source_at: words of the text anchored to the source by word n-grams that the source has once; the n-gram
-    that starts earliest in the text decides."""
+    that starts earliest in the text decides.
+
+    Long n-grams are tried first; while fewer than `enough` of the words are anchored, shorter ones are, and the try
+    that anchors most words stands. Both sides are in one row: their n-grams meet there as hashes.
+    """
     words = lambda c: T.tokens(T.casefold(F.coalesce(F.col(c), F.lit(""))))
     rows = docs.select(key, words(text).alias("_t"), words(source).alias("_s"))
-    known = rows.select(key, F.posexplode(T.grams(F.col("_s"), size)).alias("j", "gram")).groupBy(key, F.xxhash64("gram").alias("h")).agg(F.count("*").alias("c"), F.min("j").alias("j")).filter("c = 1")
-    mine = rows.select(key, F.posexplode(T.grams(F.col("_t"), size)).alias("i", "gram")).select(key, "i", F.xxhash64("gram").alias("h"))
-    met = mine.join(known, [key, "h"]).select(key, "i", "j", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("d"))
-    return met.groupBy(key, (F.col("i") + F.col("d")).alias("at")).agg(F.min_by(F.col("j") + F.col("d"), "i").alias("source_at"))
+
+    @F.arrow_udf("array<struct<at:int,source_at:int>>")
+    def anchored(n_words: pa.Array, *hashes: pa.Array) -> pa.Array:
+        out = []
+        for row, n in enumerate(n_words.to_pylist()):
+            best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for k, size in enumerate(sizes):
+                mine, theirs = (hashes[2 * k + side][row].values.to_numpy() for side in (0, 1))
+                values, first, count = np.unique(theirs, return_index=True, return_counts=True)
+                values, first = values[count == 1], first[count == 1]
+                if not len(values):
+                    continue
+                place = np.minimum(np.searchsorted(values, mine), len(values) - 1)
+                hit = np.flatnonzero(values[place] == mine)
+                to = np.full(len(mine) + size, -1, np.int64)
+                for d in range(size):  # the earliest n-gram over a word is the one that reaches it last
+                    to[hit + d] = first[place[hit]] + d
+                found = np.flatnonzero(to >= 0)
+                if len(found) > len(best[0]):
+                    best = found, to[found]
+                if len(best[0]) >= enough * n:
+                    break
+            out.append([{"at": a, "source_at": b} for a, b in zip(best[0].tolist(), best[1].tolist(), strict=True)])
+        return pa.array(out, pa.list_(pa.struct([("at", pa.int32()), ("source_at", pa.int32())])))
+
+    grams = [gram_hashes(F.col(c), size) for size in sizes for c in ("_t", "_s")]
+    return rows.select(key, F.explode(anchored(F.size("_t"), *grams)).alias("a")).select(key, "a.at", "a.source_at")
+
+
+def region_index(spans: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, char_start, char_end, page and the box around all spans that share them; spans without characters are left out."""
+    held = spans.filter("char_end > char_start")
+    return held.groupBy(key, "char_start", "char_end", "page").agg(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"))
+
+
+def line_offsets(lines: DataFrame, blocks: DataFrame, prefix: int = 24, key: str = "doc_id") -> DataFrame:
+    """key, block, line, char_start, char_end of the lines (key, block, line, text) that blocks (key, block, text, char_start,
+    char_end) were joined from: each begins where its first `prefix` characters stand in the block, and ends where the
+    next begins; a line not found there has the whole block's range."""
+    held = blocks.select(key, "block", F.col("text").alias("_block"), F.col("char_start").alias("_start"), F.col("char_end").alias("_end"))
+    rows = lines.join(held, [key, "block"])
+    at = F.expr(f"instr(_block, substring(text, 1, {prefix}))")
+    rows = rows.withColumn("_at", F.when((F.length("text") > 0) & (at > 0), F.col("_start") + at - 1))
+    following = F.min("_at").over(Window.partitionBy(key, "block").orderBy("line").rowsBetween(1, Window.unboundedFollowing))
+    return rows.select(key, "block", "line", F.coalesce("_at", "_start").alias("char_start"), F.when(F.col("_at").isNull(), F.col("_end")).otherwise(F.coalesce(following, F.col("_end"))).alias("char_end"))
 
 
 def line_pages(votes: DataFrame, lines: DataFrame, default_page: int = 1, key: str = "doc_id") -> DataFrame:

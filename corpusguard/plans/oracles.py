@@ -15,7 +15,7 @@ _MIXED = " + ".join(rf"regexp_matches(w, '\p{{{s}}}')::INT" for s in SCRIPTS)
 _TRANS = f"'{T.ACCENTED}', '{T.PLAIN}'"
 
 
-_METRICS = rf"""base AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars, list_filter({lines_sql("coalesce(text, '')")}, lambda x: NOT regexp_matches(x, '{T.TABULAR}')) AS pl FROM documents),
+_METRICS = rf"""base AS (SELECT doc_id, text, length(text) AS n_chars, list_filter({lines_sql("text")}, lambda x: NOT regexp_matches(x, '{T.TABULAR}')) AS pl FROM (SELECT doc_id, nfc_normalize(coalesce(text, '')) AS text FROM documents)),
 toks AS (SELECT *, array_to_string(pl, chr(10)) AS prose, regexp_extract_all(text, '{T.LETTERS}') AS letters,
   regexp_extract_all(lower(array_to_string(pl, chr(10))), '{T.WORDS}') AS words, regexp_extract_all(array_to_string(pl, chr(10)), '{T.LETTERS}') AS plain,
   list_filter(list_transform(pl, lambda x: trim(x, ' ')), lambda x: x <> '') AS ll, n_chars < 200 AS too_short FROM base),
@@ -125,9 +125,9 @@ _TERMINAL = T.TERMINAL.replace("'", "''")
 _LOWER = T.LOWER_START.replace("'", "''")
 _MARKS = ", ".join(f"('{k}', '{w}')" for k, w in marker_words() if k in ("eng", "fra", "spa", "deu"))
 _VOCAB = rf"""wd AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '{T.LETTERS}'), lambda w: length(w) >= 2)) AS word FROM documents)"""
-_SUSPICIOUS = rf"""{_VOCAB}, known AS (SELECT DISTINCT word FROM wd WHERE doc_id % 2 = 0),
+_SUSPICIOUS = rf"""{_VOCAB}, known AS (SELECT word FROM wd GROUP BY word HAVING count(DISTINCT doc_id) >= 2),
 seq AS (SELECT doc_id, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS bef FROM (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM
-  (SELECT doc_id, list_filter(regexp_extract_all(text, '{T.LETTERS}'), lambda w: length(w) >= 2) AS l FROM documents WHERE doc_id % 2 = 1))),
+  (SELECT doc_id, list_filter(regexp_extract_all(text, '{T.LETTERS}'), lambda w: length(w) >= 2) AS l FROM documents))),
 susp AS (SELECT DISTINCT doc_id, word FROM seq WHERE length(word) >= 5 AND word = lower(word) AND regexp_matches(word, '\p{{Ll}}') AND word NOT IN (SELECT word FROM known)
   AND NOT (regexp_matches(coalesce(bef, ''), '^\p{{Lu}}') AND replace(lower(coalesce(bef, '')), 'ß', 'ss') NOT IN (SELECT word FROM known)))"""
 _SUMMARY = f"""{_FOUND}, {DECISIONS}, checks AS ({_all('found', '(SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)')}), soft AS (SELECT * FROM found WHERE severity <> 'low'),
@@ -136,6 +136,14 @@ summ AS (SELECT *, CASE decision WHEN 'rejected' THEN 0 WHEN 'needs_work' THEN 1
  (SELECT d.doc_id, coalesce(c.verdict, t.verdict, '') AS tool_verdict, coalesce(c.kinds, t.kinds, '') AS problems, coalesce(x.decision, '') AS decision, coalesce(x.reviewer, '') AS reviewer
   FROM documents d LEFT JOIN checks c USING (doc_id) LEFT JOIN triage t USING (doc_id) LEFT JOIN decisions x USING (doc_id)))"""
 
+
+def _anchored(k: int) -> str:
+    grams = lambda x: f"list_transform(range(1, len({x}) - {k - 2}), lambda i: array_to_string({x}[i:i + {k - 1}], ' '))"
+    return f"""u{k} AS (SELECT doc_id, g, min(j) AS j FROM (SELECT doc_id, unnest({grams('s')}) AS g, unnest(range(1, len(s) - {k - 2})) - 1 AS j FROM w) GROUP BY doc_id, g HAVING count(*) = 1),
+        m{k} AS (SELECT doc_id, i, j FROM (SELECT doc_id, unnest({grams('t')}) AS g, unnest(range(1, len(t) - {k - 2})) - 1 AS i FROM w) JOIN u{k} USING (doc_id, g)),
+        a{k} AS (SELECT doc_id, i + d AS "at", arg_min(j + d, i) AS source_at FROM (SELECT *, unnest(range(0, {k})) AS d FROM m{k}) GROUP BY doc_id, i + d)"""
+
+
 ORACLES: dict[str, str] = {
     "audit_metrics": f"WITH {_METRICS} {_rounded(_NAMES, 'metrics', 'doc_id, n_chars, n_lines, n_tokens, n_prose_tokens, language, too_short')}",
     "audit_baseline": f"WITH {_METRICS}, {_VALUES}, {_BASELINE} SELECT metric, round(median, 9) AS median, round(mad, 9) AS mad, n FROM baseline WHERE mad IS NOT NULL",
@@ -157,7 +165,7 @@ ORACLES: dict[str, str] = {
         rws AS (SELECT doc_id, list_filter({lines_sql('text')}, lambda x: regexp_matches(x, '{T.TABULAR}')) AS r FROM made), {_DEGENERATE} SELECT doc_id, value, round(share, 9) AS share FROM deg""",
     "scrambled": f"""WITH made AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' aBcDeFgH tHeReFoRe Ordinary UPPERCASE' ELSE text END AS text FROM documents), {_scramble('made')}
         SELECT doc_id, n_words, len(h) AS n_scrambled, array_to_string(h[1:6], ', ') AS sample FROM scr""",
-    "control_chars": f"""WITH made AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN substr(text, 1, 40) || chr(1) || chr(65533) || chr(2) || substr(text, 41, 300) ELSE text END AS text FROM documents),
+    "control_chars": f"""WITH made AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN substr(text, 1, 40) || chr(1) || chr(65533) || chr(2) || substr(text, 41) ELSE text END AS text FROM documents),
         c AS (SELECT doc_id, text, len(regexp_extract_all(text, '{T.JUNK}')) AS n FROM made)
         SELECT doc_id, n AS n_junk, round(n::DOUBLE / length(text), 9) AS junk_char_rate, instr(text, regexp_extract(text, '{T.JUNK}')) - 1 AS first_at FROM c WHERE n::DOUBLE / length(text) > 0.005""",
     "repeated_line": f"""WITH l AS (SELECT doc_id, text, trim(unnest(p), ' ') AS line, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, text, list_filter({lines_sql('text')}, lambda x: NOT regexp_matches(x, '{T.TABULAR}')) AS p FROM documents)),
@@ -209,10 +217,10 @@ ORACLES: dict[str, str] = {
         p AS (SELECT *, quantile_cont(CASE WHEN flat THEN size END, 0.5) OVER w AS mid, sum(flat::INT) OVER w AS nf FROM l WINDOW w AS (PARTITION BY doc_id, page)),
         q AS (SELECT *, max(CASE WHEN flat AND size >= 0.9 * mid THEN bottom END) OVER (PARTITION BY doc_id, page) AS ln FROM p),
         r AS (SELECT doc_id, page, line, CASE WHEN NOT flat THEN 'margin' WHEN flat AND nf >= 4 AND size < 0.9 * mid AND top >= ln AND top > page_height / 2 THEN 'footnote' END AS reason FROM q) SELECT * FROM r WHERE reason IS NOT NULL""",
-    "anchors": f"""WITH {PAIRS}, w AS (SELECT doc_id, {words_sql('text')} AS t, {words_sql('source')} AS s FROM pairs),
-        u AS (SELECT doc_id, g, min(j) AS j FROM (SELECT doc_id, unnest(list_transform(range(1, len(s) - 3), lambda i: array_to_string(s[i:i + 4], ' '))) AS g, unnest(range(1, len(s) - 3)) - 1 AS j FROM w) GROUP BY doc_id, g HAVING count(*) = 1),
-        m AS (SELECT doc_id, i, j FROM (SELECT doc_id, unnest(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) AS g, unnest(range(1, len(t) - 3)) - 1 AS i FROM w) JOIN u USING (doc_id, g)),
-        a AS (SELECT doc_id, i + d AS "at", arg_min(j + d, i) AS source_at FROM (SELECT *, unnest(range(0, 5)) AS d FROM m) GROUP BY doc_id, i + d)
+    "anchors": f"""WITH {PAIRS}, w AS (SELECT doc_id, {words_sql('text')} AS t, {words_sql('source')} AS s FROM pairs), {_anchored(5)}, {_anchored(3)},
+        n5 AS (SELECT doc_id, count(*) AS n FROM a5 GROUP BY doc_id), n3 AS (SELECT doc_id, count(*) AS n FROM a3 GROUP BY doc_id),
+        pick AS (SELECT doc_id, coalesce(n5.n, 0) >= 0.3 * len(t) OR coalesce(n3.n, 0) <= coalesce(n5.n, 0) AS five FROM w LEFT JOIN n5 USING (doc_id) LEFT JOIN n3 USING (doc_id)),
+        a AS (SELECT a5.* FROM a5 JOIN pick USING (doc_id) WHERE five UNION ALL SELECT a3.* FROM a3 JOIN pick USING (doc_id) WHERE NOT five)
         SELECT doc_id, count(*) AS n, sum("at")::BIGINT AS places, sum(source_at)::BIGINT AS source_places FROM a GROUP BY doc_id""",
     "line_pages": f"""WITH {LAYOUT}, v AS (SELECT doc_id, line // 5 AS line, page, count(*) AS n FROM layout WHERE line % 4 <> 0 GROUP BY ALL),
         b AS (SELECT doc_id, line, page FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY n DESC, page) AS k FROM v) WHERE k = 1),
@@ -243,9 +251,9 @@ ORACLES: dict[str, str] = {
         b AS (SELECT *, (SELECT count(*) FROM c s WHERE s.doc_id = c.doc_id AND s.page = c.page AND s.col = -1 AND s.top <= CASE WHEN c.col = -1 THEN c.top ELSE (c.top + c.bottom) / 2 END) AS band FROM c)
         SELECT doc_id, page, line, row_number() OVER (PARTITION BY doc_id, page ORDER BY band, col, top, x0, line) AS ord FROM b""",
     "headings": f"WITH {LAYOUT}, {_HEADINGS} SELECT doc_id, page, line FROM headed WHERE heading",
-    "line_breaks": f"""WITH {LAYOUT}, {_HEADINGS}, s AS (SELECT *, top - lag(top) OVER w AS step, lag(line) OVER w AS pl, lag(size) OVER w AS ps, lag(heading) OVER w AS ph, lag(x1) OVER w AS px, lag(text) OVER w AS pt, greatest("right" - "left", 1.0) AS span FROM headed WINDOW w AS (PARTITION BY doc_id, page ORDER BY line)),
+    "line_breaks": f"""WITH {LAYOUT}, {_HEADINGS}, s AS (SELECT *, top - lag(top) OVER w AS step, top - lag(bottom) OVER w AS gap, lag(x0) OVER w AS p0, lag(line) OVER w AS pl, lag(size) OVER w AS ps, lag(heading) OVER w AS ph, lag(x1) OVER w AS px, lag(text) OVER w AS pt, greatest("right" - "left", 1.0) AS span FROM headed WINDOW w AS (PARTITION BY doc_id, page ORDER BY line)),
         q AS (SELECT doc_id, page, coalesce(median(CASE WHEN step > 0 AND step < 40 THEN step END), 12.0) AS pitch FROM s GROUP BY ALL),
-        b AS (SELECT doc_id, page, line, coalesce(pl IS NULL OR step > 1.45 * pitch OR abs(size - ps) > 0.8 OR heading OR ph OR regexp_matches(text, '{_BULLET}') OR (x0 > "left" + 0.02 * span AND px >= "right" - 0.1 * span) OR px < "right" - 0.28 * span OR (px < "right" - 0.1 * span AND regexp_matches(pt, '{_TERMINAL}')), true)::INT AS b FROM s JOIN q USING (doc_id, page))
+        b AS (SELECT doc_id, page, line, coalesce(pl IS NULL OR step > 1.45 * pitch OR gap > 8.5 OR abs(size - ps) > 1.0 OR heading OR ph OR regexp_matches(text, '{_BULLET}') OR (x0 > p0 + greatest(0.018 * span, 3.0) AND px > "right" - 0.05 * span) OR px < "right" - 0.28 * span OR (px < "right" - 0.1 * span AND regexp_matches(pt, '{_TERMINAL}')), true)::INT AS b FROM s JOIN q USING (doc_id, page))
         SELECT doc_id, page, line, sum(b) OVER (PARTITION BY doc_id, page ORDER BY line ROWS UNBOUNDED PRECEDING)::BIGINT AS para FROM b""",
     "running_heads": f"WITH {LAYOUT}, {_HEADS} SELECT doc_id, sig, n_pages FROM heads",
     "stripped_heads": rf"""WITH {LAYOUT}, {_HEADS}, g AS (SELECT s.doc_id, s.text FROM sigs s LEFT JOIN heads h ON h.doc_id = s.doc_id AND h.sig = s.sig
@@ -263,7 +271,10 @@ ORACLES: dict[str, str] = {
     "words_outside_tables": f"""WITH {WORDS} SELECT doc_id, page, count(*) AS n FROM (SELECT *, 72.0 + 13.0 * (row % 20) AS top, 82.0 + 13.0 * (row % 20) AS bottom FROM words)
         WHERE NOT (page % 2 = 1 AND x0 >= 99 AND x1 <= 301 AND top >= 89 AND bottom <= 161) GROUP BY ALL""",
     "visual_rows": f"WITH {WORDS} SELECT doc_id, page, count(DISTINCT row) AS rows FROM words GROUP BY ALL",
-    "table_columns": f"""WITH {WORDS}, f AS (SELECT doc_id, page, CASE WHEN x0 - lag(x0) OVER (PARTITION BY doc_id, page ORDER BY x0, row) <= 6 THEN 0 ELSE 1 END AS f FROM words) SELECT doc_id, page AS seg, sum(f)::BIGINT AS n_columns FROM f GROUP BY ALL""",
+    "table_columns": f"""WITH {WORDS}, f AS (SELECT *, CASE WHEN x0 - lag(x0) OVER (PARTITION BY doc_id, page ORDER BY x0, row) <= 6 THEN 0 ELSE 1 END AS f FROM words),
+        g AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, page ORDER BY x0, row ROWS UNBOUNDED PRECEDING) AS g FROM f), c AS (SELECT doc_id, page, g, avg(x0) AS c FROM g GROUP BY ALL), l AS (SELECT doc_id, page, list(c ORDER BY g) AS cs FROM c GROUP BY ALL),
+        n AS (SELECT doc_id, page, row, len(cs) AS k, list_position(list_transform(cs, lambda c: abs(c - x0)), list_min(list_transform(cs, lambda c: abs(c - x0)))) - 1 AS col FROM g JOIN l USING (doc_id, page))
+        SELECT doc_id, page AS seg, row, max(k) AS n_columns, array_to_string(list(col ORDER BY col), ' ') AS cols FROM n GROUP BY ALL""",
     "dominant_angles": f"""WITH {WORDS}, a AS (SELECT doc_id, page, CASE WHEN page % 3 = 0 THEN 90 WHEN word % 5 = 0 THEN 0 ELSE 0 END AS angle FROM words),
         x AS (SELECT doc_id, page, round_even(degrees(atan2(CASE WHEN page % 3 = 0 THEN 1.0 WHEN word % 5 = 0 THEN 1.0 ELSE 0.0 END, CASE WHEN page % 3 = 0 THEN 0.0 ELSE 1.0 END)) / 90, 0)::BIGINT * 90 % 360 AS angle FROM words),
         c AS (SELECT doc_id, page, angle, count(*) AS n FROM x GROUP BY ALL), t AS (SELECT doc_id, page, arg_max(angle, n) AS angle, max(n) AS n, sum(n) AS s FROM c GROUP BY ALL)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,13 +43,13 @@ def audit_metrics(spark, d):
 
 @query
 def audit_baseline(spark, d):
-    m = metrics.text_metrics(inputs.documents(spark, d)).persist(StorageLevel.MEMORY_AND_DISK)
+    m = scoring.kept(metrics.text_metrics(inputs.documents(spark, d)))
     return _rounded(scoring.baseline(scoring.unpivoted(m.filter("not too_short")).select("metric", "value")))
 
 
 @query
 def audit_scores(spark, d):
-    values = scoring.unpivoted(metrics.text_metrics(inputs.documents(spark, d)).persist(StorageLevel.MEMORY_AND_DISK).filter("not too_short"))
+    values = scoring.unpivoted(scoring.kept(metrics.text_metrics(inputs.documents(spark, d))).filter("not too_short"))
     return scoring.scored(values, scoring.baseline(values)).select("doc_id", F.round("risk_score", 3).alias("risk_score"), "n_metrics_used")
 
 
@@ -107,7 +106,7 @@ def scrambled(spark, d):
 
 @query
 def control_chars(spark, d):
-    made = F.when(F.col("doc_id") % 6 == 0, F.concat(F.substring("text", 1, 40), F.lit("\u0001�\u0002"), F.substring("text", 41, 300))).otherwise(F.col("text"))
+    made = F.when(F.col("doc_id") % 6 == 0, F.concat(F.substring("text", 1, 40), F.lit("\u0001�\u0002"), F.substring("text", 41, 1 << 30))).otherwise(F.col("text"))
     return _rounded(detect.control_characters(inputs.documents(spark, d).withColumn("text", made)))
 
 
@@ -160,7 +159,7 @@ def shingle_coverage(spark, d):
 
 @query
 def unmatched_runs(spark, d):
-    return contain.unmatched(inputs.pairs(spark, d), "text", "source")
+    return contain.unmatched(inputs.pairs(spark, d), "text", "source").drop("stop")
 
 
 @query
@@ -197,7 +196,7 @@ def spelling_variants(spark, d):
 
 @query
 def missing_text(spark, d):
-    return contain.missing_text(inputs.pairs(spark, d), "text", "source")
+    return contain.missing_text(inputs.pairs(spark, d), "text", "source").drop("stop")
 
 
 @query
@@ -314,7 +313,7 @@ def visual_rows(spark, d):
 @query
 def table_columns(spark, d):
     cells = inputs.layout_words(spark, d).select("doc_id", F.col("page").alias("seg"), "row", F.col("x0").alias("x"), F.col("word").cast("string").alias("text"))
-    return layout.table_columns(cells).groupBy("doc_id", "seg").agg((F.max("col") + 1).alias("n_columns"))
+    return layout.table_columns(cells).groupBy("doc_id", "seg", "row").agg(F.max("n_columns").alias("n_columns"), F.array_join(F.array_sort(F.collect_list("col")), " ").alias("cols"))
 
 
 @query
@@ -439,13 +438,13 @@ def vocabulary(spark, d):
 @query
 def suspicious(spark, d):
     docs = inputs.documents(spark, d)
-    return lexicon.suspicious(docs.filter("doc_id % 2 = 1"), lexicon.vocabulary(docs.filter("doc_id % 2 = 0")))
+    return lexicon.suspicious(docs, lexicon.vocabulary(docs, min_documents=2))
 
 
 @query
 def unexpected_words(spark, d):
     docs = inputs.documents(spark, d)
-    return lexicon.findings(lexicon.suspicious(docs.filter("doc_id % 2 = 1"), lexicon.vocabulary(docs.filter("doc_id % 2 = 0"))))
+    return lexicon.findings(lexicon.suspicious(docs, lexicon.vocabulary(docs, min_documents=2)))
 
 
 def _findings(spark, d):
