@@ -117,7 +117,7 @@ def recognised_findings(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
 def word_findings(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """key, kind, severity, n by words and numbers: invented, dropped, retention out of its band, scrambled. For texts whose source has a text layer."""
-    balance = fidelity.word_balance(docs, text, source, key=key)
+    balance = fidelity.reconciled(fidelity.word_balance(docs, text, source, key=key), key)
     kept = fidelity.retention(docs, text, source, key=key).filter("finding <> 'ok'")
     scan = detect.scramble_scan(docs, key, text).filter("n_scrambled > 0")
     return _all(

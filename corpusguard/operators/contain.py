@@ -231,13 +231,50 @@ def merged(rows: DataFrame, at: str, gap: int = 1, key: str = "doc_id") -> DataF
 
 
 def unfound_rows(docs: DataFrame, text: str, source: str, key: str = "doc_id") -> DataFrame:
-    """key, line, n_cells, n_unfound: table rows of two cells at least, of which two and half aren't in the source's letters."""
-    once = docs.select(key, T.fold(F.coalesce(F.col(source), F.lit(""))).alias("_s"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("_l"))
-    rows = once.select(key, "_s", F.posexplode("_l").alias("line", "row")).filter(F.col("row").rlike(r"[\t|]"))
-    cells_ = F.filter(F.transform(F.split("row", r"[\t|]"), T.fold), lambda c: c != "")
-    rows = rows.select(key, "line", "_s", cells_.alias("_c")).filter(F.size("_c") >= 2)
-    n = F.size(F.filter("_c", lambda c: ~F.contains(F.col("_s"), c)))
-    return rows.select(key, "line", F.size("_c").alias("n_cells"), n.alias("n_unfound")).filter("n_unfound >= greatest(2, 0.5 * n_cells)")
+    """key, line, n_cells, n_unfound: table rows of two cells at least, of which two and half aren't in the source.
+
+    A cell under two shingles long is found if the source's letters have it whole; a longer one may be split up there,
+    so it is found if half its letters are in shingles that the source has.
+    """
+    short = 2 * SHINGLE
+    letters = lambda c: T.fold(F.coalesce(F.col(c), F.lit("")))
+    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x, i: F.when(x.rlike(r"[\t|]"), F.struct(i.alias("line"), F.filter(F.transform(F.split(x, r"[\t|]"), T.fold), lambda c: c != "").alias("c"))))
+    rows = docs.select(key, letters(source).alias("_s"), F.transform(cells(F.coalesce(F.col(source), F.lit(""))), T.fold).alias("_k"), F.filter(lines, lambda x: x.isNotNull() & (F.size(x["c"]) >= 2)).alias("_l")).filter(F.size("_l") > 0)
+    rows = rows.withColumn("_gaps", uncovered(SHINGLE)(F.flatten(F.transform("_l", lambda x: x["c"])), F.col("_k")))
+    each = rows.select(key, "_s", "_gaps", F.flatten(F.transform("_l", lambda x: F.transform(x["c"], lambda c: F.struct(x["line"].alias("line"), c.alias("c"))))).alias("_c"))
+    each = each.select(key, "_s", "_gaps", F.posexplode("_c").alias("at", "x")).select(key, "_s", F.col("x.line").alias("line"), F.col("x.c").alias("c"), F.aggregate(F.filter("_gaps", lambda g: g["cell"] == F.col("at")), F.lit(0), lambda a, g: a + g["n"]).alias("_bare"))
+    found = F.when(F.length("c") < short, F.contains(F.col("_s"), F.col("c"))).otherwise(2 * F.col("_bare") <= F.length("c"))
+    return each.groupBy(key, "line").agg(F.count("*").cast("int").alias("n_cells"), F.count_if(~found).cast("int").alias("n_unfound")).filter("n_unfound >= greatest(2, 0.5 * n_cells)")
+
+
+#: What stands between the cells of a text.
+SEPARATOR = r"[\t|\n]| {2,}"
+
+
+def cell_spans(docs: DataFrame, text: str, key: str = "doc_id") -> DataFrame:
+    """key, cell, chunk, char_start: the cells of cells(), and where each stands in the text."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    parts = F.arrays_zip(F.split(body, SEPARATOR).alias("chunk"), T.tokens(body, SEPARATOR).alias("gap"))
+    rows = docs.select(key, F.posexplode(parts).alias("at", "p")).select(key, "at", "p.chunk", (F.length("p.chunk") + F.coalesce(F.length("p.gap"), F.lit(0))).alias("_n"))
+    before = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("char_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("chunk").rlike(r"\S"))
+    cell = F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1
+    return rows.select(key, cell.alias("cell"), "chunk", F.col("char_start").cast("int").alias("char_start"))
+
+
+def run_places(docs: DataFrame, runs: DataFrame, text: str, key: str = "doc_id") -> DataFrame:
+    """key, cell, char_start, char_end, sample of runs (key, cell, start, stop, of folded letters): their characters in the text,
+    widened to the words that they cut."""
+    from ..functions.unicode import folded_with_places
+
+    held = cell_spans(docs, text, key).join(runs.select(key, "cell", "start", "stop"), [key, "cell"])
+    rows = held.withColumn("_p", folded_with_places(F.col("chunk"))["places"])
+    rows = rows.withColumns({"_a": F.get("_p", F.col("start")), "_b": F.get("_p", F.col("stop") - 1) + 1})
+    left = F.length(F.regexp_extract(F.substring(F.col("chunk"), F.lit(1), F.col("_a")), r"[\p{L}\p{N}]*$", 0))
+    right = F.length(F.regexp_extract(F.substring(F.col("chunk"), F.col("_b") + 1, F.length("chunk")), r"^[\p{L}\p{N}]*", 0))
+    rows = rows.withColumns({"_a": F.col("_a") - left, "_b": F.col("_b") + right}).filter("_a is not null and _b is not null")
+    sample = T.quote(F.substring(F.col("chunk"), F.col("_a") + 1, F.col("_b") - F.col("_a")))
+    return rows.select(key, "cell", (F.col("char_start") + F.col("_a")).alias("char_start"), (F.col("char_start") + F.col("_b")).alias("char_end"), sample.alias("sample"))
 
 
 def spelling_variants(docs: DataFrame, text: str, source: str, least: int = 4, key: str = "doc_id") -> DataFrame:

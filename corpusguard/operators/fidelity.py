@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +60,53 @@ def hyphen_joins(balance: DataFrame, key: str = "doc_id") -> DataFrame:
     return both.groupBy(key, "word").agg(F.min_by(F.concat_ws("+", "head", "tail"), "at").alias("parts"))
 
 
+def _fragments(word: str, left: dict[str, int]) -> list[str] | None:
+    """The word as two or more words that are left over, each as often as it is; of several cuts the one whose last parts begin earliest."""
+    came: dict[int, int] = {0: -1}
+
+    def parts(end: int) -> list[str]:
+        out = []
+        while end:
+            out.append(word[came[end] : end])
+            end = came[end]
+        return out[::-1]
+
+    for begin in range(len(word)):
+        if begin in came:
+            used = parts(begin)
+            for end in range(begin + 1, len(word) + 1):
+                part = word[begin:end]
+                if end not in came and left.get(part, 0) > used.count(part):
+                    came[end] = begin
+    found = parts(len(word)) if len(word) in came else []
+    return found if len(found) > 1 else None
+
+
+def reconciled(balance: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, word, extra, lost, first_at, joins: the balance after invented words have been explained by lost ones that they
+    are made of, as when hyphens are taken out. A lost word explains one invention only, and inventions are taken in the
+    order of the text, so each document's (few) leftover words go through Python together; joins is on its first row.
+    Documents without words on both sides stay in the JVM."""
+    sides = balance.groupBy(key).agg(F.max("extra").alias("_e"), F.max("lost").alias("_l")).filter("_e > 0 and _l > 0").select(key)
+    kind = balance.schema[key].dataType.simpleString()
+
+    def explain(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["first_at", "word"], na_position="last").reset_index(drop=True)
+        left = dict(zip(rows["word"], rows["lost"], strict=True))
+        extra, joins = rows["extra"].tolist(), 0
+        for k, word in enumerate(rows["word"]):
+            while extra[k] > 0 and (parts := _fragments(word, left)):
+                for part in parts:
+                    left[part] -= 1
+                extra[k] -= 1
+                joins += 1
+        return rows.assign(extra=extra, lost=[left[w] for w in rows["word"]], joins=[joins] + [0] * (len(rows) - 1))
+
+    both = balance.join(sides, key, "left_semi").groupBy(key).applyInPandas(explain, f"{key} {kind}, word string, extra long, lost long, first_at int, joins long")
+    rest = balance.join(sides, key, "left_anti").withColumn("joins", F.lit(0).cast("long"))
+    return both.unionByName(rest).filter("extra > 0 or lost > 0 or joins > 0")
+
+
 def invented_numerals(docs: DataFrame, text: str, source: str, key: str = "doc_id") -> DataFrame:
     """key, value, at: the occurrences of a number beyond those in the source."""
     numbers = lambda column: docs.select(key, F.posexplode(T.tokens(F.coalesce(F.col(column), F.lit("")), T.NUMBER)).alias("at", "value"))

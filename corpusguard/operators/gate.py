@@ -14,6 +14,9 @@ REVIEW_SCORE, REJECT_SCORE, CONFIDENT, TRUSTED, SAME_TEXT = 3.0, 6.0, 0.75, 0.70
 
 def gate(docs: DataFrame, found: DataFrame, scores: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, verdict, n_findings, risk_score: reject for a high finding or a score of 6, review for any finding or a score of 3, else ok."""
+    # a text that is scrambled by its words and by itself is so once
+    scrambled = found.filter("kind = 'scrambled_text'").groupBy(key, "kind").agg(F.max_by("severity", worst(F.col("severity"))).alias("severity"))
+    found = found.filter("kind <> 'scrambled_text'").select(key, "kind", "severity").unionByName(scrambled)
     counted = found.groupBy(key).agg(F.max(worst(F.col("severity"))).alias("w"), F.count("*").alias("n"))
     rows = docs.select(key).join(counted, key, "left").join(scores.select(key, "risk_score"), key, "left")
     score, w = F.coalesce("risk_score", F.lit(0.0)), F.coalesce("w", F.lit(0))

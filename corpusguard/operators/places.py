@@ -48,7 +48,7 @@ def _place(kind: str, start: Column, end: Column, n: Column, sample: Column, tes
 
 
 def _element(array: Column, i: Column) -> Column:
-    return F.try_element_at(array, i + 1)
+    return F.get(array, i)
 
 
 def damage_places(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,7 +77,7 @@ def damage_places(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     )
     line = _element(F.col("_lines"), F.col("_line.first"))
     once = F.instr(body, line)
-    rows = rows.withColumns({"_copy": F.expr("locate(_lines[_line.first], _text, instr(_text, _lines[_line.first]) + length(_lines[_line.first]))"), "_first": F.col("_mixed")[0]})
+    rows = rows.withColumns({"_copy": F.expr("locate(get(_lines, _line.first), _text, instr(_text, get(_lines, _line.first)) + length(get(_lines, _line.first)))"), "_first": F.get("_mixed", F.lit(0))})
     looped = (F.col("_line.n") >= COPIES) & (once > 0) & (F.col("_copy") > 0)
     second = F.col("_gram.second")
     gram_start, gram_last = T.token_start(body, T.WORDS, second), T.token_start(body, T.WORDS, second + NGRAM - 1)
@@ -87,7 +87,7 @@ def damage_places(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     snippet = F.substring(F.col("_prose"), from_ + 1, upto - from_)
     mixed_start = T.token_start(body, T.LETTERS, F.col("_first.i"))
     garbled, junk = F.regexp_instr(body, F.lit(T.MOJIBAKE)), F.regexp_instr(body, F.lit(T.JUNK))
-    odd = F.instr(body, F.col("_odd")[0])
+    odd = F.instr(body, F.get("_odd", F.lit(0)))
     empty = F.lit("")
     places = [
         F.coalesce(
@@ -98,7 +98,7 @@ def damage_places(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         _place("garbled_characters", garbled - 1, garbled - 1 + F.length(F.regexp_extract(body, T.MOJIBAKE, 0)), F.regexp_count(body, F.lit(T.MOJIBAKE)), F.regexp_extract(body, T.MOJIBAKE, 0), garbled > 0),
         _place("control_characters", junk - 1, junk, F.regexp_count(body, F.lit(T.JUNK)), empty, junk > 0),
         _place("letter_spacing", F.instr(body, snippet) - 1, F.instr(body, snippet) - 1 + F.length(snippet), F.col("_run.n"), snippet, (F.col("_run.n") > 1) & (F.instr(body, snippet) > 0)),
-        _place("scrambled_text", odd - 1, odd - 1 + F.length(F.col("_odd")[0]), F.size("_odd"), F.array_join(F.slice("_odd", 1, 6), ", "), F.size("_odd") > 0),
+        _place("scrambled_text", odd - 1, odd - 1 + F.length(F.get("_odd", F.lit(0))), F.size("_odd"), F.array_join(F.slice("_odd", 1, 6), ", "), F.size("_odd") > 0),
     ]
     return rows.select(key, F.explode(F.filter(F.array(*places), lambda x: x.isNotNull())).alias("p")).select(key, "p.*")
 

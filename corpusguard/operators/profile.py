@@ -44,7 +44,7 @@ def page_signals(pages: DataFrame, key: str = "doc_id") -> DataFrame:
         (F.sum("col_edges") / n).alias("col_edges_per_page"),
         F.coalesce(F.sum("n_chars") / F.sum(area), F.lit(0.0)).alias("chars_per_in2"),
         (F.count_if(F.col("dpi") < 200) / n).alias("frac_pages_low_dpi"),
-        F.lit(0.0).alias("has_type3_font"),
+        (F.max(F.col("type3").cast("double")) if "type3" in pages.columns else F.lit(0.0)).alias("has_type3_font"),
     )
 
 

@@ -78,6 +78,13 @@ def anchors(docs: DataFrame, text: str, source: str, sizes: tuple[int, ...] = (5
     return rows.select(key, F.explode(anchored(F.size("_t"), *grams)).alias("a")).select(key, "a.at", "a.source_at")
 
 
+def token_spans(docs: DataFrame, text: str, pattern: str = T.WORDS, key: str = "doc_id") -> DataFrame:
+    """key, at, token, char_start, char_end: the tokens of a pattern and where they stand, 0-based and half open."""
+    rows = docs.select(key, F.posexplode(T.with_spans(F.coalesce(F.col(text), F.lit("")), pattern)).alias("at", "t"))
+    end = F.sum(F.col("t.gap") + F.length("t.token")).over(Window.partitionBy(key).orderBy("at"))
+    return rows.withColumn("char_end", end).select(key, "at", F.col("t.token").alias("token"), (F.col("char_end") - F.length("t.token")).alias("char_start"), "char_end")
+
+
 def region_index(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, char_start, char_end, page and the box around all spans that share them; spans without characters are left out."""
     held = spans.filter("char_end > char_start")

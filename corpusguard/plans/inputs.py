@@ -74,7 +74,7 @@ def layout_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n")
     x0 = 72.0 + 40.0 * (n % 8) + F.when((F.col("doc_id") % 3 == 0) & (n % 8 >= 4), 60.0).otherwise(0.0)
     top = 72.0 + 13.0 * (F.floor(n / 8) % 20)
-    return rows.select("doc_id", (F.floor(n / 160) + 1).alias("page"), n.cast("long").alias("word"), F.floor(n / 8).alias("row"), x0.alias("x0"), (x0 + 5.0 * F.least(F.length("w"), F.lit(7))).alias("x1"), top.alias("top"), (top + 10.0).alias("bottom"))
+    return rows.select("doc_id", (F.floor(n / 160) + 1).alias("page"), n.cast("long").alias("word"), F.floor(n / 8).alias("row"), x0.alias("x0"), (x0 + 5.0 * F.least(F.length("w"), F.lit(7))).alias("x1"), top.alias("top"), (top + 10.0).alias("bottom"), F.col("w").alias("text"))
 
 
 WORDS = """wraw AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) - 1 AS n FROM (SELECT doc_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: w <> '') AS l FROM documents)),

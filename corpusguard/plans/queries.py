@@ -532,3 +532,7 @@ def review_queue(spark, d):
 @query
 def with_problem(spark, d):
     return report.with_problem(_summary(spark, d), "dropped_words").select("doc_id", "tool_verdict")
+
+
+from . import checks as _checks  # noqa: E402, F401  these register their queries here
+from . import pages as _pages  # noqa: E402, F401

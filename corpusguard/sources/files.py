@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions import text as T
+from ..functions.repair import nfc
+
 CSV_COLUMNS = ["file", "made_by", "tool_verdict", "checked_against", "problems", "decision", "reviewer", "note", "decided_at"]
 
 
@@ -33,6 +36,40 @@ def canonical_newlines(c: Column) -> Column:
     return F.regexp_replace(c, "\r\n?", "\n")
 
 
+def targets(spark: SparkSession, inputs: list[str], suffix: str = ".pdf", recursive: bool = False) -> DataFrame:
+    """path of the files that inputs name: of a folder those with the suffix (whatever its case), in order; a file that has
+    the suffix itself, whether it is there or not. Each once, in the order of the inputs."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = None
+    for n, name in enumerate(inputs):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        files = path.getFileSystem(conf)
+        if files.exists(path) and files.getFileStatus(path).isDirectory():
+            listed = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(name).select("path").filter(F.lower("path").endswith(suffix))
+        elif name.lower().endswith(suffix):
+            listed = spark.createDataFrame([(name,)], "path string")
+        else:
+            continue
+        listed = listed.withColumn("n", F.lit(n))
+        out = listed if out is None else out.unionByName(listed)
+    if out is None:
+        return spark.createDataFrame([], "path string")
+    return out.groupBy("path").agg(F.min("n").alias("n")).orderBy("n", "path").select("path")
+
+
+def find_sources(texts: DataFrame, present: DataFrame) -> DataFrame:
+    """texts (path, recorded: where its source was) with source: the first that is there (present: path) of the recorded place,
+    the same name beside the text, in the folder above, and in its folder pdf."""
+    stem = F.regexp_replace("path", r"\.[^./]*$", "")
+    name, folder = F.element_at(F.split(stem, "/"), -1), F.regexp_replace("path", "/[^/]*$", "")
+    above = F.regexp_replace(folder, "/[^/]*$", "")
+    named = F.concat(F.coalesce(F.regexp_extract("recorded", "[^/]+$", 0), F.concat(name, F.lit(".pdf"))))
+    places = F.array(F.struct(F.lit(0).alias("n"), F.col("recorded").alias("at")), *[F.struct(F.lit(k + 1).alias("n"), F.concat(at, F.lit("/"), named).alias("at")) for k, at in enumerate((folder, above, F.concat(folder, F.lit("/pdf"))))])
+    asked = texts.select("path", F.explode(places).alias("p")).select("path", "p.*").filter("at is not null")
+    found = asked.join(present.select(F.col("path").alias("at")).distinct(), "at").groupBy("path").agg(F.min_by("at", "n").alias("source"))
+    return texts.join(found, "path", "left")
+
+
 def read_texts(spark: SparkSession, folder: str, glob: str = "*.txt", recursive: bool = True, limit: int | None = None) -> DataFrame:
     """path, file, text, sha256, stamp of the text files of a folder. Valid UTF-8 is decoded in the JVM; only the rest goes through Python."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(folder)
@@ -67,21 +104,58 @@ def read_parsed(spark: SparkSession, folder: str, parser: Callable[[bytes], Iter
 
 
 def match_sources(texts: DataFrame, sources: DataFrame) -> DataFrame:
-    """texts (file) with the source (path, priority) of the same name without its ending, whatever its case; the first by priority, then path."""
-    stem = lambda c: F.lower(F.regexp_replace(c, r"\.[^.]*$", ""))
+    """texts (file) with the source (path, priority) of the same name without its ending, composed and whatever its case; the first by priority, then path."""
+    stem = lambda c: T.casefold(nfc(F.regexp_replace(c, r"\.[^.]*$", "")))
     named = sources.select("path", "priority", stem(F.element_at(F.split("path", "/"), -1)).alias("stem"))
     best = named.groupBy("stem").agg(F.min_by("path", F.struct("priority", "path")).alias("source"))
     return texts.withColumn("stem", stem(F.col("file"))).join(best, "stem", "left").drop("stem")
 
 
-def write_audit_csv(rows: DataFrame, path: str, score: str = "risk_score") -> None:
-    """Worst first, documents without a score last; Spark sorts by range, so the parts are in order."""
-    rows.orderBy(F.col(score).desc_nulls_last()).write.option("header", True).mode("overwrite").csv(path)
+#: What the tables of an audit lead with; other columns follow.
+LEAD = ["file", "doc_id", "verdict", "risk_score", "n_metrics_used", "risk_reasons", "error"]
+
+
+def write_audit_csv(rows: DataFrame, path: str, score: str = "risk_score", *others: DataFrame) -> None:
+    """Worst first, documents without a score last; Spark sorts by range, so the parts are in order. Rows of others (error
+    rows, rows with more columns) go in too: the columns are all that there are, LEAD first."""
+    for more in others:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    names = [c for c in LEAD if c in rows.columns]
+    ordered = rows.select(*names, *[c for c in rows.columns if c not in names]).orderBy(F.col(score).desc_nulls_last())
+    _write_csv(ordered, path)
+
+
+def _write_csv(rows: DataFrame, path: str) -> None:
+    """CSV parts with a header that begins with a byte-order mark, as spreadsheets expect UTF-8 to."""
+    first, rest = rows.columns[0], rows.columns[1:]
+    rows.select(F.col(first).alias(f"\ufeff{first}"), *rest).write.option("header", True).mode("overwrite").csv(path)
+
+
+def write_texts(rows: DataFrame, folder: str, name: str = "file", text: str = "text") -> DataFrame:
+    """Write each row's text as a file of its own in a folder (UTF-8, no byte-order mark, one newline at the end): file and
+    error, null where it was written. A file that can't be written doesn't end the batch."""
+    from pyarrow import fs
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        files.create_dir(root, recursive=True)
+        for batch in batches:
+            errors = []
+            for file, body in zip(batch["file"], batch["text"], strict=True):
+                try:
+                    with files.open_output_stream(f"{root}/{file}") as out:
+                        out.write(((body or "").rstrip("\n") + "\n").encode("utf-8"))
+                    errors.append(None)
+                except Exception as e:
+                    errors.append(str(e)[:500])
+            yield pd.DataFrame({"file": batch["file"], "error": pd.Series(errors, dtype=object)})
+
+    return rows.select(F.col(name).alias("file"), F.col(text).alias("text")).mapInPandas(write, "file string, error string")
 
 
 def write_summary_csv(rows: DataFrame, path: str) -> None:
     out = rows.select(*[F.col(c) if c in rows.columns else F.lit("").alias(c) for c in CSV_COLUMNS])
-    out.write.option("header", True).mode("overwrite").csv(path)
+    _write_csv(out, path)
 
 
 def write_records(rows: DataFrame, path: str) -> None:
