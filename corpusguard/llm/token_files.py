@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import pieces, words
+from .textkit import pieces, prefix_sums, span_hashes, words
 from .workspace import new_path, partitions, staged
 
 #: Words that a worker keeps with their ids; the cache starts anew when it is full.
@@ -72,7 +72,7 @@ class WordCache:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -88,6 +88,12 @@ class WordCache:
             vocabulary = self.library.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            # the same model for pieces, a line each, that need no normal form and no other split
+            self.plain = Tokenizer.from_file(path)
+            self.plain.no_truncation()
+            self.plain.no_padding()
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._clear()
 
     def _clear(self) -> None:
@@ -113,7 +119,7 @@ class WordCache:
         if None in at:
             missing = [i for i, k in enumerate(at) if k is None]
             new = list({flat[i] for i in missing})
-            ids = np.array(self.library.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.plain.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0].ids, np.uint32)
             last = np.flatnonzero(self.ends[ids])
             if len(last) != len(new):
                 raise RuntimeError("the library splits words in another way than its file says")
@@ -161,13 +167,18 @@ class WordCache:
         return out.tobytes()
 
     def encode(self, buffer: bytes, starts: np.ndarray) -> list[np.ndarray]:
-        """The ids of each text of a buffer (see pieces())."""
+        """The ids of each text of a buffer (see pieces()). Words that occur again in the buffer are looked up once: they are told
+        apart by two hashes, and all looked up where these disagree."""
         buffer = self.lowered(buffer)
-        ends = np.append(starts[1:] - 1, len(buffer))
+        data = np.frombuffer(buffer, np.uint8)
+        begins, ends, _ = words(data, starts)
+        hashes, others = (span_hashes(prefix_sums(x), begins, ends) for x in (data, data ^ np.uint8(0x5A)))
+        _, first, again = np.unique(hashes, return_index=True, return_inverse=True)
+        if (others != others[first][again]).any():
+            first = again = np.arange(len(begins))
         if len(self.known) > CACHE_WORDS:
             self._clear()
-        split = [buffer[a:b].split() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        flat = list(chain.from_iterable(split))
+        flat = [buffer[a:b] for a, b in zip(begins[first].tolist(), ends[first].tolist(), strict=True)]
         known = self.known
         at = list(map(known.get, flat))
         if None in at:
@@ -175,9 +186,9 @@ class WordCache:
             self._look_up(list({flat[i] for i in missing}))
             for i in missing:
                 at[i] = known[flat[i]]
-        at = np.array(at, np.int64)
+        at = np.array(at, np.int64)[again]
         ids, upto = _gathered(self.ids, self.first[at], self.count[at])
-        return np.split(ids, upto[np.cumsum(list(map(len, split)))][:-1])
+        return np.split(ids, upto[np.searchsorted(begins, starts[1:])])
 
 
 def _gathered(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
