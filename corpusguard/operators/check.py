@@ -43,8 +43,9 @@ def route_findings(docs: DataFrame, routed: DataFrame, key: str = "doc_id") -> D
 def unlooped(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """key of the documents whose repetition the source has too: its letters hold the commonest run of NGRAM words half as often as the text, or more."""
     words = T.tokens(T.casefold(F.coalesce(F.col(text), F.lit(""))))
-    rows = docs.filter(F.col(source).isNotNull()).select(key, words.alias("_w"), T.fold(F.col(source)).alias("_s"))
-    grams = rows.withColumn("_g", places.commonest(places.gram_hashes(F.col("_w")))).filter("_g.n > 0")
+    # a generated column can't be merged into what uses it, where it would be computed anew for each element
+    rows = docs.filter(F.col(source).isNotNull()).select(key, T.fold(F.col(source)).alias("_s"), F.explode(F.array(words)).alias("_w"))
+    grams = rows.select(key, "_s", "_w", F.explode(F.array(places.commonest(places.gram_hashes(F.col("_w"))))).alias("_g")).filter("_g.n > 0")
     letters = T.fold(F.array_join(F.slice("_w", F.col("_g.first") + 1, F.lit(NGRAM)), " "))
     held = grams.select(key, "_s", F.col("_g.n").alias("n"), letters.alias("_l")).filter("_l <> ''")
     times = (F.length("_s") - F.length(F.replace(F.col("_s"), F.col("_l"), F.lit("")))) / F.length("_l")
