@@ -13,6 +13,8 @@ from .metrics import gram_hashes
 
 #: Letters of a shingle, of a run that counts, of a line judged as a whole; findings of one kind.
 SHINGLE, MIN_RUN, LINE_MIN, LINE_SHARE, MAX_PASSAGES = 10, 25, 30, 0.5, 60
+#: Letters that are hashed at a time.
+PIECE = 1 << 19
 _FACTOR, _DOCUMENT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -65,6 +67,17 @@ def uncovered(size: int):
 
     @F.arrow_udf("array<struct<cell:int,start:int,n:int>>")
     def gaps(cells_: pa.Array, source: pa.Array) -> pa.Array:
+        # some documents at a time, so that what is held doesn't depend on the batch
+        long = np.zeros(len(cells_), np.int64)
+        for column in (cells_, source):
+            lengths = np.concatenate([[0], np.cumsum(pc.utf8_length(column.flatten().fill_null("")).to_numpy(zero_copy_only=False))])
+            ends = np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+            long += np.diff(lengths[ends], prepend=0).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(long) // PIECE)) + 1
+        parts = [some(cells_.slice(a, b - a), source.slice(a, b - a)) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells_)], strict=True)]
+        return pa.concat_arrays(parts)
+
+    def some(cells_: pa.Array, source: pa.Array) -> pa.Array:
         letters, starts, docs, mine = _windows(cells_, size)
         theirs, _, _, known = _windows(source, size)
         at = np.flatnonzero(known)

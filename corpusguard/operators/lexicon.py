@@ -17,8 +17,9 @@ def vocabulary(docs: DataFrame, min_documents: int = 1, key: str = "doc_id", tex
 def suspicious(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, word: lower-case words of five letters at least that the vocabulary lacks, unless the word before is capitalised
     and unknown too (a name of two words). The vocabulary grows with the corpus, so it is joined, not broadcast."""
-    # a word and the one before it stand in the row, so only candidates travel
-    rows = docs.select(key, F.filter(T.tokens(F.col(text), T.LETTERS), lambda w: F.length(w) >= 2).alias("_w"))
+    # a word and the one before it stand in the row, so only candidates travel (the words are a generated column, which
+    # can't be merged into the lambda and computed for each word anew)
+    rows = docs.select(key, F.explode(F.array(F.filter(T.tokens(F.col(text), T.LETTERS), lambda w: F.length(w) >= 2))).alias("_w"))
     fits = lambda w: (F.length(w) >= 5) & (w == F.lower(w)) & w.rlike(r"\p{Ll}")
     pairs = F.transform("_w", lambda w, i: F.when(fits(w), F.struct(w.alias("word"), F.when(i > 0, F.try_element_at("_w", i)).alias("before"))))
     cand = rows.select(key, F.explode(F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))).alias("p")).select(key, "p.*")

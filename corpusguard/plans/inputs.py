@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import tables
 
 INSERTED = "Zebra quixotic vexing jumbled wordings follow here plainly and 4711 of 1999-12-31 too"
 
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tables.read(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
