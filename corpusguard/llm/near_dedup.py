@@ -266,10 +266,12 @@ def near_copies(docs: DataFrame, shingle: int = 2, threshold: float = 0.8, key:
         tried = staged(tried.unionByName(new), "tried")
     if left:
         roots, open_ = _contracted(_all_links(open_, texts, sketches, n_rows, shingle, percent), roots, open_, n_rows)
-    placed = classes.join(parts, "node", "left").select("print", "low", "size", F.coalesce("component", "node").alias("component"))
+    placed = staged(classes.join(parts, "node", "left").select("print", "low", "size", F.coalesce("component", "node").alias("component")), "placed")
     if roots is not None:
-        placed = placed.join(roots, placed.component == roots.node, "left").select("print", "low", "size", F.coalesce("root", "component").alias("component"))
-    placed = staged(placed, "placed")
+        # many classes can be in one component: its root reaches them as a hot key does
+        sizes = placed.groupBy("component").agg(F.count("*").alias("n"))
+        moved = staged(sizes.join(roots, sizes.component == roots.node).select("component", "root", "n"), "moved")
+        placed = staged(lookup(placed, moved, "component", "n", n_rows, nulls=False).select("print", "low", "size", F.coalesce("root", "component").alias("component")), "placed")
     names = placed.groupBy("component").agg(F.min("low").alias("name"), F.count("*").alias("n"))
     # a component is a row of names; those of many classes reach them by broadcast
     named = lookup(placed, names, "component", "n", n_rows, nulls=False).select("print", "name", "size")
