@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,18 +53,26 @@ class Index:
     most: np.ndarray  # by term
     block_first: np.ndarray  # blocks of term t: block_first[t]:block_first[t+1], in order
     blocks: np.ndarray
+    block_postings: np.ndarray  # where the postings of each of these begin
     block_most: np.ndarray  # largest impact there
     common: np.ndarray  # the terms of most units; in no unit do they score COMMON of the threshold together
-    common_most: np.ndarray  # the most that they score together in a unit, by block
+    common_score: np.ndarray  # what they score together, by unit
+    common_most: np.ndarray  # the most of that, by block
     unit_item: np.ndarray
     item_ids: list
     question: list[np.ndarray]
     answer: list[np.ndarray]
 
+    def __post_init__(self) -> None:
+        """What single cursors read, as plain sequences: bisecting these takes a fraction of a call into numpy."""
+        self.at_unit, self.at_block = (array("q", x.astype(np.int64).tobytes()) for x in (self.units, self.blocks))
+        self.from_posting, self.from_block = self.first.tolist(), self.block_first.tolist()
+        self.top, self.block_top, self.worth = (array("d", x.astype(np.float64).tobytes()) for x in (self.most, self.block_most, self.impacts))
+
     def most_in(self, term: int, block: int) -> float:
-        a, b = int(self.block_first[term]), int(self.block_first[term + 1])
-        at = a + int(np.searchsorted(self.blocks[a:b], block))
-        return float(self.block_most[at]) if at < b and self.blocks[at] == block else 0.0
+        end = self.from_block[term + 1]
+        at = bisect_left(self.at_block, block, self.from_block[term], end)
+        return self.block_top[at] if at < end and self.at_block[at] == block else 0.0
 
 
 def build_index(items: list[tuple[int, str | None, str | None]]) -> Index | None:
@@ -107,7 +117,7 @@ def build_index(items: list[tuple[int, str | None, str | None]]) -> Index | None
         tail = min(len(s), max(1, own_words - NGRAM + 1) if own_words else ANSWER_WORDS)
         question.append(s[: len(s) - tail])
         answer.append(s[len(s) - tail :])
-    return Index(terms, first, u, impact, most, block_first, u[head] // BLOCK, np.maximum.reduceat(impact, head), common, common_most, np.repeat(np.arange(len(ids)), parts), ids, question, answer)
+    return Index(terms, first, u, impact, most, block_first, u[head] // BLOCK, np.append(head, len(u)), np.maximum.reduceat(impact, head), common, common_score, common_most, np.repeat(np.arange(len(ids)), parts), ids, question, answer)
 
 
 def wand(index: Index, query: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -116,13 +126,13 @@ def wand(index: Index, query: list[int], threshold: float) -> list[tuple[int, fl
     The terms' cursors stand in order of their next unit. The pivot is the first term at which the sum of maxima reaches
     the threshold; nothing before its unit can. If the block maxima there fall short too, the cursors skip the block.
     """
-    first, units, impacts, most = index.first, index.units, index.impacts, index.most
-    cursors = [[int(units[first[t]]), int(first[t]), int(first[t + 1]), t] for t in query]
+    first, units, impacts, most = index.from_posting, index.at_unit, index.worth, index.top
+    cursors = [[units[first[t]], first[t], first[t + 1], t] for t in query]
     found = []
 
     def skip(c: list[int], unit: int) -> None:
-        c[1] += int(np.searchsorted(units[c[1] : c[2]], unit))
-        c[0] = int(units[c[1]]) if c[1] < c[2] else 1 << 60
+        c[1] = bisect_left(units, unit, c[1], c[2])
+        c[0] = units[c[1]] if c[1] < c[2] else 1 << 60
 
     while True:
         cursors = sorted(c for c in cursors if c[0] < 1 << 60)
@@ -184,22 +194,22 @@ def _matches(index: Index, texts: list[str], threshold: float, overlap: float) -
     many = index.block_first[t + 1] - index.block_first[t]
     ends = np.cumsum(many)
     at = np.repeat(index.block_first[t] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)
-    n_blocks = len(index.common_most)
-    near, at_near = np.unique(np.repeat(passage, many) * n_blocks + index.blocks[at], return_inverse=True)
-    near = near[np.bincount(at_near, index.block_most[at], len(near)) + index.common_most[near % n_blocks] >= threshold - 1e-6]
+    n_blocks, n_units = len(index.common_most), len(index.common_score)
+    asked = np.repeat(passage, many)
+    near, own_near = np.unique(asked * n_blocks + index.blocks[at], return_inverse=True)
+    reach = np.bincount(own_near, index.block_most[at], len(near)) + index.common_most[near % n_blocks] >= threshold - 1e-6
+    # only postings of blocks in reach are read: the same sum by unit tells the passages that WAND is asked for
+    kept = reach[own_near]
+    at, asked = at[kept], asked[kept]
+    many = index.block_postings[at + 1] - index.block_postings[at]
+    ends = np.cumsum(many)
+    posting = np.repeat(index.block_postings[at] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)
+    cell, own_cell = np.unique(np.repeat(asked, many) * n_units + index.units[posting], return_inverse=True)
+    met = np.bincount(own_cell, index.impacts[posting], len(cell)) + index.common_score[cell % n_units] >= threshold - 1e-6
     hits: dict[tuple[int, int], float] = {}
-    query, asked = [], -1
-    done = False
-    for p, block in zip((near // n_blocks).tolist(), (near % n_blocks).tolist(), strict=True):
-        if p != asked:
-            asked, done = p, False
-            query = np.unique(term[start[p] : end[p]])
-            query = query[query >= 0].tolist()
-        # the block's own maxima must reach the threshold too before any posting is read
-        if done or sum([index.most_in(t, block) for t in query]) < threshold - 1e-6:
-            continue
-        done = True
-        for unit, score in wand(index, query, threshold):
+    for p in np.unique(cell[met] // n_units).tolist():
+        query = np.unique(term[start[p] : end[p]])
+        for unit, score in wand(index, query[query >= 0].tolist(), threshold):
             pair = int(doc[p]), int(index.unit_item[unit])
             hits[pair] = max(score, hits.get(pair, 0.0))
     seen: dict[int, np.ndarray] = {}
