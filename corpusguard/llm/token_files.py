@@ -16,11 +16,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import pieces, prefix_sums, span_hashes, words
+from .textkit import SPACE, pieces, prefix_sums, span_hashes, words
 from .workspace import new_path, partitions, staged
 
 #: Words that a worker keeps with their ids; the cache starts anew when it is full.
 CACHE_WORDS = 2_000_000
+#: Bytes of text looked up at a time: so little that what is computed of them stays near the processor.
+BUFFER = 1 << 18
 #: Bytes of text for each range of ids, and so for each file; with more than MAX_FILES of them, files are larger instead.
 FILE_TEXT_BYTES, MAX_FILES = 24 << 20, 16_384
 #: Sequences in one record batch.
@@ -37,16 +39,19 @@ def _steps(node: dict | None) -> list[dict]:
 
 #: Fixed value: the pattern of a pre-tokenizer whose pieces are known apart (see WordCache.parts).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same on words of which every character is one of PLAIN; these are letters and marks that no normal form changes.
-PLAIN, PIECES = re.compile("[!-;=-~¡«»¿À-ÿ‐-…]+"), re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: A piece of a word whose characters are all PLAIN: letters, digits and marks of ASCII but < and ', Latin letters with accents, and some marks, which no normal form changes.
+PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\\[-`{-~¡«»¿×÷‐-…]+")
 _C3, _C2, _DASH = (np.zeros(256, bool) for _ in range(3))
+#: Letters (0), digits (1) and other characters (2), by byte.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[0x61:0x7B], _KIND[0x30:0x3A], _KIND[0xC3], _KIND[0x80:0xC0] = 0, 1, 0, 0
 _C3[0x80:0xC0], _C2[[0xA1, 0xAB, 0xBB, 0xBF]], _DASH[0x90:0xA7] = True, True, True
 
 
 def plain_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which bytes of UTF-8 text belong to characters that PLAIN words are made of, and which are to be raised by 32 to lower them."""
     out = data < 0x80
-    out &= data != 0x3C
+    out &= (data != 0x3C) & (data != 0x27)
     upper = (data >= 0x41) & (data <= 0x5A)
     lead = np.flatnonzero(data >= 0xC2)
     lead = lead[lead < len(data) - 1]
@@ -61,6 +66,39 @@ def plain_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, upper
 
 
+class Growing:
+    """An array that values are added to the end of, without copying what it has each time."""
+
+    def __init__(self, dtype: type):
+        self.held, self.n = np.zeros(1 << 16, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            larger = np.zeros(max(2 * len(self.held), self.n + len(values)), self.held.dtype)
+            larger[: self.n] = self.held[: self.n]
+            self.held = larger
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
+class Spans:
+    """Runs of ids, by number."""
+
+    def __init__(self) -> None:
+        self.ids, self.first, self.count = Growing(np.uint32), Growing(np.int64), Growing(np.int32)
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.first.add(self.ids.n + np.cumsum(counts) - counts)
+        self.count.add(counts)
+        self.ids.add(ids)
+
+    def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each, one after the other, and where each ends (from 0 on)."""
+        count = self.count.held[at].astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(count)])
+        return self.ids.held[np.repeat(self.first.held[at] - ends[:-1], count) + np.arange(ends[-1])], ends
+
+
 class WordCache:
     """Encodes whole texts with the tokenizers library, each different word once. White space splits words for every
     tokenizer whose pre-tokenizer never joins across it, which the caller vouches for.
@@ -98,9 +136,7 @@ class WordCache:
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.pieces: dict[str, int] = {}
-        self.ids, self.piece_ids = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-        self.first, self.count, self.piece_first, self.piece_count = (np.zeros(0, np.int64) for _ in range(4))
+        self.words = Spans()
 
     def _whole(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, and how many each has. All go to the library in one text, a line each; where a token begins tells whose it is."""
@@ -111,67 +147,66 @@ class WordCache:
         owner = np.searchsorted(np.cumsum(lengths), begins, "right")
         return ids, np.bincount(owner, minlength=len(lines))
 
-    def _by_pieces(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for PLAIN words in lower case, from their pieces: each piece of the text that the library gets ends with a token that ends a word."""
-        split = list(map(PIECES.findall, lines))
-        flat = list(chain.from_iterable(split))
-        at = list(map(self.pieces.get, flat))
-        if None in at:
-            missing = [i for i, k in enumerate(at) if k is None]
-            new = list({flat[i] for i in missing})
-            ids = np.array(self.plain.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0].ids, np.uint32)
-            last = np.flatnonzero(self.ends[ids])
-            if len(last) != len(new):
-                raise RuntimeError("the library splits words in another way than its file says")
-            self.piece_first = np.concatenate([self.piece_first, len(self.piece_ids) + np.append(0, last[:-1] + 1)])
-            self.piece_count = np.concatenate([self.piece_count, np.diff(last, prepend=-1)])
-            self.piece_ids = np.concatenate([self.piece_ids, ids])
-            self.pieces.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new)), strict=True))
-            for i in missing:
-                at[i] = self.pieces[flat[i]]
-        at = np.array(at, np.int64)
-        ids, ends = _gathered(self.piece_ids, self.piece_first[at], self.piece_count[at])
-        return ids, np.diff(ends[np.cumsum(list(map(len, split)))], prepend=0)
+    def _pieces(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces of PLAIN words: each ends with a token that ends a word."""
+        ids = np.array(self.plain.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(lines):
+            raise RuntimeError("the library splits words in another way than its file says")
+        return ids, np.diff(last, prepend=-1)
 
     def _look_up(self, new: list[bytes]) -> None:
         lines = [w.decode("utf-8") for w in new]
-        plain = np.fromiter((PLAIN.fullmatch(w) is not None for w in lines), bool, len(lines)) if self.parts else np.zeros(len(lines), bool)
-        for own, find in ((np.flatnonzero(plain), self._by_pieces), (np.flatnonzero(~plain), self._whole)):
+        plain = np.fromiter((PIECE.fullmatch(w) is not None for w in lines), bool, len(lines)) if self.parts else np.zeros(len(lines), bool)
+        for own, find in ((np.flatnonzero(plain), self._pieces), (np.flatnonzero(~plain), self._whole)):
             if not len(own):
                 continue
             found, counts = find([lines[k] for k in own.tolist()])
-            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(counts) - counts])
-            self.count = np.concatenate([self.count, counts])
-            self.ids = np.concatenate([self.ids, found])
+            self.words.add(found, counts)
             self.known.update(zip([new[k] for k in own.tolist()], range(len(self.known), len(self.known) + len(own)), strict=True))
 
-    def lowered(self, buffer: bytes) -> bytes:
-        """The buffer with the letters of PLAIN words lowered, if the tokenizer lowers all letters anyway.
+    def spans(self, buffer: bytes, starts: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """(buffer, begins, ends) of what is looked up: words, and PLAIN words in lower case by their pieces.
 
         The normalizer may compose a letter with a mark after it before it lowers letters; within PLAIN words, and
-        before white space or an end, there is nothing to compose.
+        before white space or an end, there is nothing to compose. Their pieces are runs of letters, runs of other
+        characters, and single digits; words with an apostrophe, at which the pattern has more to say, stay whole.
         """
-        if not self.parts or not buffer:
-            return buffer
         data = np.frombuffer(buffer, np.uint8)
+        begins, ends, _ = words(data, starts)
+        if not self.parts or not len(begins):
+            return buffer, begins, ends
         plain, upper = plain_bytes(data)
-        if plain.all():
-            return (data + (upper.view(np.uint8) << 5)).tobytes()
-        starts, ends, _ = words(data, np.zeros(1, np.int64))
         odd = np.concatenate([[0], np.cumsum(~plain, dtype=np.int32)])
-        clean = odd[ends] == odd[starts]
-        at = np.flatnonzero(upper)
-        at = at[clean[np.searchsorted(starts, at, "right") - 1]] if len(starts) else at[:0]
+        clean = odd[ends] == odd[begins]
+        inside = np.repeat(clean, ends - begins)
+        where = np.flatnonzero(~SPACE[data])[inside]
         out = data.copy()
-        out[at] += 0x20
-        return out.tobytes()
+        out[where] += upper[where].view(np.uint8) << 5
+        kind = _KIND[out]
+        # the signs among the two-byte characters that PLAIN has
+        sign = np.flatnonzero((out[:-1] == 0xC3) & ((out[1:] == 0x97) | (out[1:] == 0xB7)))
+        kind[sign] = kind[sign + 1] = 2
+        kind[np.flatnonzero(out[:-1] == 0xC2) + 1] = 2
+        dash = np.flatnonzero(out[:-2] == 0xE2)
+        kind[dash + 1] = kind[dash + 2] = 2
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 1)
+        held = np.zeros(len(data) + 1, bool)
+        held[where] = True
+        cut &= held
+        cut[begins] = True
+        begins = np.flatnonzero(cut[:-1])
+        after = np.append(begins[1:], len(data))
+        # a piece ends where the next begins, or at its word's end
+        word = np.searchsorted(ends, begins, "right")
+        return out.tobytes(), begins, np.minimum(after, ends[word])
 
     def encode(self, buffer: bytes, starts: np.ndarray) -> list[np.ndarray]:
         """The ids of each text of a buffer (see pieces()). Words that occur again in the buffer are looked up once: they are told
         apart by two hashes, and all looked up where these disagree."""
-        buffer = self.lowered(buffer)
+        buffer, begins, ends = self.spans(buffer, starts)
         data = np.frombuffer(buffer, np.uint8)
-        begins, ends, _ = words(data, starts)
         hashes, others = (span_hashes(prefix_sums(x), begins, ends) for x in (data, data ^ np.uint8(0x5A)))
         _, first, again = np.unique(hashes, return_index=True, return_inverse=True)
         if (others != others[first][again]).any():
@@ -187,16 +222,10 @@ class WordCache:
             for i in missing:
                 at[i] = known[flat[i]]
         at = np.array(at, np.int64)[again]
-        ids, upto = _gathered(self.ids, self.first[at], self.count[at])
+        ids, upto = self.words.get(at)
         return np.split(ids, upto[np.searchsorted(begins, starts[1:])])
 
 
-def _gathered(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """values[first : first + count] of each, one after the other, and where each ends (from 0 on)."""
-    ends = np.concatenate([[0], np.cumsum(count)])
-    return values[np.repeat(first - ends[:-1], count) + np.arange(ends[-1])], ends
-
-
 #: One cache for each vocabulary and worker process: later tasks of the process find their words known.
 _CACHES: dict[str, WordCache] = {}
 
@@ -209,7 +238,7 @@ def _encoder(path: str, end_id: int, cuts: list[int], dtype: str) -> Callable[[I
             _CACHES[path] = WordCache(path)
         cache, edges = _CACHES[path], np.array(cuts, np.int64)
         for batch in batches:
-            for first, last, buffer, starts in pieces(batch.column(1)):
+            for first, last, buffer, starts in pieces(batch.column(1), BUFFER):
                 packed = [np.append(x, np.uint32(end_id)).astype(dtype).tobytes() for x in cache.encode(buffer, starts)]
                 keys = batch.column(0).slice(first, last - first)
                 plain = keys.fill_null(FLOOR).to_numpy()

@@ -426,7 +426,7 @@ def test_words_of_a_tokenizer_that_keeps_capitals(tmp_path):
 
     path, _, _ = small_vocabulary(tmp_path, 1)
     cache = WordCache(path)
-    assert not cache.parts and cache.lowered(b"ABC aBc") == b"ABC aBc"
+    assert not cache.parts and cache.spans(b"ABC aBc", np.zeros(1, np.int64))[0] == b"ABC aBc"
     ((_, _, buffer, starts),) = pieces(pa.array(["abc ABC", "cab"]))
     assert [x.tolist() for x in cache.encode(buffer, starts)] == [[i for w in t.split() for i in Tokenizer.from_file(path).encode(w).ids] for t in ("abc ABC", "cab")]
 
