@@ -270,7 +270,7 @@ def near_copies(docs: DataFrame, shingle: int = 2, threshold: float = 0.8, key:
     if roots is not None:
         # many classes can be in one component: its root reaches them as a hot key does
         sizes = placed.groupBy("component").agg(F.count("*").alias("n"))
-        moved = staged(sizes.join(roots, sizes.component == roots.node).select("component", "root", "n"), "moved")
+        moved = staged(sizes.join(roots, sizes.component == roots.node, "left").select("component", "root", "n"), "moved")
         placed = staged(lookup(placed, moved, "component", "n", n_rows, nulls=False).select("print", "low", "size", F.coalesce("root", "component").alias("component")), "placed")
     names = placed.groupBy("component").agg(F.min("low").alias("name"), F.count("*").alias("n"))
     # a component is a row of names; those of many classes reach them by broadcast
@@ -283,8 +283,10 @@ def near_copies(docs: DataFrame, shingle: int = 2, threshold: float = 0.8, key:
 def _open(members: DataFrame, n_rows: int) -> DataFrame:
     """Those of the members (band, node, component) whose bucket spans several components."""
     members = staged(members, "members")
-    spans = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high").select("band", "size")
-    return staged(lookup(members, spans, "band", "size", n_rows * BANDS, nulls=False).filter("size is not null").select("band", "node", "component"), "open")
+    spans = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+    # every bucket has its row, so that a large one that is done with is known as hot too
+    spans = staged(spans.select("band", "size", (F.col("low") != F.col("high")).alias("spans")), "spans")
+    return staged(lookup(members, spans, "band", "size", n_rows * BANDS, nulls=False).filter("spans").select("band", "node", "component"), "open")
 
 
 def _contracted(links: DataFrame, roots: DataFrame | None, open_: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -300,7 +302,9 @@ def _contracted(links: DataFrame, roots: DataFrame | None, open_: DataFrame, n_r
         old = roots.join(far, F.col("root") == F.col("_root"), "left").select("node", F.coalesce("_far", "root").alias("root"))
         moved = staged(old.unionByName(merged.join(roots, "node", "left_anti")), "roots")
     sizes = open_.groupBy("component").count()
-    renamed = lookup(open_, sizes.join(merged, sizes.component == merged.node).select("component", "root", "count"), "component", "count", open_.count(), nulls=False)
+    # components that nothing was merged into have their row too: a large one must be known as hot
+    found = staged(sizes.join(merged, sizes.component == merged.node, "left").select("component", "root", "count"), "found")
+    renamed = lookup(open_, found, "component", "count", open_.count(), nulls=False)
     return moved, _open(renamed.select("band", "node", F.coalesce("root", "component").alias("component")), n_rows)
 
 

@@ -8,7 +8,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa

@@ -58,7 +58,8 @@ def fold(column: str, parts: int) -> Column:
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, size: str, n_rows: int, nulls: bool = True) -> DataFrame:
-    """Left join of rows with table (one row a key; size: how many of rows have the key), whatever the skew.
+    """Left join of rows with table (one row a key; size: how many of rows have the key), whatever the skew. Keys that many
+    rows have must be in the table; what it says of them can be null.
 
     Keys holding more than 1/HEAVY_SHARE of the rows number HEAVY_SHARE at most: their rows meet a broadcast table and
     are never shuffled. Rows without a key meet nothing. Only the rest goes through a shuffled join, in which no key of
