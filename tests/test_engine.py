@@ -29,6 +29,16 @@ def test_expressions(spark):
         assert one(spark, text, lambda c: c.rlike(T.PAGE_NUMBER)) is yes
 
 
+def test_page_numbers_as_in_sql(spark):
+    for text, yes in [("Dem.", False), ("Cimi.", True), ("iiii", True), ("PÁG. 3", True), ("12\x85", False), ("12\x0b", False), ("d de m", True), ("[3 / 12]", True)]:
+        assert one(spark, text, lambda c: c.rlike(T.PAGE_NUMBER)) is yes, text
+
+
+def test_control_characters_of_empty_texts(spark):
+    rows = spark.createDataFrame([(1, ""), (2, "a\x01b"), (3, None)], "doc_id long, text string")
+    assert [(r.doc_id, r.n_junk, r.first_at) for r in detect.control_characters(rows).collect()] == [(2, 1, 1)]
+
+
 def test_metrics_against_python(spark):
     loop = "the same eight words are said here again " * 40
     rows = spark.createDataFrame([(1, loop), (2, "short"), (3, None)], "doc_id long, text string")
