@@ -107,6 +107,28 @@ def test_balances_stay_in_their_row(spark):
     assert [(r.doc_id, r.word, r.extra, r.lost, r.joins) for r in fidelity.reconciled(fidelity.word_balance(many, "text", "source")).orderBy("doc_id", "word").collect()] == [(1, "abcd", 1, 0, 2), (2, "ab", 0, 1, 0), (2, "abcd", 1, 0, 0), (3, "cd", 0, 1, 0)]
 
 
+def test_spelling_variants_stay_in_their_row(spark):
+    def around(w):
+        return {w, *(w[:k] + w[k + 1 :] for k in range(len(w)))}
+
+    import random
+
+    deal = random.Random(3)
+    words = ["".join(deal.choice("abc") for _ in range(deal.choice([3, 4, 5, 6, 70, 71]))) for _ in range(60)]
+    changed = [w[: len(w) // 2] + deal.choice(["", "d", "da"]) + w[len(w) // 2 + deal.choice([0, 1]) :] for w in words]
+    rows = spark.createDataFrame([(1, " ".join(changed + ["ΟΔΟΣ", "Straßen"]), " ".join(words + ["ΟΔΟΣΑ", "strassem"])), (2, "thqe the", None), (3, None, "the")], "doc_id long, text string, source string")
+    found = contain.spelling_variants(rows, "text", "source")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    mine, theirs = [*changed, "οδος", "strassen"], [*words, "οδοσα", "strassem"]
+    wanted = {}
+    for w in mine:
+        if len(w) >= 4 and w not in "".join(theirs):
+            near = next((n for n in theirs if len(n) >= 4 and around(w) & around(n)), None)
+            if near:
+                wanted[w] = near
+    assert len(wanted) > 20 and {r.word: r.near for r in found.collect()} == wanted
+
+
 def test_spans(spark):
     placed = spark.createDataFrame([(1, 1, 0, 10), (1, 2, 20, 3000)], "doc_id long, page long, char_start long, char_end long")
     points = spark.createDataFrame([(1, 1, 5), (1, 2, 15), (1, 3, 2500)], "doc_id long, point_id long, pos long")
