@@ -272,3 +272,14 @@ def test_digits_and_words(spark):
     assert row.a == "31 and 42"
     counts = Counter(r.word for r in lexicon.vocabulary(frame(spark, [(1, "aa bb aa"), (2, "bb")], "doc_id long, text string")).collect())
     assert counts == {"aa": 1, "bb": 1}
+
+
+def test_routes_and_findings_move_no_text(spark):
+    docs = frame(spark, [(1, "some text here and more", "some text here and more", False, None), (2, "some text", None, False, None), (3, "some text", "some text", True, 0.4), (4, "some text", "some text", True, 0.7)], "doc_id int, text string, source string, recognised boolean, conf double")
+    rows = check.placed(docs)
+    for made in (rows, check.routes(docs), check.route_findings(rows)):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert [(r.doc_id, r.route, r.notice) for r in rows.orderBy("doc_id").collect()] == [(1, "text_layer", None), (2, "none", "no_source"), (3, "none", "scan_unreadable"), (4, "recognised", None)]
+    assert sorted(map(tuple, check.route_findings(rows).collect())) == sorted(map(tuple, check.route_findings(docs, check.routes(docs)).collect())) == [(3, "scan_unchecked", "medium"), (4, "ocr_confidence", "medium")]
+    marks = frame(spark, [("İ--ß.",), ("ab-",), ("",), (None,)], "t string")
+    assert [r.a for r in marks.select(check._lettered("t", 3).alias("a")).collect()] == [True, False, False, False]
