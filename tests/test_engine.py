@@ -34,6 +34,15 @@ def test_page_numbers_as_in_sql(spark):
         assert one(spark, text, lambda c: c.rlike(T.PAGE_NUMBER)) is yes, text
 
 
+def test_texts_are_composed_in_pieces(spark):
+    from corpusguard.functions import repair
+
+    texts = [None if k % 7 == 0 else "" if k % 7 == 1 else f"e\u0301 {k}" for k in range(3 * repair.TEXTS + 5)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.t for r in rows.select("doc_id", repair.nfc(F.col("text")).alias("t")).collect()}
+    assert got == {k: t and t.replace("e\u0301", "é") for k, t in enumerate(texts)}
+
+
 def test_control_characters_of_empty_texts(spark):
     rows = spark.createDataFrame([(1, ""), (2, "a\x01b"), (3, None)], "doc_id long, text string")
     assert [(r.doc_id, r.n_junk, r.first_at) for r in detect.control_characters(rows).collect()] == [(2, 1, 1)]
