@@ -21,12 +21,17 @@ def suspicious(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str
     # can't be merged into the lambda and computed for each word anew)
     rows = docs.select(key, F.explode(F.array(F.filter(T.tokens(F.col(text), T.LETTERS), lambda w: F.length(w) >= 2))).alias("_w"))
     fits = lambda w: (F.length(w) >= 5) & (w == F.lower(w)) & w.rlike(r"\p{Ll}")
-    pairs = F.transform("_w", lambda w, i: F.when(fits(w), F.struct(w.alias("word"), F.when(i > 0, F.try_element_at("_w", i)).alias("before"))))
-    cand = rows.select(key, F.explode(F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))).alias("p")).select(key, "p.*")
-    cand = cand.select(key, "word", F.when(F.col("before").rlike(r"^\p{Lu}"), T.casefold(F.col("before"))).alias("name")).distinct()
+    # a pair is one string, the word and the folded one before it where that is capitalised: strings have a hash set in
+    # array_distinct, structs are compared with each other, which takes the square of a text's words
+    name = lambda i: F.when(i > 0, F.try_element_at("_w", i))
+    pairs = F.transform("_w", lambda w, i: F.when(fits(w), F.concat(w, F.lit(" "), F.coalesce(F.when(name(i).rlike(r"^\p{Lu}"), T.casefold(name(i))), F.lit("")))))
+    cand = rows.select(key, F.explode(F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))).alias("p"))
+    cand = cand.select(key, F.substring_index("p", " ", 1).alias("word"), F.substring_index("p", " ", -1).alias("name"))
     unknown = cand.join(known.select("word"), "word", "left_anti")
-    named = unknown.join(known.select(F.col("word").alias("name"), F.lit(True).alias("ordinary")), "name", "left")
-    return named.filter(F.col("name").isNull() | F.col("ordinary")).select(key, "word").distinct()
+    # a word without a name keeps itself, marked, as the key to join by: no key gathers all of them
+    asked = unknown.select(key, "word", F.when(F.col("name") == "", F.concat(F.lit(" "), "word")).otherwise(F.col("name")).alias("name"))
+    named = asked.join(known.select(F.col("word").alias("name"), F.lit(True).alias("ordinary")), "name", "left")
+    return named.filter(F.col("name").startswith(" ") | F.col("ordinary")).select(key, "word").distinct()
 
 
 def findings(words: DataFrame, least: int = 3, key: str = "doc_id") -> DataFrame:
