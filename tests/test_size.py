@@ -79,6 +79,20 @@ def test_words_are_dealt_out_once_for_lines_and_once_for_gutters(spark, sf):
     assert dealt(QUERIES["text_lines"](spark, sf)) == 2
 
 
+def test_lines_and_characters_are_dealt_out_once(spark):
+    lines = spark.createDataFrame([(1, 1, 1, 0.0, 50.0, 0.0, 10.0), (1, 1, 2, 0.0, 50.0, 8.0, 18.0), (1, 2, 3, 0.0, 50.0, 0.0, 10.0)], "doc_id long, page long, line long, x0 double, x1 double, top double, bottom double")
+    marks = [(1, 1, 1, 0.0, 4.0, 8.0, 10.0, 7.0, True), (1, 1, 2, 5.0, 9.0, 8.0, 10.0, 9.0, True), (1, 1, 3, 5.0, 9.0, 14.0, 16.0, 8.0, None), (1, 1, 4, 90.0, 94.0, 4.0, 6.0, 5.0, True), (1, 2, 5, 5.0, 9.0, 4.0, 6.0, None, False), (2, 1, 6, 5.0, 9.0, 4.0, 6.0, 3.0, False)]
+    chars = spark.createDataFrame(marks, "doc_id long, page long, char long, x0 double, x1 double, top double, bottom double, size double, bold boolean")
+    wanted = [(1, 1, 1, 8.0, True), (1, 1, 2, 8.0, None), (1, 2, 3, None, False)]
+    assert dealt(layout.line_fonts(lines, chars)) == 1
+    for n in ("1", "2", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        try:
+            assert sorted(map(tuple, layout.line_fonts(lines, chars).collect())) == wanted
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_tables_are_cut_in_the_row(spark, sf):
     assert dealt(QUERIES["filled_tables"](spark, sf)) == 0
 
