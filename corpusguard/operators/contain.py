@@ -30,6 +30,61 @@ def folded_cells(docs: DataFrame, text: str, key: str = "doc_id") -> DataFrame:
     return rows.withColumn("letters", T.fold(F.col("chunk")))
 
 
+def _rolled(letters: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of size letters, from those of runs of half the length."""
+    if size == 1:
+        mixed = (letters + np.uint64(1)) * _FACTOR
+    else:
+        half = size // 2
+        part = _rolled(letters, half)
+        n = len(letters) - size + 1
+        mixed = part[:n] * _FACTOR
+        mixed ^= mixed >> np.uint64(31)
+        mixed += part[half : half + n]
+        if size % 2:
+            mixed *= _FACTOR
+            mixed ^= mixed >> np.uint64(31)
+            mixed += letters[size - 1 :]
+        mixed *= _DOCUMENT
+    mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+def _places(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the asked hashes (0: none) are known, and where one of the equal ones stands there.
+
+    A table with a slot for an eighth of a hash; where two different ones want a slot the last has it, and those that lost
+    theirs have another table, until none is left. Sorting them would cost a comparison for each halving.
+    """
+    left, open_ = np.flatnonzero(known), np.flatnonzero(asked)
+    hits, met = [], []
+    factor = _FACTOR
+    while len(left) and len(open_):
+        bits = max(10, int(8 * len(left)).bit_length())
+        shift = np.uint64(64 - bits)
+        slots = ((known[left] * factor) >> shift).astype(np.int64)
+        table = np.full(1 << bits, -1, np.int32)
+        table[slots] = left
+        had = table[((asked[open_] * factor) >> shift).astype(np.int64)]
+        same = (had >= 0) & (known[had] == asked[open_])
+        hits.append(open_[same])
+        met.append(had[same].astype(np.int64))
+        # an empty slot tells that a hash isn't known
+        open_ = open_[~same & (had >= 0)]
+        left = left[known[table[slots]] != known[left]]
+        factor = np.uint64((int(factor) * int(_DOCUMENT) + 2) % (1 << 64))  # odd again
+    if not hits:
+        return open_[:0], open_[:0]
+    return np.concatenate(hits), np.concatenate(met)
+
+
+def _pairs(letters: np.ndarray) -> np.ndarray:
+    """Each letter and the next as one number."""
+    pairs = letters.copy()
+    pairs[:-1] |= letters[1:] << np.uint64(32)
+    return pairs
+
+
 def _windows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Letters of a column of string arrays as code points, cell after cell; start of each cell; document of each cell; and
     for each letter a hash of it and the size-1 after it, 0 where that leaves the cell."""
@@ -43,10 +98,7 @@ def _windows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     n = len(letters)
     hashes = np.zeros(n, np.uint64)
     if n >= size:
-        rolled = np.zeros(n - size + 1, np.uint64)
-        for k in range(size):
-            rolled = (rolled + letters[k : n - size + 1 + k]) * _FACTOR
-            rolled ^= rolled >> np.uint64(29)
+        rolled = _rolled(letters, size)
         hashes[: n - size + 1] = rolled | np.uint64(1)
     # a shingle of another document is another shingle
     hashes *= np.repeat((np.arange(len(column), dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * _DOCUMENT | np.uint64(1), np.bincount(docs, lengths, len(column)).astype(np.int64))
@@ -80,14 +132,13 @@ def uncovered(size: int):
     def some(cells_: pa.Array, source: pa.Array) -> pa.Array:
         letters, starts, docs, mine = _windows(cells_, size)
         theirs, _, _, known = _windows(source, size)
-        at = np.flatnonzero(known)
-        values, first = np.unique(known[at], return_index=True)
-        place = np.minimum(np.searchsorted(values, mine), max(len(values) - 1, 0))
-        hit = np.flatnonzero((mine > 0) & (values[place] == mine)) if len(values) else np.zeros(0, np.int64)
-        met = at[first[place[hit]]] if len(hit) else hit
-        for k in range(size):
-            same = letters[hit + k] == theirs[met + k]
-            hit, met = hit[same], met[same]
+        hit, met = _places(known, mine)
+        # two letters at a time; the last two again where their number is odd
+        ours, others = (letters, theirs) if size == 1 else (_pairs(letters), _pairs(theirs))
+        same = np.ones(len(hit), bool)
+        for k in sorted({*range(0, size - 1, 2), max(size - 2, 0)}):
+            same &= ours[hit + k] == others[met + k]
+        hit = hit[same]
         change = np.zeros(len(letters) + 1, np.int32)
         np.add.at(change, hit, 1)
         np.add.at(change, hit + size, -1)
@@ -110,8 +161,8 @@ def uncovered(size: int):
 def gap_rows(docs: DataFrame, text: str, source: str, size: int = SHINGLE, key: str = "doc_id") -> DataFrame:
     """key, letters (the text's folded cells), gaps (their uncovered runs)."""
     folded = lambda c: F.transform(cells(F.coalesce(F.col(c), F.lit(""))), T.fold)
-    rows = docs.select(key, folded(text).alias("letters"), folded(source).alias("_source"))
-    # a generated column can't be merged into a filter, where it would be computed anew
+    # a generated column can't be merged into a filter or a sum, where it would be computed anew
+    rows = docs.select(key, F.explode(F.array(F.struct(folded(text).alias("letters"), folded(source).alias("_source")))).alias("_f")).select(key, "_f.*")
     return rows.select(key, "letters", F.explode(F.array(uncovered(size)(F.col("letters"), F.col("_source")))).alias("gaps"))
 
 

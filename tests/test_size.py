@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusguard.functions import text as T
 from corpusguard.functions import unicode
-from corpusguard.operators import layout, lexicon, metrics
+from corpusguard.operators import contain, layout, lexicon, metrics
 from corpusguard.plans.queries import QUERIES
 
 
@@ -109,3 +111,34 @@ def test_plain_characters_are_told_by_one_test(spark):
         every = spark.range(0x110000).filter("id not between 55296 and 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
         assert every.filter(F.col("c").rlike(pattern) != F.col("c").rlike(inner)).count() == 0
         assert every.filter(F.col("c").rlike(pattern)).count() > 500
+
+
+def test_folding_is_the_same_with_and_without_tables(spark):
+    every = spark.range(0x110000).filter("id not between 55296 and 57343").select(F.expr("concat('a B.9 ', decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32'), 'É')").alias("c")).unionByName(spark.createDataFrame([("Plain, Text 1!",), ("",), ("É-e ß",), (None,)], "c string"))
+    plain = F.regexp_replace(F.translate(T.casefold(F.col("c")), T.ACCENTED, T.PLAIN), r"[^\p{L}\p{N}]", "")
+    both = every.unionByName(every.withColumn("c", F.regexp_replace("c", "É", "")))
+    assert both.filter(~T.fold(F.col("c")).eqNullSafe(plain)).count() == 0
+
+
+def test_shingles_are_found_without_sorting_and_letters_folded_once(spark):
+    rnd = np.random.default_rng(5)
+    known = rnd.integers(1, 40, 300).astype(np.uint64) << np.uint64(60)  # many that want one slot
+    known = np.concatenate([known, rnd.integers(1, 1 << 60, 5000).astype(np.uint64), np.zeros(9, np.uint64)])
+    asked = np.concatenate([rnd.choice(known, 4000), rnd.integers(0, 1 << 60, 4000).astype(np.uint64), np.zeros(5, np.uint64)])
+    hit, met = contain._places(known, asked)
+    assert sorted(hit.tolist()) == np.flatnonzero((asked > 0) & np.isin(asked, known)).tolist()
+    assert (known[met] == asked[hit]).all()
+    texts = [("abcdefghijklmno x", "xx abcdefghijkl"), ("", "abc"), ("abcdefghij", "abcdefghij"), ("zzzzzzzzzzzz", "zzzzzzzzzz"), ("abcdefghik", "")]
+    for size in (1, 2, 3, 7, 10):
+        docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+        rows = contain.coverage(docs, "text", "source", size)
+        wanted = {}
+        for i, (text, source) in enumerate(texts):
+            held = {source.replace(" ", "")[k : k + size] for k in range(len(source.replace(" ", "")) - size + 1)}
+            t = text.replace(" ", "")
+            covered = {k + j for k in range(len(t) - size + 1) if t[k : k + size] in held for j in range(size)}
+            if t:
+                wanted[i] = (len(t), len(covered))
+        assert {r.doc_id: (r.n_letters, r.n_covered) for r in rows.collect()} == wanted
+    # once for the text and once for its source
+    assert plan(rows).count("translate(") == 2
